@@ -40,7 +40,7 @@ def _bit(length: str = "_len", prefix: str = "_pre"):
 def _surviving_bits(profile: DataFrame) -> DataFrame:
     """Bitmap pages (at most FILTER_BITS / 32768 rows of 4 KB) of the keys that more than one row has."""
     lengths = profile.groupBy("_len").count().filter("count > 1").select("_len")
-    keys = profile.join(lengths, "_len", "left_semi").groupBy("_len", "_pre").count().filter("count > 1")
+    keys = profile.groupBy("_len", "_pre").count().filter("count > 1").join(lengths, "_len", "left_semi")
     return (
         keys.select((_bit() + 1).alias("_b"))
         .groupBy(F.bitmap_bucket_number("_b").alias("_page"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, language_id, license_scan, mixing, sharding, topk, toxicity
 from .common import documents
 
 SHARDS = 16
@@ -17,6 +18,36 @@ def byte_bpe_codec() -> tuple:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {bpe.SPECIAL: 50256}
 
 
+def _remainder(divisor: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = language_id.fit(docs.filter(_remainder(3) != 1))
+    found = language_id.identify(docs, net)
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_models(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple:
+    """The language model of all ``docs`` and the classifier of the labelled ones that aren't held out."""
+    model = toxicity.fit_characters(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_remainder(4) != 2)
+    return model, toxicity.fit_classifier(docs, labels, model)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, *toxicity_models(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(documents(spark, sf_dir), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
@@ -33,9 +64,78 @@ def op7_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), digest_all=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_rendezvous_shards, op5_bpe_round_trip, op6_mix_sources, op7_exact_groups)}
+def op10_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_language_id,
+        op3_rendezvous_shards,
+        op4_toxicity,
+        op5_bpe_round_trip,
+        op6_mix_sources,
+        op7_exact_groups,
+        op10_voronoi_top_k,
+    )
+}
 
 ORACLES = {
+    "op10_voronoi_top_k": r"""
+        WITH v AS (SELECT row_number() OVER () AS uid, vec_id,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.uid, q.vec_id AS query_id, x.vec_id, list_dot_product(q.v::DOUBLE[], x.v::DOUBLE[])::BIGINT AS score
+                   FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.uid <> x.uid),
+             r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op3_rendezvous_shards": r"""
+        WITH RECURSIVE byte AS (SELECT i::BIGINT AS i FROM range(256) t(i)),
+             step AS (SELECT i, 0 AS n, i AS c FROM byte
+                      UNION ALL
+                      SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE n < 8),
+             crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE n = 8),
+             d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '~') AS key FROM documents),
+             draw AS (SELECT doc_id, text, key, list_transform(range(17), lambda j:
+                             {'u': ('0x' || substr(md5(key || ':' || j), 1, 13))::BIGINT, 'shard': j::INT}) AS u FROM d),
+             s AS (SELECT doc_id, key, strlen(text)::BIGINT + 1 AS size, (list_max(u[1:16])).shard AS shard,
+                          (list_max(u)).shard AS grown_shard,
+                          xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, CASE WHEN text = '' THEN []
+                              ELSE list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g'), ' ')[:-2],
+                                                  lambda b: ('0x' || b)::BIGINT) END),
+                              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::BIGINT AS text_crc32,
+                          ('0x' || substr(md5(key || ':slot'), 1, 8))::BIGINT % 256 AS bucket
+                   FROM draw, crc)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+        FROM s""",
+    "op6_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~')), 1, 12))::BIGINT AS h FROM documents),
+             s AS (SELECT source, sum(size)::BIGINT AS source_size,
+                          ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+             a AS (SELECT *, 3 * source_size AS cap, 3 * source_size / w AS lim FROM s),
+             l AS (SELECT *, (sum(source_size) OVER ()
+                              - coalesce(sum(cap) OVER (ORDER BY lim, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                             / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY lim, source NULLS LAST
+                                                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM a),
+             t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0
+                          ELSE least(cap::DOUBLE, coalesce((min({'lim': lim, 'level': level}) FILTER (level <= lim) OVER ()).level, lim) * w) END AS target
+                   FROM l),
+             e AS (SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS epochs,
+                          target - floor(target / greatest(source_size, 1)) * source_size AS rest FROM t),
+             c AS (SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS through
+                   FROM d GROUP BY source, h),
+             x AS (SELECT c.source, h, epochs < 3 AND (through <= rest
+                          OR (through - words <= rest AND words < 2 * (rest - (through - words)))) AS more
+                   FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+             JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h""",
     "op7_exact_groups": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
                    FROM documents),
