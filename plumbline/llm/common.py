@@ -32,3 +32,61 @@ def md5_int(*parts: Column, digits: int = 13) -> Column:
     """A portable hash: the first hex digits of the MD5 of ``a:b:…`` as a non-negative long (null counts as ``~``)."""
     joined = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
     return F.conv(F.substring(F.md5(joined), 1, digits), 16, 10).cast("long")
+
+
+FILTER_BITS = 1 << 23
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(key, F.lit(FILTER_BITS)) + 1
+
+
+def bitmap_of(keys: DataFrame, key: Column) -> DataFrame:
+    """The set of ``key`` (long) values modulo FILTER_BITS as pages (_page, _bits): 1 MB, 256 rows, at most."""
+    return cut(
+        keys.select(_bit(key).alias("_b"))
+        .groupBy(F.bitmap_bucket_number("_b").alias("_page"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_bits"))
+    )
+
+
+def with_membership(df: DataFrame, key: Column, pages: DataFrame, name: str = "_maybe") -> DataFrame:
+    """``df`` with a column that is false only where ``key`` isn't in the bitmap; decided on the map side."""
+    at = F.bitmap_bit_position("_b")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
+    return (
+        df.withColumn("_b", _bit(key))
+        .withColumn("_page", F.bitmap_bucket_number("_b"))
+        .join(F.broadcast(pages), "_page", "left")
+        .withColumn("_at", at)
+        .withColumn("_byte", byte)
+        .withColumn(name, F.coalesce(hit, F.lit(False)))
+        .drop("_b", "_page", "_at", "_byte", "_bits")
+    )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest reachable node) of every node in ``edges`` (a, b: long).
+
+    Large-star and small-star steps take turns until the edges stand still: all of a component's nodes then point at its
+    smallest.  Minima are aggregated before the shuffle, so a node with very many edges is no single task's work.
+    """
+    now = cut(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).filter("a <> b").distinct())
+    state = None
+    while True:
+        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # Edges of a node that is its own minimum stay as they are; the others now hang from the minimum.
+        large = large.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if got == state:
+            break
+        state = got
+    roots = now.groupBy("a").agg(F.min("b").alias("component"))
+    tops = now.select(F.col("b").alias("a")).distinct().join(roots, "a", "left_anti")
+    return roots.unionByName(tops.select("a", F.col("a").alias("component"))).withColumnRenamed("a", "node")

@@ -3,7 +3,7 @@
 Texts are equal when identical after each run of white space became one space.  A first scan keeps length and prefix
 hash of every text (16 bytes a row).  Rows are grouped by length, the survivors by length and prefix hash; a second
 scan hashes the full content only of rows whose group survived both.  The survivors' keys reach that scan as a bitmap
-of fixed size (``FILTER_BITS`` bits, 1 MB), so no text is shuffled to find out who survived; a false positive only
+of fixed size (1 MB), so no text is shuffled to find out who survived; a false positive only
 costs a hash, the grouping by full SHA-256 that follows is exact.
 
 Defined cases: a null text counts as empty and empty texts are equal; of equal texts the smallest doc_id stays, a null
@@ -16,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import bitmap_of, cut, text_or_empty, with_membership
 
 WHITE = r"[\x20\x09-\x0D]+"
 PREFIX_CHARS = 256
-FILTER_BITS = 1 << 23
 
 
 def _profiled(df: DataFrame, text: str) -> DataFrame:
@@ -33,35 +32,13 @@ def _profiled(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _bit(length: str = "_len", prefix: str = "_pre"):
-    return F.pmod(F.xxhash64(length, prefix), F.lit(FILTER_BITS))
-
-
-def _surviving_bits(profile: DataFrame) -> DataFrame:
-    """Bitmap pages (at most FILTER_BITS / 32768 rows of 4 KB) of the keys that more than one row has."""
-    lengths = profile.groupBy("_len").count().filter("count > 1").select("_len")
-    keys = profile.groupBy("_len", "_pre").count().filter("count > 1").join(lengths, "_len", "left_semi")
-    return (
-        keys.select((_bit() + 1).alias("_b"))
-        .groupBy(F.bitmap_bucket_number("_b").alias("_page"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_bits"))
-    )
-
-
 def _flagged(df: DataFrame, text: str) -> DataFrame:
     """``df`` with _norm, _len, _pre and _maybe: whether another row may have the same length and prefix."""
-    pages = cut(_surviving_bits(cut(_profiled(df.select(F.col(text)), text).select("_len", "_pre"))))
-    rows = _profiled(df, text).withColumn("_b", _bit() + 1).withColumn("_page", F.bitmap_bucket_number("_b"))
-    at = F.bitmap_bit_position("_b")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
-    return (
-        rows.join(F.broadcast(pages), "_page", "left")
-        .withColumn("_at", at)
-        .withColumn("_byte", byte)
-        .withColumn("_maybe", F.coalesce(hit, F.lit(False)))
-        .drop("_b", "_page", "_at", "_byte", "_bits")
-    )
+    profile = cut(_profiled(df.select(F.col(text)), text).select("_len", "_pre"))
+    lengths = profile.groupBy("_len").count().filter("count > 1").select("_len")
+    keys = profile.groupBy("_len", "_pre").count().filter("count > 1").join(lengths, "_len", "left_semi")
+    key = F.xxhash64("_len", "_pre")
+    return with_membership(_profiled(df, text), key, bitmap_of(keys, key))
 
 
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_all: bool = False) -> DataFrame:
