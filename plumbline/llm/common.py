@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +38,14 @@ def md5_int(*parts: Column, digits: int = 13) -> Column:
 FILTER_BITS = 1 << 23
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(key, F.lit(FILTER_BITS)) + 1
+def _bit(key: Column, bits: int = FILTER_BITS) -> Column:
+    return F.pmod(key, F.lit(bits)) + 1
 
 
-def bitmap_of(keys: DataFrame, key: Column) -> DataFrame:
-    """The set of ``key`` (long) values modulo FILTER_BITS as pages (_page, _bits): 1 MB, 256 rows, at most."""
+def bitmap_of(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """The set of ``key`` (long) values modulo ``bits`` as pages (_page, _bits) of 32768 bits; 1 MB at most by default."""
     return cut(
-        keys.select(_bit(key).alias("_b"))
+        keys.select(_bit(key, bits).alias("_b"))
         .groupBy(F.bitmap_bucket_number("_b").alias("_page"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_bits"))
     )
@@ -90,3 +91,13 @@ def components(edges: DataFrame) -> DataFrame:
     roots = now.groupBy("a").agg(F.min("b").alias("component"))
     tops = now.select(F.col("b").alias("a")).distinct().join(roots, "a", "left_anti")
     return roots.unionByName(tops.select("a", F.col("a").alias("component"))).withColumnRenamed("a", "node")
+
+
+def bitmap_array(keys: DataFrame, key: Column, bits: int) -> np.ndarray:
+    """The same set as bytes, bit i of byte j standing for 8 j + i; bits / 8 bytes, whatever the number of keys."""
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in bitmap_of(keys, key, bits).collect():
+        page = np.frombuffer(r["_bits"], dtype=np.uint8)
+        at = (r["_page"] - 1) * len(page)
+        out[at : at + len(page)] = page[: len(out) - at]
+    return out

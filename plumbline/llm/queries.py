@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, sharding, topk, toxicity
+from . import bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, sharding, suffix_dedup, topk, toxicity
 from .common import documents
 
 SHARDS = 16
@@ -64,6 +64,10 @@ def op7_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), digest_all=True)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), digest=True)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(documents(spark, sf_dir))
 
@@ -83,6 +87,7 @@ QUERIES = {
         op5_bpe_round_trip,
         op6_mix_sources,
         op7_exact_groups,
+        op8_repeated_passages,
         op9_ngram_jaccard,
         op10_voronoi_top_k,
     )
