@@ -21,7 +21,7 @@ whole sets.  Equal sets are joined before, so copies are never paired.
 
 Defined cases: a null text counts as empty; a set without words is empty and linked with nothing; with fewer than five words
 the whole sequence is the one shingle; rows that share a doc_id are one document with the links of all of them; a null
-doc_id counts as the largest; an empty table gives an empty result; other columns are not looked at.
+doc_id counts as larger than any other and never as equal to another text's; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, components, cut, text_or_empty, with_membership
@@ -45,7 +45,8 @@ SMALL_GROUP = 8
 #: Shingles that a batch of rows holds so often are reported; those with so many reports in all are common.
 BATCH_REPEATS = 4
 COMMON_LEAST, COMMON_MOST = 48, 1 << 20
-NO_ID = (1 << 63) - 1
+#: Documents without an id get numbers from here on, by their text.
+NO_ID = 1 << 62
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -216,7 +217,11 @@ def _signed(x: np.ndarray, rare: np.ndarray, band: Band) -> np.ndarray:
 
 
 def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), text_or_empty(text).alias("text"))
+    return df.select(_node(doc_id, text).alias("doc"), text_or_empty(text).alias("text"))
+
+
+def _node(doc_id: str, text: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.pmod(F.xxhash64(text_or_empty(text)), F.lit(NO_ID)) + NO_ID)
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -304,11 +309,10 @@ def _to_representatives(pairs: DataFrame, groups: DataFrame, percent: int) -> Da
     ).distinct()
 
 
-def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``df``."""
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """doc, n, component for every row of ``docs`` (doc, text)."""
     if percent < 80:
         raise ValueError("the size bands hold for similarities of 80 percent and more")
-    docs = _documents(df, doc_id, text)
     profiles = cut(_profiles(docs))
     rows = profiles.filter("n >= 0").select("doc", "n", "h1", "h2")
     reported = profiles.filter("n < 0").groupBy("h1").agg(F.sum("times").alias("times"))
@@ -360,9 +364,25 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not more.isEmpty():
         found = cut(components(links.unionByName(copies).unionByName(more)))
     result = rows.select("doc", "n").join(found, rows["doc"] == found["node"], "left")
-    real = lambda c: F.when(c != NO_ID, c)
-    return result.select(
-        real(F.col("doc")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        real(F.coalesce("component", "doc")).alias("component_id"),
+    return result.select("doc", "n", F.coalesce("component", "doc").alias("component"))
+
+
+def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``df``."""
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return _components(_documents(df, doc_id, text), percent).select(
+        real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id")
     )
+
+
+def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` with the smallest doc_id of their component, with all columns.
+
+    Only rows that a bitmap of the others' ids marks are shuffled.
+    """
+    found = _components(_documents(df, doc_id, text), percent)
+    dropped = cut(found.filter("component <> doc").select("doc").distinct())
+    rows = df.select(F.struct("*").alias("_row"), _node(doc_id, text).alias("doc"))
+    marked = with_membership(rows, F.col("doc"), bitmap_of(dropped, F.col("doc")))
+    checked = marked.filter("_maybe").join(dropped, "doc", "left_anti").select("_row")
+    return marked.filter("NOT _maybe").select("_row").unionByName(checked).select("_row.*")
