@@ -138,6 +138,19 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7)
     return net
 
 
+def _parts(texts: list[str], size: int = 1 << 21) -> Iterator[list[str]]:
+    """``texts`` in runs of about ``size`` characters, so that few segments are held at once."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 class Pooled:
     """Sums of a network's position probabilities over a segment, each distinct segment computed once."""
 
@@ -197,7 +210,8 @@ def identify(df: DataFrame, net: BiGRU, doc_id: str = "doc_id", text: str = "tex
             lettered = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool) & bool(net.labels)
             lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             if lettered.any():
-                p = pooled.batch([segments(t) for t, ok in zip(texts, lettered) if ok])
+                read = [t for t, ok in zip(texts, lettered) if ok]
+                p = np.concatenate([pooled.batch([segments(t) for t in part]) for part in _parts(read)])
                 lang[lettered] = np.array(net.labels, dtype=object)[p.argmax(axis=1)]
                 score[lettered] = p.max(axis=1)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score})
