@@ -6,7 +6,8 @@ queries of cell i, a floor that k inner products surely reach and, for every dat
 
     q.x = q.p + q.(x - p),   so   |q.x - q.p| <= |q| d(x, p),   and   |q.p - p_i.p| <= d(q, p_i) |p|.
 
-A data cell goes to the query cells whose floor its ceiling reaches.  A cell's data are dealt over blocks of about
+A data cell goes to the query cells whose floor its ceiling reaches.  Query cells that need the same data cells form one
+group, which gets one copy of each for every ``QUERY_ROWS`` queries.  A cell's data are dealt over blocks of about
 ``BLOCK_ROWS`` rows, so a cell that holds a third of all rows is many tasks; each block gives its k best for each query and
 the blocks' lists meet per query.
 
@@ -32,6 +33,7 @@ from .common import cut
 K = 5
 PIVOTS = 64
 BLOCK_ROWS = 20_000
+QUERY_ROWS = 4096
 #: Slack of the bounds against rounding in floating point.
 SLACK = 1e-6
 
@@ -127,16 +129,32 @@ def top_k(
     cells = summary.join(near, "cell").collect()  # a row for each pivot at most
     reach = _reach(pivots, cells, k)
     blocks = {r.cell: max(1, -(-r.n // block_rows)) for r in cells}
-    routes = [(i, j, blocks[j]) for i, to in reach.items() for j in to]
+    asks = {r.cell: r.queries for r in cells}
+    groups: dict[tuple, list[int]] = {}
+    for i, to in reach.items():
+        groups.setdefault(tuple(to), []).append(i)
+    members, routes = [], []
+    for to, cells_of in groups.items():
+        q_blocks = -(-sum(asks[i] for i in cells_of) // QUERY_ROWS)
+        members += [(i, cells_of[0], q_blocks) for i in cells_of]
+        routes += [(cells_of[0], j, blocks[j], q_blocks) for j in to]
     if not routes:
         return spark.createDataFrame([], out)
-    routed = F.broadcast(spark.createDataFrame(routes, "q_cell int, cell int, blocks int"))  # PIVOTS ** 2 rows at most
+    # A row per pair of cells at most.
+    routed = F.broadcast(spark.createDataFrame(routes, "q_group int, cell int, blocks int, q_blocks int"))
+    grouped = F.broadcast(spark.createDataFrame(members, "q_cell int, q_group int, q_blocks int"))
+    on = ["q_group", "cell", "block", "q_block"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     data = placed.select("uid", "vec_id", "v", "cell").join(routed, "cell").select(
-        "q_cell", "cell", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"), "uid", "vec_id", "v"
+        "q_group", "cell", share("blocks").alias("block"), each("q_blocks").alias("q_block"), "uid", "vec_id", "v"
     )
-    asked = placed.filter(query).select("uid", "vec_id", "v", F.col("cell").alias("q_cell"))
-    queries = asked.join(routed, "q_cell").select(
-        "q_cell", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "uid", "vec_id", "v"
+    asked = placed.filter(query).select("uid", "vec_id", "v", F.col("cell").alias("q_cell")).join(grouped, "q_cell")
+    queries = asked.select("uid", "vec_id", "v", "q_group", share("q_blocks").alias("q_block")).join(
+        routed.select("q_group", "cell", "blocks"), "q_group"
+    )
+    queries = queries.select("q_group", "cell", each("blocks").alias("block"), "q_block", "uid", "vec_id", "v").toDF(
+        *on, *[f"query_{c}" for c in ("uid", "vec_id", "v")]
     )
 
     def solve(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -161,8 +179,6 @@ def top_k(
                     best.append(np.column_stack([np.full(len(at), uid), np.full(len(at), vid), ids[at], s[at]]))
         return pd.DataFrame(np.concatenate(best), columns=["uid", "query_id", "vec_id", "score"])
 
-    on = ["q_cell", "cell", "block"]
-    queries = queries.toDF("q_cell", "cell", "block", *[f"query_{c}" for c in ("uid", "vec_id", "v")])
     local = queries.groupBy(*on).cogroup(data.groupBy(*on)).applyInPandas(solve, "uid long, query_id long, vec_id long, score long")
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
