@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -123,7 +123,10 @@ def max_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 # --- duplicates -------------------------------------------------------------------------------------------------------
 
-_TOKENS = F.split(F.lower(F.col("text")), " ", -1)
+def _tokens() -> Column:
+    return F.split(F.lower(F.col("text")), " ", -1)
+
+
 _NEAR_SQL = """
     WITH c AS (SELECT min(doc_id) AS id, string_split(lower(text), ' ') AS t FROM documents
                WHERE text IS NOT NULL GROUP BY string_split(lower(text), ' ')),
@@ -138,7 +141,7 @@ _NEAR_SQL = """
 
 @query(_NEAR_SQL + " SELECT * FROM p")
 def near_duplicate_docs(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.near_duplicate(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", _TOKENS)
+    return duplicates.near_duplicate(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", _tokens())
 
 
 @query(_NEAR_SQL + """
@@ -347,8 +350,12 @@ def required_group(spark: SparkSession, d: str) -> DataFrame:
     return gates.required_group(required, existing, ["nation", "priority"])
 
 
-_MODULE = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-_SEGMENT = F.regexp_extract("url", r"^https?://[^/?#]+/([^/?#]*)", 1)
+def _module() -> Column:
+    return F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+
+
+def _segment() -> Column:
+    return F.regexp_extract("url", r"^https?://[^/?#]+/([^/?#]*)", 1)
 
 
 @query(r"""
@@ -359,7 +366,7 @@ _SEGMENT = F.regexp_extract("url", r"^https?://[^/?#]+/([^/?#]*)", 1)
                               WHEN (m = 'EXAMPLE.NET' OR m LIKE 'EXAMPLE.NET.%' OR m LIKE '%.EXAMPLE.NET') AND t = 'EN' THEN 'example.net>en' END AS rule FROM m)
     SELECT page_id, module, target, rule FROM x WHERE rule IS NOT NULL AND NOT upper(url) LIKE '%/825'""")
 def barrier(spark: SparkSession, d: str) -> DataFrame:
-    refs = table(spark, d, "pages").select("page_id", "url", _MODULE.alias("module"), _SEGMENT.alias("target"))
+    refs = table(spark, d, "pages").select("page_id", "url", _module().alias("module"), _segment().alias("target"))
     rules = [("example.com", "fr"), ("example.net", "en")]
     return gates.barrier(refs, "module", "target", rules, "url", ["825"]).drop("url")
 
@@ -387,7 +394,10 @@ def name_pattern(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_PATH = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
+def _path() -> Column:
+    return F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
+
+
 _PATH_SQL = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 
 
@@ -396,7 +406,7 @@ _PATH_SQL = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
            regexp_full_match(p, '([^/]+/)*8[^/]*') AS deep
     FROM (SELECT page_id, ltrim({_PATH_SQL}, '/') AS p FROM pages)""")
 def glob_paths(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", F.ltrim(_PATH, F.lit("/")).alias("path"))
+    pages = table(spark, d, "pages").select("page_id", F.ltrim(_path(), F.lit("/")).alias("path"))
     path, name = F.col("path"), X.file_name(F.col("path"))
     return pages.select(
         "page_id", P.glob_match(path, name, "fr/*").alias("in_fr"), P.glob_match(path, name, "*5").alias("ends_five"),
@@ -408,30 +418,31 @@ def glob_paths(spark: SparkSession, d: str) -> DataFrame:
     SELECT page_id, dirs FROM (SELECT page_id, list_filter(string_split({_PATH_SQL}, '/'), lambda x: x <> '')[:-2] AS d FROM pages),
         LATERAL (SELECT array_to_string(d, '/') AS dirs) WHERE len(d) > 0 AND upper(d[-1]) = 'FR'""")
 def folder_suffix(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", X.dir_parts(_PATH).alias("parts"))
+    pages = table(spark, d, "pages").select("page_id", X.dir_parts(_path()).alias("parts"))
     return pages.filter(P.folder_suffix(F.col("parts"), "fr")).select("page_id", F.array_join("parts", "/").alias("dirs"))
 
 
 @query(rf"""
     SELECT page_id, CASE WHEN regexp_matches('/' || p, '/(?i:example)/(?i:en)/[^/]*$') THEN 0 WHEN regexp_matches('/' || p, '/(?i:en)/[^/]*$') THEN 1
-                         WHEN regexp_matches('/' || p, '/(?i:fr)/[^/]*$') THEN 2 END::INT AS rule
+                         WHEN regexp_matches('/' || p, '/(?i:fr)/[^/]*$') THEN 2 ELSE -1 END::INT AS rule
     FROM (SELECT page_id, 'example' || regexp_replace({_PATH_SQL}, '/+$', '') AS p FROM pages)""")
 def best_match_deepest(spark: SparkSession, d: str) -> DataFrame:
     rules = [{"folder": "example/en"}, {"folder": "en"}, {"folder": "fr"}]
-    clean = F.concat(F.lit("example"), F.regexp_replace(_PATH, "/+$", ""))
+    clean = F.concat(F.lit("example"), F.regexp_replace(_path(), "/+$", ""))
     pages = table(spark, d, "pages").select("page_id", X.dir_parts(clean).alias("parts"))
     test = lambda r: P.folder_suffix(F.col("parts"), r["folder"])
-    return gates.best_match(pages, rules, test, lambda r: len(P.folder_parts(r["folder"]))).drop("parts")
+    found = gates.best_match(pages, rules, test, lambda r: len(P.folder_parts(r["folder"])))
+    return found.select("page_id", F.coalesce("rule", F.lit(-1)).alias("rule"))
 
 
 @query("""
     SELECT p_partkey, p_name, CASE WHEN ends_with(p_name, 'red ring') THEN 2 WHEN ends_with(p_name, 'ring') THEN 1
-                                   WHEN ends_with(p_name, 'g') THEN 0 END::INT AS rule FROM part""")
+                                   WHEN ends_with(p_name, 'g') THEN 0 ELSE -1 END::INT AS rule FROM part""")
 def best_match_longest_suffix(spark: SparkSession, d: str) -> DataFrame:
     rules = [{"suffix": "g"}, {"suffix": "ring"}, {"suffix": "red ring"}]
     parts = table(spark, d, "part").select("p_partkey", "p_name")
     test = lambda r: F.endswith("p_name", F.lit(r["suffix"]))
-    return gates.best_match(parts, rules, test, lambda r: len(r["suffix"]))
+    return gates.best_match(parts, rules, test, lambda r: len(r["suffix"])).withColumn("rule", F.coalesce("rule", F.lit(-1)))
 
 
 @query("""SELECT 'part' AS kind, p_partkey AS id, p_name AS name FROM part WHERE length(p_name) < 9

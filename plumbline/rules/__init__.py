@@ -1,0 +1,36 @@
+"""Code-conformance rules over fact tables.
+
+A rule is a function of the facts (DataFrames by name) and the options (a flat map of strings) that returns diagnostics.
+Facts, with the columns the rules read:
+
+source_file  project, path, n_lines, is_generated, is_test
+type_decl    project, path, name, arity, namespace, kind, is_nested, is_sealed, is_static, accessibility, base,
+             interfaces (array), start_line, non_blank_lines
+member       project, path, type_name, type_kind, kind, name, arity, ordinal, line, accessibility, has_body, complexity,
+             non_blank_lines, body_lines, body_hash, tokens (array of int), imposed_externally
+parameter    project, path, line, type_name, type_kind, method, name, nominal_names (array), is_error
+reference    project, path, line, to_symbol, to_assembly
+operation    project, path, line, op_id, parent_op_id, kind, operator, is_builtin, is_constant, result_type, n_holes
+assembly_type  assembly, metadata_name, accessibility
+head_member  type_name, name, arity, complexity, body_hash, body_lines
+test_method  path, test, attributes (array of struct name, named_args), has_assertion, body_hash, head_hash, type_refs
+             (array), invoked (array)
+numstat      project, path, added, is_test          baseline  project, lines
+churn        path, n                                changed   path
+removed_text / added_text   lines of either side (see ``code.reappearing``)
+"""
+
+from . import code, names, references, size, structure
+
+RULES = {**structure.RULES, **size.RULES, **references.RULES, **names.RULES, **code.RULES}
+
+
+def run(facts: dict, options: dict[str, str], only: list[str] | None = None):
+    """The union of all rules' diagnostics; a rule whose options are unset, or whose facts are missing, stays silent."""
+    out = None
+    for rule, (needs, f) in RULES.items():
+        if (only is None or rule in only) and all(n in facts for n in needs):
+            found = f(facts, options)
+            if found is not None:
+                out = found if out is None else out.unionByName(found)
+    return out
