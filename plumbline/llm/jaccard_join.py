@@ -15,9 +15,11 @@ well, and empty ones only if they have more empty segments than slack.  Nothing
 
 Which allocation a band gets, exact segments or fewer ones with neighbourhoods, is decided by estimated cost.
 
-Groups of a shared signature: small ones give all their pairs; of larger ones each member is paired with the smallest at
-first, then members that the links so far leave in different components are paired.  Every pair is verified on the
-whole sets.  Equal sets are joined before, so copies are never paired.
+Groups of a shared signature are verified on the whole sets.  Groups of up to ``SMALL_GROUP`` give pairs.  Members of larger
+ones are dealt over blocks (by the largest group they are in, ``BLOCK_DOCS`` to a block), and two blocks meet where a
+signature has members in both: a task compares two blocks of bounded size at once and returns a spanning forest of
+their links, so a group of n similar documents gives n - 1 links and never its pairs.  Equal sets are joined before,
+so copies are never compared.
 
 Defined cases: a null text counts as empty; a set without words is empty and linked with nothing; with fewer than five words
 the whole sequence is the one shingle; rows that share a doc_id are one document with the links of all of them; a null
@@ -28,7 +30,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -42,6 +43,7 @@ WORDS = 5
 PERCENT = 80
 BAND_RATIO = 1.5
 SMALL_GROUP = 8
+BLOCK_DOCS = 512
 #: Shingles that a batch of rows holds so often are reported; those with so many reports in all are common.
 BATCH_REPEATS = 4
 COMMON_LEAST, COMMON_MOST = 48, 1 << 20
@@ -160,7 +162,6 @@ def allocate(number: int, low: int, high: int) -> Band:
     return best[1]
 
 
-@lru_cache(maxsize=None)
 def band_list(upto: int = 1 << 34) -> tuple[Band, ...]:
     """Bands of sizes from 4 (smaller sets are similar to equal ones only)."""
     out, low = [], 4
@@ -297,6 +298,69 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared * 100 >= union * percent).select("a", "b").distinct()
 
 
+def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the same documents as all links among ``sets`` do, one less than documents for each component."""
+    count = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    values, of = np.concatenate(sets), np.repeat(np.arange(count), sizes)
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    often = np.repeat(np.diff(np.append(begin, len(values))), np.diff(np.append(begin, len(values))))
+    shared = np.zeros(count * count, dtype=np.int64)
+    few = 8
+    for k in range(1, few):  # pairs of the holders of rarely held shingles
+        same = (values[k:] == values[:-k]) & (often[k:] <= few)
+        shared += np.bincount(of[:-k][same] * count + of[k:][same], minlength=count * count)
+    shared = shared.reshape(count, count)
+    shared += shared.T
+    much = often > few
+    column = np.cumsum(np.concatenate([[True], values[much][1:] != values[much][:-1]])) - 1 if much.any() else np.zeros(0, int)
+    holder = of[much]
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, [c, c + 2048])
+        held = np.zeros((count, 2048), dtype=np.float32)
+        held[holder[lo:hi], column[lo:hi] - c] = 1
+        shared += np.rint(held @ held.T).astype(np.int64)
+    similar = (shared * 100 >= (sizes[:, None] + sizes[None, :] - shared) * percent) & (shared > 0)
+    open_, out = np.ones(count, dtype=bool), []
+    for root in range(count):
+        if open_[root]:
+            open_[root], queue = False, [root]
+            while queue:
+                i = queue.pop()
+                new = np.flatnonzero(similar[i] & open_)
+                open_[new] = False
+                queue += new.tolist()
+                out += [(int(ids[i]), int(ids[j])) for j in new]
+    return out
+
+
+def _crowd_links(crowds: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links a, b that connect what the members (sig, doc, size) of large groups have in common, block by block."""
+    homes = crowds.groupBy("doc").agg(F.max_by("sig", F.struct("size", "sig")).alias("home"))
+    counts = homes.groupBy("home").agg(F.count("*").alias("docs"))
+    part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("docs") / BLOCK_DOCS))
+    placed = cut(homes.join(counts, "home").select("doc", F.xxhash64("home", part).alias("block")))
+    of_sig = crowds.join(placed, "doc").select("sig", "block").distinct()
+    other = of_sig.select("sig", F.col("block").alias("right"))
+    meetings = of_sig.withColumnRenamed("block", "left").join(other, "sig").filter("left <= right").select("left", "right").distinct()
+    meetings = cut(meetings)
+    wanted = with_membership(docs, F.col("doc"), bitmap_of(placed, F.col("doc"))).filter("_maybe").select("doc", "text")
+    sets = _sets(wanted).join(placed, "doc")
+    left = meetings.join(sets.withColumnRenamed("block", "left"), "left")
+    right = meetings.filter("left < right").join(sets.withColumnRenamed("block", "right"), "right").select(
+        F.col("left").alias("l"), F.col("right").alias("r"), F.col("doc").alias("d"), F.col("items").alias("x")
+    )
+
+    def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids = np.concatenate([a["doc"].to_numpy(), b["d"].to_numpy()]).astype(np.int64)
+        return pd.DataFrame(_forest(ids, [*a["items"], *b["x"]], percent), columns=["a", "b"])
+
+    pairs = left.select("left", "right", "doc", "items").groupBy("left", "right").cogroup(right.groupBy("l", "r"))
+    return pairs.applyInPandas(compare, "a long, b long").distinct()
+
+
 def _to_representatives(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs a < b of representatives whose sizes allow similarity."""
     of = groups.select(F.col("doc").alias("_d"), F.col("rep").alias("_r"), F.col("n").alias("_n"))
@@ -324,45 +388,28 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     groups = cut(rows.filter("n > 0").join(same, ["n", "h1", "h2"]).select("doc", "n", "rep").distinct())
 
     order = Window.partitionBy("sig").orderBy("doc")
-    whole = Window.partitionBy("sig")
     signed = _signature_rows(docs, common).withColumns(
         {
-            "size": F.count("*").over(whole),
+            "size": F.count("*").over(Window.partitionBy("sig")),
             "next": F.array(*[F.lead("doc", k).over(order) for k in range(1, SMALL_GROUP)]),
-            "first": F.min("doc").over(whole),
         }
     )
+    none, row = F.lit(None).cast("long"), "struct<b:bigint,sig:bigint,size:bigint>"
+    pair = F.transform(
+        F.filter("next", lambda x: x.isNotNull()), lambda x: F.struct(x.alias("b"), none.alias("sig"), none.alias("size")).cast(row)
+    )
+    member = F.array(F.struct(none.alias("b"), F.col("sig"), F.col("size")).cast(row))
     met = cut(
-        signed.filter("size > 1").select(
-            "sig",
-            "doc",
-            F.when(F.col("size") <= SMALL_GROUP, F.filter("next", lambda x: x.isNotNull()))
-            .otherwise(F.array("first"))
-            .alias("others"),
-            (F.col("size") > SMALL_GROUP).alias("large"),
-        )
+        signed.filter("size > 1")
+        .select(F.col("doc").alias("a"), F.explode(F.when(F.col("size") <= SMALL_GROUP, pair).otherwise(member)).alias("m"))
+        .select("a", "m.*")
+        .distinct()
     )
-    pairs = met.select(F.col("doc").alias("a"), F.explode("others").alias("b")).distinct()
+    pairs = cut(_to_representatives(met.filter("sig IS NULL").select("a", "b"), groups, percent))
+    crowds = met.filter("sig IS NOT NULL").select("sig", F.col("a").alias("doc"), "size")
     copies = groups.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    tried = cut(_to_representatives(pairs, groups, percent))
-    links = cut(_links(tried, docs, percent))
-    found = cut(components(links.unionByName(copies)))
-
-    # Members of large groups that are still apart.
-    large = met.filter("large").select("sig", "doc").join(
-        groups.select("doc", "rep").groupBy("doc").agg(F.min("rep").alias("rep")), "doc"
-    ).select("sig", F.col("rep").alias("doc")).distinct()
-    placed = large.join(found, large["doc"] == found["node"], "left").select(
-        "sig", "doc", F.coalesce("component", "doc").alias("component")
-    )
-    apart = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    members = cut(placed.join(apart.select("sig"), "sig"))
-    other = members.select("sig", F.col("doc").alias("b"), F.col("component").alias("other"))
-    crossing = members.join(other, "sig").filter("component < other").select(F.col("doc").alias("a"), "b").distinct()
-    left = _to_representatives(crossing, groups, percent).join(tried, ["a", "b"], "left_anti")
-    more = cut(_links(cut(left), docs, percent))
-    if not more.isEmpty():
-        found = cut(components(links.unionByName(copies).unionByName(more)))
+    links = _links(pairs, docs, percent).unionByName(_crowd_links(crowds, docs, percent)).unionByName(copies)
+    found = components(links)
     result = rows.select("doc", "n").join(found, rows["doc"] == found["node"], "left")
     return result.select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
