@@ -7,12 +7,15 @@ their anchor, so a text becomes a row of contexts: the anchor and the bytes of a
 1. One scan counts contexts by anchor (64-bit hashes, aggregated before the shuffle).
 2. Anchors met once are done: nothing in their contexts repeats.  Where all contexts of an anchor are the same, all their
    strings repeat.  Both need no bytes.
-3. Where contexts differ, a second scan ships their bytes (a bitmap of fixed size says which), and threshold-bounded
-   interval expansion runs on blocks of such contexts: their suffixes are sorted, and breadth-first backward extension on
-   the Burrows-Wheeler transform derives the longest common prefixes by increasing value; it stops at ``length``.
-   Boundaries that are then still open lie between suffixes that share ``length`` bytes or more.
-4. An anchor of more contexts than a block holds is cut over blocks, and one of very many is salted over tasks; the strings
-   that repeat in no block of its own are then compared across its blocks by a 128-bit hash.
+3. Where contexts differ, a second scan ships their bytes (a bitmap of fixed size says which).  Sorted once to the right
+   and once to the left of their anchor, each has its longest match on either side next to it; what lies beyond both
+   can't repeat and is cut off, and what is left is mostly nothing, or the same bytes as of another context.
+4. Where variants remain, threshold-bounded interval expansion runs on blocks of them: their suffixes are sorted, and
+   breadth-first backward extension on the Burrows-Wheeler transform derives the longest common prefixes by increasing
+   value; it stops at ``length``.  Boundaries that are then still open lie between suffixes that share ``length`` bytes
+   or more.
+5. An anchor of more variants than a block holds is cut over blocks, and one of very many contexts is salted over tasks;
+   the strings that repeat in no block of its own are then compared across its blocks by a 128-bit hash.
 
 The repeated starts of a text become its removed runs; only texts that have any are shuffled to meet them.
 
@@ -37,6 +40,8 @@ LENGTH = 200
 GRAM = 50
 CHUNK = 1 << 20
 BLOCK = 160 << 10
+#: Contexts that are resolved together, and intervals that are extended at once.
+GROUP_ROWS, EXTEND = 8192, 8192
 BITMAP = 1 << 26
 #: Contexts of an anchor from which on it is salted; more for more data, so that there are few such anchors.
 HOT_LEAST, HOT_MOST = 20_000, 1 << 16
@@ -72,7 +77,7 @@ class Contexts:
         ends = np.cumsum(sizes)
         self.begin = self.count = np.zeros(0, dtype=np.int64)
         self.key = self.context = np.zeros(0, dtype=U)
-        self.text = self.first = np.zeros(0, dtype=np.int64)
+        self.text = self.first = self.offset = np.zeros(0, dtype=np.int64)
         if len(x) < length or not (sizes >= length).any():
             return
         up, down = powers.upto(len(x) + 1)
@@ -90,7 +95,7 @@ class Contexts:
         stop = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
         self.count = stop - self.begin + 1  # strings of the context
         anchor = least[self.begin]
-        self.key = grams[anchor]
+        self.key, self.offset = grams[anchor], anchor - self.begin
         body = (self.sums[self.begin + self.count + length - 1] - self.sums[self.begin]) * down[self.begin]
         self.context = mixed(body ^ mixed((anchor - self.begin).astype(U) * U(1 << 32) + self.count.astype(U)))
         part = np.searchsorted(ends, self.begin, side="right")
@@ -106,7 +111,7 @@ def _batches(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
     texts, at = [t.encode("utf-8") for t in pdf["text"]], 0
     while at < len(texts):
         size, begin = 0, at
-        while at < len(texts) and (at == begin or size + len(texts[at]) <= 2 * CHUNK):
+        while at < len(texts) and (at == begin or size + len(texts[at]) <= CHUNK):
             size += len(texts[at])
             at += 1
         yield pdf.iloc[begin:at], texts[begin:at]
@@ -170,12 +175,15 @@ def _expand(bwt: np.ndarray, c: np.ndarray, n: int, sigma: int, length: int) ->
         single = high - low == 1
         one = back[low[single]]
         low, high = low[~single], high[~single]
-        lows = (c[:sigma, None] + rank[:, low]).ravel()
-        highs = (c[:sigma, None] + rank[:, high]).ravel()
-        kept = (lows < highs) & ~(closed[highs] if depth else highs < 0)
-        low, high = np.concatenate([lows[kept], one]), np.concatenate([highs[kept], one + 1])
-        open_ = ~closed[high] if depth else np.ones(len(high), dtype=bool)
-        low, high = low[open_], high[open_]
+        grown = [(one, one + 1)]
+        for i in range(0, len(low), EXTEND):
+            lows = (c[:sigma, None] + rank[:, low[i : i + EXTEND]]).ravel()
+            highs = (c[:sigma, None] + rank[:, high[i : i + EXTEND]]).ravel()
+            kept = lows < highs
+            grown.append((lows[kept], highs[kept]))
+        low, high = (np.concatenate(side) for side in zip(*grown))
+        fresh = ~closed[high] if depth else np.ones(len(high), dtype=bool)
+        low, high = low[fresh], high[fresh]
         if not len(low):
             break
         closed[high] = True
@@ -226,74 +234,164 @@ def _marked(rows: DataFrame, bitmap: np.ndarray, hot: dict[int, int], length: in
                 out |= {"first": c.first[hit], "strings": c.count[hit], "key": keys, "context": contexts}
                 if with_body:
                     out["salt"] = [1 + x % salts[k] if (k := int(key)) in salts else 0 for key, x in zip(keys, contexts)]
-                    out["body"] = [c.body(i) for i in hit]
+                    out["offset"], out["body"] = c.offset[hit], [c.body(i) for i in hit]
                 yield pd.DataFrame(out)
 
     names = "doc long, th long, first long, strings long, key long, context long"
-    return rows.mapInPandas(run, names + (", salt int, body binary" if with_body else ""))
+    return rows.mapInPandas(run, names + (", salt int, offset long, body binary" if with_body else ""))
 
 
-class _Block:
-    """Distinct contexts that go through one expansion, each with the rows that hold it."""
+def _matches(group: np.ndarray, parts: list[bytes]) -> np.ndarray:
+    """For each part the longest common prefix with any other part of its group."""
+    width = max(1, max(map(len, parts)))
+    padded = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), dtype=np.uint8).reshape(len(parts), width)
+    keyed = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), padded], axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{width + 4}").ravel(), kind="stable")
+    differ = keyed[order[1:]] != keyed[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width + 4) - 4  # below 0: another group
+    most = np.zeros(len(parts), dtype=np.int64)
+    most[order[1:]] = common
+    most[order[:-1]] = np.maximum(most[order[:-1]], common)
+    return np.minimum(np.maximum(most, 0), [len(p) for p in parts])
 
-    def __init__(self):
-        self.bodies, self.holders, self.open, self.size = [], [], [], 0
 
-    def add(self, body: bytes) -> None:
-        self.bodies.append(body)
-        self.holders.append([])
-        self.open.append(False)
-        self.size += len(body)
+class _Variant:
+    """Bytes that some contexts of an anchor have in common, and where they start in the texts that hold them."""
+
+    __slots__ = ("body", "holders", "repeated")
+
+    def __init__(self, body: bytes, repeated: bool):
+        self.body, self.holders, self.repeated = body, [], repeated
+
+
+def _resolve(rows: pd.DataFrame, spread: bool, length: int, block_size: int, powers: Powers) -> list[tuple]:
+    """(doc, th, a, b, w1, w2) for the contexts of whole anchors, or (``spread``) of a part of one anchor."""
+    out = []
+    keys, contexts = rows[["key", "salt"]].to_numpy(), rows["context"].to_numpy()
+    new_group = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+    new = new_group | np.concatenate([[True], contexts[1:] != contexts[:-1]])
+    begin = np.flatnonzero(new)
+    times = np.diff(np.append(begin, len(rows)))
+    group = (np.cumsum(new_group) - 1)[begin]
+    docs, ths, firsts = (rows[c].to_numpy() for c in ("doc", "th", "first"))
+    bodies, offsets = [bytes(x) for x in rows["body"].iloc[begin]], rows["offset"].to_numpy()[begin]
+    left = right = None
+    if not spread:
+        right = _matches(group, [x[o:] for x, o in zip(bodies, offsets.tolist())])
+        left = _matches(group, [x[:o][::-1] for x, o in zip(bodies, offsets.tolist())])
+    groups: dict[int, dict[bytes, _Variant]] = {}
+    for i, (g, at, n, body, o) in enumerate(zip(group.tolist(), begin.tolist(), times.tolist(), bodies, offsets.tolist())):
+        whole = n > 1  # the same context more than once: all of it repeats
+        if whole:
+            out += [(docs[r], ths[r], firsts[r], firsts[r] + len(body), None, None) for r in range(at, at + n)]
+        shift = 0
+        if not spread:
+            if left[i] + right[i] < length:
+                continue
+            shift, body = o - left[i], body[o - left[i] : o + right[i]]
+        variants = groups.setdefault(g, {})
+        v = variants.get(body)
+        if v is None:
+            v = variants[body] = _Variant(body, whole)
+        else:
+            v.repeated = True
+        if not whole:
+            v.holders.append((docs[at], ths[at], firsts[at] + shift))
+    block: list[_Variant] = []
+    size = 0
+    for variants in groups.values():
+        pieces = list(variants.values())
+        if not spread and all(v.repeated for v in pieces):
+            out += _covered(pieces, None, length)
+            continue
+        total = sum(len(v.body) for v in pieces)
+        if spread or total > 2 * block_size:
+            piece, held = [], 0
+            for v in pieces:
+                piece.append(v)
+                held += len(v.body)
+                if held >= block_size:
+                    out += _finish(piece, length, powers, True)
+                    piece, held = [], 0
+            out += _finish(piece, length, powers, True)
+            continue
+        block += pieces
+        size += total
+        if size >= block_size:
+            out += _finish(block, length, powers, False)
+            block, size = [], 0
+    return out + _finish(block, length, powers, False)
+
+
+def _covered(variants: list[_Variant], again: list[np.ndarray] | None, length: int) -> list[tuple]:
+    out = []
+    for i, v in enumerate(variants):
+        if v.repeated:
+            out += [(d, t, f, f + len(v.body), None, None) for d, t, f in v.holders]
+        elif again is not None and again[i].any():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], again[i].view(np.int8), [0]]))).tolist()
+            out += [(d, t, f + a, f + b + length - 1, None, None) for d, t, f in v.holders for a, b in zip(edge[::2], edge[1::2])]
+    return out
+
+
+def _finish(variants: list[_Variant], length: int, powers: Powers, further: bool) -> list[tuple]:
+    """Expansion of one block; ``further``: its strings are also compared with those of other blocks."""
+    if not variants:
+        return []
+    again = repeated_starts([v.body for v in variants], length)
+    out = _covered(variants, again, length)
+    if further:
+        for v, repeats in zip(variants, again):
+            w1, w2 = _string_hashes(v.body, length, powers)
+            for i, (x, y) in enumerate(zip(w1, w2)):
+                if v.repeated or repeats[i]:
+                    out.append((None, None, None, None, x, y))
+                else:
+                    out += [(d, t, f + i, f + i + length, x, y) for d, t, f in v.holders]
+    return out
 
 
 def _expanded(contexts: DataFrame, length: int, block_size: int) -> DataFrame:
     """a, b: the bytes that repeated strings cover, by doc and th; and rows with w1, w2 of strings to compare further.
 
-    The latter come from anchors cut over blocks: their strings met once in the block, and one of those met more often
-    (without doc).
+    The latter come from anchors cut over blocks: their strings met once in the block, and those met more often (without
+    doc).
     """
-
-    def finish(block: _Block, powers: Powers) -> pd.DataFrame:
-        out = []
-        for body, holders, cut_, again in zip(
-            block.bodies, block.holders, block.open, repeated_starts(block.bodies, length) if block.bodies else []
-        ):
-            if len(holders) > 1:
-                again = np.ones(len(again), dtype=bool)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
-            for doc, th, first in holders:
-                out += [(doc, th, first + a, first + b + length - 1, None, None) for a, b in zip(edge[::2], edge[1::2])]
-            if cut_:
-                w1, w2 = _string_hashes(body, length, powers)
-                doc, th, first = holders[0]
-                for i, (x, y) in enumerate(zip(w1, w2)):
-                    out.append((None, None, None, None, x, y) if again[i] else (doc, th, first + i, first + i + length, x, y))
-        return pd.DataFrame(out, columns=["doc", "th", "a", "b", "w1", "w2"]).astype("Int64")
+    names = ["doc", "th", "a", "b", "w1", "w2"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, block, group, last, spread = Powers(), _Block(), None, None, False
+        powers, held, part_of = Powers(), [], None
+
+        def resolved(rows: pd.DataFrame, spread: bool) -> pd.DataFrame:
+            found = _resolve(rows, spread, length, block_size, powers) if len(rows) else []
+            return pd.DataFrame(found, columns=names).astype("Int64")
+
+        def in_parts(rows: pd.DataFrame) -> pd.Series:
+            salted = rows["salt"] > 0
+            return salted | ((rows["key"] == part_of[0]) & (rows["salt"] == part_of[1])) if part_of else salted
+
         for pdf in batches:
-            for doc, th, first, key, context, salt, body in zip(
-                *(pdf[c] for c in ("doc", "th", "first", "key", "context", "salt", "body"))
-            ):
-                if (key, salt) != group:
-                    group, last, spread = (key, salt), None, salt > 0
-                    if block.size >= block_size:
-                        yield finish(block, powers)
-                        block = _Block()
-                if context != last:
-                    if block.size >= 2 * block_size:  # this anchor alone fills blocks
-                        for i in range(len(block.bodies)):
-                            block.open[i] = block.open[i] or i >= start
-                        yield finish(block, powers)
-                        block, spread = _Block(), True
-                    if last is None or not block.bodies:
-                        start = len(block.bodies)
-                    block.add(bytes(body))
-                    block.open[-1] = spread
-                    last = context
-                block.holders[-1].append((doc, th, first))
-        yield finish(block, powers)
+            for i in range(0, len(pdf), GROUP_ROWS):
+                held.append(pdf.iloc[i : i + GROUP_ROWS])
+                rows = pd.concat(held, ignore_index=True)
+                if len(rows) < GROUP_ROWS:
+                    continue
+                last = tuple(rows[["key", "salt"]].iloc[-1])
+                whole = (rows["key"] != last[0]) | (rows["salt"] != last[1])
+                salted = in_parts(rows)
+                yield resolved(rows[whole & ~salted], False)
+                yield resolved(rows[whole & salted], True)
+                rest = rows[~whole]
+                held = [rest]
+                if len(rest) >= 4 * GROUP_ROWS:  # an anchor that is too much at once
+                    edge = rest["context"] != rest["context"].iloc[-1]
+                    yield resolved(rest[edge], True)
+                    held, part_of = [rest[~edge]], last
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            salted = in_parts(rows)
+            yield resolved(rows[~salted], False)
+            yield resolved(rows[salted], True)
 
     ordered = contexts.repartition("key", "salt").sortWithinPartitions("key", "salt", "context")
     return ordered.mapInPandas(run, "doc long, th long, a long, b long, w1 long, w2 long")
