@@ -351,6 +351,12 @@ def _finish(variants: list[_Variant], length: int, powers: Powers, further: bool
     return out
 
 
+def _whole_numbers(values: list) -> pd.arrays.IntegerArray:
+    """64-bit numbers and nulls, never by way of floats."""
+    missing = np.array([v is None for v in values], dtype=bool)
+    return pd.arrays.IntegerArray(np.array([0 if v is None else int(v) for v in values], dtype=np.int64), missing)
+
+
 def _expanded(contexts: DataFrame, length: int, block_size: int) -> DataFrame:
     """a, b: the bytes that repeated strings cover, by doc and th; and rows with w1, w2 of strings to compare further.
 
@@ -364,7 +370,7 @@ def _expanded(contexts: DataFrame, length: int, block_size: int) -> DataFrame:
 
         def resolved(rows: pd.DataFrame, spread: bool) -> pd.DataFrame:
             found = _resolve(rows, spread, length, block_size, powers) if len(rows) else []
-            return pd.DataFrame(found, columns=names).astype("Int64")
+            return pd.DataFrame({n: _whole_numbers([r[i] for r in found]) for i, n in enumerate(names)})
 
         def in_parts(rows: pd.DataFrame) -> pd.Series:
             salted = rows["salt"] > 0
