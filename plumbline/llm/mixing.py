@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
 LEVEL_BITS = 12
 LEVELS = 4
-SALTS = 16
+SALTS, FEW_SOURCES = 16, 10_000
 
 
 def source_targets(per_source: DataFrame) -> DataFrame:
@@ -52,13 +52,17 @@ def source_targets(per_source: DataFrame) -> DataFrame:
 
 
 def _with_source(big: DataFrame, per_source: DataFrame) -> DataFrame:
-    """Join by source, null-safe; the few source rows are copied to SALTS salts so that no source meets in one task."""
-    salts = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed(
-        "source", "_source"
-    )
-    salted = big.withColumn("_salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
-    on = (salted["source"].eqNullSafe(salts["_source"])) & (salted["_salt"] == salts["_salt"])
-    return salted.join(salts, on, "left").drop(salts["_salt"]).drop("_salt", "_source")
+    """Join by source, null-safe, with a materialised table of a row per source.
+
+    The table is counted: up to ``FEW_SOURCES`` rows are broadcast.  More are copied to SALTS salts and joined by shuffle, so
+    that no source meets in one task.
+    """
+    few = per_source.count() <= FEW_SOURCES
+    salts = F.explode(F.sequence(F.lit(0), F.lit(0 if few else SALTS - 1)))
+    copies = per_source.withColumn("_salt", salts).withColumnsRenamed({"source": "_source", "_salt": "_copy"})
+    salted = big.withColumn("_salt", F.lit(0) if few else F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
+    on = salted["source"].eqNullSafe(copies["_source"]) & (salted["_salt"] == copies["_copy"])
+    return salted.join(F.broadcast(copies) if few else copies, on, "left").drop("_salt", "_copy", "_source")
 
 
 def _digit(level: int) -> Column:

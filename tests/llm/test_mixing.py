@@ -30,7 +30,7 @@ def corpus(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit(-1))
 
 
-def test_targets_and_taken(spark):
+def test_targets_and_taken(spark, monkeypatch):
     rows, df = corpus(spark)
     got = mixing.mix(df).collect()
     assert len(got) == len(rows)
@@ -46,6 +46,8 @@ def test_targets_and_taken(spark):
         taken[s] += r.taken
     assert all(abs(taken[s] - want[s]) <= 40 for s in sizes)
     assert sorted(map(tuple, mixing.mix(df.repartition(7)).collect())) == sorted(map(tuple, got))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 2)  # many sources are joined by shuffle
+    assert sorted(map(tuple, mixing.mix(df).collect())) == sorted(map(tuple, got))
 
 
 def test_rows_stand_as_often_as_they_are_taken(spark):
