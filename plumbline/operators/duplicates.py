@@ -28,36 +28,42 @@ def near_duplicate(
     """Pairs a < b of distinct contents whose shingle multisets overlap by ``similarity`` percent of the larger one.
 
     Equal token sequences are one content, stood for by its smallest id (``exact_duplicates`` gives the members), so a
-    group of copies is never paired with itself.  Candidates come from a prefix filter: with shingles numbered from rare
-    to frequent, contents that overlap enough share one among the first ``n - required + 1`` of either.  Frequent
-    shingles are in hardly any prefix, so they make no crowd, and nothing is lost.  Candidates are verified on the whole
-    multisets.
+    group of copies is never paired with itself.  Shingles that only one content has match nothing and go before anything
+    is gathered.  Candidates come from a prefix filter: with shingles ordered from rare to frequent, contents that overlap
+    enough share one among the first ``n - required + 1`` of either.  Frequent shingles are in hardly any prefix, so they
+    make no crowd, and nothing is lost.  Candidates are verified on the whole multisets.
     """
     rows = df.select(F.col(id_).alias("id"), tokens.alias("tokens")).filter(F.size("tokens") >= max(min_tokens, k))
     content = rows.groupBy(F.xxhash64("tokens").alias("_h"), F.sha2(F.array_join("tokens", "\x01"), 256).alias("_c")).agg(
         F.min_by(F.struct("id", "tokens"), "id").alias("r")
     )
-    sets = content.select("r.id", F.size("r.tokens").alias("length"), shingles(F.col("r.tokens"), k).alias("all"))
-    counted = (
-        sets.select("id", "length", F.size("all").alias("n"), F.explode("all").alias("shingle"))
-        .groupBy("id", "length", "n", "shingle")
-        .agg(F.count("*").alias("c"))
-    )
-    frequency = counted.groupBy("shingle").agg(F.count("*").alias("df"))
-    upto = Window.partitionBy("id").orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    bag = F.map_from_entries(F.collect_list(F.struct("shingle", "c")))
+    sets = content.select("r.id", F.size("r.tokens").alias("length"), shingles(F.col("r.tokens"), k).alias("s"))
+    each = sets.select("id", "length", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    counted = each.groupBy("id", "length", "n", "shingle").agg(F.count("*").alias("c"))
+    frequency = counted.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    entry = F.struct("df", "shingle", "c")
+    bags = counted.join(frequency, "shingle").groupBy("id", "length", "n").agg(F.array_sort(F.collect_list(entry)).alias("all"))
     required = F.floor((F.col("n") * similarity + 99) / 100)
-    ranked = counted.join(frequency, "shingle").withColumn("earlier", F.coalesce(F.sum("c").over(upto), F.lit(0)))
-    prefix = ranked.filter(F.col("earlier") <= F.col("n") - required).select("id", "length", "n", "shingle")
-    left = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("length").alias("len_a"), "shingle")
-    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("length").alias("len_b"), "shingle")
+    alone = F.col("n") - F.aggregate("all", F.lit(0).cast("long"), lambda acc, e: acc + e["c"])  # occurrences before the shared ones
+    start = F.struct(alone.cast("long").alias("before"), F.lit(0).alias("k"))
+    ahead = F.aggregate(
+        "all", start,
+        lambda acc, e: F.when(
+            acc["before"] <= F.col("n") - required,
+            F.struct((acc["before"] + e["c"]).cast("long").alias("before"), (acc["k"] + 1).alias("k")),
+        ).otherwise(acc),
+    )["k"]
+    bags = bags.withColumn("prefix", F.slice("all", F.lit(1), ahead)).persist()
+    ends = bags.select("id", "n", "length", F.explode("prefix.shingle").alias("shingle"))
+    left = ends.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("length").alias("len_a"), "shingle")
+    right = ends.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("length").alias("len_b"), "shingle")
     fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity)
     if length_window:
         fits = fits & (F.greatest("len_a", "len_b") * similarity <= F.least("len_a", "len_b") * 100)
     pairs = left.join(right, "shingle").filter(fits).select("a", "b", "n_a", "n_b").distinct()
-    bags = counted.groupBy("id").agg(bag.alias("bag"))
-    both = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(
-        bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b"
+    bag = F.map_from_arrays("all.shingle", "all.c")
+    both = pairs.join(bags.select(F.col("id").alias("a"), bag.alias("x")), "a").join(
+        bags.select(F.col("id").alias("b"), bag.alias("y")), "b"
     )
     shared = F.aggregate(
         F.map_entries("x"), F.lit(0).cast("long"),
