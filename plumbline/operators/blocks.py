@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_trivial, lines_of, normalize_line
+from ..functions.patterns import any_of
+from ..functions.text import is_trivial, normalize_line
 
 
 def line_windows(df: DataFrame, keep: Sequence[str], lines: Column, first_line: Column | None = None, k: int = 3) -> DataFrame:
@@ -18,7 +19,7 @@ def line_windows(df: DataFrame, keep: Sequence[str], lines: Column, first_line:
     """
     normal = df.select(*keep, F.transform(lines, normalize_line).alias("_l"), (F.lit(1) if first_line is None else first_line).alias("_f"))
     starts = F.when(F.size("_l") >= k, F.sequence(F.lit(0), F.size("_l") - k)).otherwise(F.array().cast("array<int>"))
-    meant = F.filter(starts, lambda i: ~F.exists(F.slice(F.col("_l"), i + 1, k), is_trivial))
+    meant = F.filter(starts, lambda i: ~any_of([is_trivial(F.get(F.col("_l"), i + j)) for j in range(k)]))
     return normal.select(*keep, "_f", "_l", F.explode(meant).alias("_i")).select(
         *keep, (F.col("_i") + F.col("_f")).cast("long").alias("line"),
         F.sha2(F.array_join(F.slice(F.col("_l"), F.col("_i") + 1, k), "\n"), 256).alias("window"),

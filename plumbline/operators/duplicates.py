@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Hashes of every ``k`` consecutive tokens, with repetitions."""
     n = F.size(tokens)
-    windows = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, k), "\x01")))
+    # Items one by one: inside a lambda, slice() would copy the whole array for every window.
+    windows = F.transform(
+        F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.concat_ws("\x01", *[F.get(tokens, i + j) for j in range(k)]))
+    )
     return F.when(n >= k, windows).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -37,12 +40,14 @@ def near_duplicate(
     content = rows.groupBy(F.xxhash64("tokens").alias("_h"), F.sha2(F.array_join("tokens", "\x01"), 256).alias("_c")).agg(
         F.min_by(F.struct("id", "tokens"), "id").alias("r")
     )
-    sets = content.select("r.id", F.size("r.tokens").alias("length"), shingles(F.col("r.tokens"), k).alias("s"))
-    each = sets.select("id", "length", F.size("s").alias("n"), F.explode("s").alias("shingle"))
-    counted = each.groupBy("id", "length", "n", "shingle").agg(F.count("*").alias("c"))
+    # Sizes go their own way: beside an exploded array they would be computed anew for each of its rows.
+    length = F.size("r.tokens")
+    sizes = content.select("r.id", length.alias("length"), (length - (k - 1)).alias("n"))
+    each = content.select(F.col("r.id").alias("id"), shingles(F.col("r.tokens"), k).alias("s")).select("id", F.explode("s").alias("shingle"))
+    counted = each.groupBy("id", "shingle").agg(F.count("*").alias("c"))
     frequency = counted.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     entry = F.struct("df", "shingle", "c")
-    bags = counted.join(frequency, "shingle").groupBy("id", "length", "n").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    bags = counted.join(frequency, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("all")).join(sizes, "id")
     required = F.floor((F.col("n") * similarity + 99) / 100)
     alone = F.col("n") - F.aggregate("all", F.lit(0).cast("long"), lambda acc, e: acc + e["c"])  # occurrences before the shared ones
     start = F.struct(alone.cast("long").alias("before"), F.lit(0).alias("k"))
@@ -61,16 +66,17 @@ def near_duplicate(
     if length_window:
         fits = fits & (F.greatest("len_a", "len_b") * similarity <= F.least("len_a", "len_b") * 100)
     pairs = left.join(right, "shingle").filter(fits).select("a", "b", "n_a", "n_b").distinct()
-    bag = F.map_from_arrays("all.shingle", "all.c")
-    both = pairs.join(bags.select(F.col("id").alias("a"), bag.alias("x")), "a").join(
-        bags.select(F.col("id").alias("b"), bag.alias("y")), "b"
+    # The k-th occurrence of a shingle as an item of its own: the overlap of multisets is that of sets of such items.
+    bag = F.flatten(
+        F.transform("all", lambda e: F.transform(F.sequence(F.lit(1), e["c"].cast("int")), lambda j: F.xxhash64(e["shingle"], j)))
+    )
+    items = bags.select("id", bag.alias("items"))
+    both = pairs.join(items.withColumnsRenamed({"id": "a", "items": "x"}), "a").join(
+        items.withColumnsRenamed({"id": "b", "items": "y"}), "b"
     )
-    shared = F.aggregate(
-        F.map_entries("x"), F.lit(0).cast("long"),
-        lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at(F.col("y"), e["key"]), F.lit(0))),
-    )
-    percent = F.floor(F.col("shared") * 100 / F.greatest("n_a", "n_b")).cast("long").alias("similarity")
-    return both.select("a", "b", "n_a", "n_b", shared.alias("shared")).select("a", "b", percent).filter(F.col("similarity") >= similarity)
+    shared = F.size(F.array_intersect("x", "y"))
+    percent = F.floor(shared * 100 / F.greatest("n_a", "n_b")).cast("long").alias("similarity")
+    return both.select("a", "b", percent).filter(F.col("similarity") >= similarity)
 
 
 def first_report(pairs: DataFrame, order: Sequence[Column]) -> DataFrame:
