@@ -26,7 +26,7 @@ gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,7 +47,8 @@ BITMAP = 1 << 26
 HOT_LEAST, HOT_MOST = 20_000, 1 << 16
 NO_ID = (1 << 63) - 1
 U = np.uint64
-_PLACE = U((1 << 24) - 1)
+#: Low bits of a gram's hash that make room for its place; what is read at once is shorter than 2 ** PLACE_BITS bytes.
+PLACE_BITS = 24
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -60,18 +61,19 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Contexts:
-    """The contexts of a run of texts: text number, first start and length, anchor and context hashes, bytes."""
+    """The contexts of a run of texts: text number, first start and length, anchor and context hashes, bytes.
 
-    def __init__(self, texts: list[bytes], powers: Powers, length: int):
+    The texts may be parts of longer ones; ``places`` then holds the number of each part's text and where it starts there.
+    """
+
+    def __init__(
+        self, parts: list[bytes], powers: Powers, length: int, places: list[tuple[int, int]] | None = None, place_bits: int = PLACE_BITS
+    ):
         self.length, gram = length, min(GRAM, length)
-        # Long texts come in parts that overlap by length - 1 bytes, so each string is in exactly one part.
-        parts, of, shift = [], [], []
-        for i, t in enumerate(texts):
-            for a in range(0, max(1, len(t) - length + 1), CHUNK):
-                parts.append(t[a : a + CHUNK + length - 1])
-                of.append(i)
-                shift.append(a)
+        of, shift = np.array(places or [(i, 0) for i in range(len(parts))], dtype=np.int64).reshape(-1, 2).T
         self.data = b"".join(parts)
+        assert len(self.data) < 1 << place_bits, "too much text at once: places of grams would run into their hashes"
+        low = U((1 << place_bits) - 1)
         x = np.frombuffer(self.data, dtype=np.uint8)
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
         ends = np.cumsum(sizes)
@@ -85,8 +87,8 @@ class Contexts:
         np.cumsum((x.astype(U) + U(1)) * up[: len(x)], out=self.sums[1:])
         self.down = down
         grams = mixed((self.sums[gram:] - self.sums[:-gram]) * down[: len(x) - gram + 1])
-        placed = (grams & ~_PLACE) | np.arange(len(grams), dtype=U)
-        least = (_sliding_least(placed, length - gram + 1) & _PLACE).astype(np.int64)
+        placed = (grams & ~low) | np.arange(len(grams), dtype=U)
+        least = (_sliding_least(placed, length - gram + 1) & low).astype(np.int64)
         end_of = np.repeat(ends, sizes)[: len(least)]
         inside = np.arange(len(least)) + length <= end_of
         new = inside.copy()
@@ -99,22 +101,31 @@ class Contexts:
         body = (self.sums[self.begin + self.count + length - 1] - self.sums[self.begin]) * down[self.begin]
         self.context = mixed(body ^ mixed((anchor - self.begin).astype(U) * U(1 << 32) + self.count.astype(U)))
         part = np.searchsorted(ends, self.begin, side="right")
-        self.text = np.array(of, dtype=np.int64)[part]
-        self.first = self.begin - (ends - sizes)[part] + np.array(shift, dtype=np.int64)[part]
+        self.text = of[part]
+        self.first = self.begin - (ends - sizes)[part] + shift[part]
 
     def body(self, i: int) -> bytes:
         return self.data[self.begin[i] : self.begin[i] + self.count[i] + self.length - 1]
 
 
-def _batches(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """Rows of a few megabytes of text, or of one longer text, with their UTF-8 bytes."""
-    texts, at = [t.encode("utf-8") for t in pdf["text"]], 0
-    while at < len(texts):
-        size, begin = 0, at
-        while at < len(texts) and (at == begin or size + len(texts[at]) <= CHUNK):
-            size += len(texts[at])
-            at += 1
-        yield pdf.iloc[begin:at], texts[begin:at]
+def _batches(texts: Iterable[str], length: int, chunk: int) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
+    """UTF-8 bytes of texts, about ``chunk`` at a time, each with its text's number and where it starts there.
+
+    Long texts come in parts that overlap by length - 1 bytes, so each string is in exactly one part.
+    """
+    parts, places, size = [], [], 0
+    for i, text in enumerate(texts):
+        t = text.encode("utf-8")
+        for a in range(0, max(1, len(t) - length + 1), chunk):
+            part = t[a : a + chunk + length - 1]
+            if parts and size + len(part) > chunk:
+                yield parts, places
+                parts, places, size = [], [], 0
+            parts.append(part)
+            places.append((i, a))
+            size += len(part)
+    if parts:
+        yield parts, places
 
 
 def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
@@ -203,8 +214,8 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for pdf in batches:
-            for _, texts in _batches(pdf):
-                c = Contexts(texts, powers, length)
+            for parts, places in _batches(pdf["text"], length, CHUNK):
+                c = Contexts(parts, powers, length, places)
                 yield pd.DataFrame({"key": c.key.view(np.int64), "context": c.context.view(np.int64)})
 
     return (
@@ -224,13 +235,13 @@ def _marked(rows: DataFrame, bitmap: np.ndarray, hot: dict[int, int], length: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, (bits, salts) = Powers(), shared.value
         for pdf in batches:
-            for part, texts in _batches(pdf):
-                c = Contexts(texts, powers, length)
+            for parts, places in _batches(pdf["text"], length, CHUNK):
+                c = Contexts(parts, powers, length, places)
                 # The bitmap's keys are signed, and so is the remainder there; both sides agree modulo a power of two.
                 at = (c.key & U(len(bits) * 8 - 1)).astype(np.int64)
                 hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 keys, contexts = c.key[hit].view(np.int64), c.context[hit].view(np.int64)
-                out = {"doc": part["doc"].to_numpy()[c.text[hit]], "th": part["th"].to_numpy()[c.text[hit]]}
+                out = {"doc": pdf["doc"].to_numpy()[c.text[hit]], "th": pdf["th"].to_numpy()[c.text[hit]]}
                 out |= {"first": c.first[hit], "strings": c.count[hit], "key": keys, "context": contexts}
                 if with_body:
                     out["salt"] = [1 + x % salts[k] if (k := int(key)) in salts else 0 for key, x in zip(keys, contexts)]

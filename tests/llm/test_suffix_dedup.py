@@ -70,3 +70,31 @@ def test_kept_bytes_repeated_rows_and_empty_tables(docs, prose):
     rows = {(str(r.doc_id), bytes(r.kept), r.n_removed, r.n_spans) for r in S.remove_repeats(df).collect()}
     assert rows == {("1", b"", len(t), 1), ("None", b"short", 0, 0), ("2", b"", 0, 0)}
     assert S.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_texts_longer_than_places(docs):
+    """A passage beyond 2 ** 24 bytes of one text meets its copy in a short one."""
+    passage = bytes(np.random.default_rng(1).integers(97, 123, 300).astype(np.uint8)).decode()
+    filler = bytes(np.random.default_rng(2).integers(97, 123, (1 << 24) + 9000).astype(np.uint8)).decode()
+    long = f"{filler[:-4000]}<{passage}>{filler[-4000:]}"
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.remove_repeats(docs([(1, long), (2, f"({passage})")]), digest=True).collect()}
+    assert got == {1: (len(long), 300, 1), 2: (302, 300, 1)}
+
+
+def test_anchors_of_parts_under_few_place_bits(prose):
+    from plumbline.llm.jaccard_join import Powers
+
+    passage = prose(5, 60)
+    texts = [prose(1, 400) + passage + prose(2, 400), passage + prose(3, 20)]
+    with pytest.raises(AssertionError):
+        S.Contexts([t.encode() for t in texts], Powers(), 200, None, 10)
+    anchor, starts = {}, []
+    for parts, places in S._batches(texts, 200, 700):
+        c = S.Contexts(parts, Powers(), 200, places, 10)
+        for x, f, b, n, o, k in zip(c.text.tolist(), c.first.tolist(), c.begin.tolist(), c.count.tolist(), c.offset.tolist(), c.key.tolist()):
+            for i in range(n):
+                assert c.data[b + i : b + i + 200] == texts[x].encode()[f + i : f + i + 200]
+                starts.append((x, f + i))
+                anchor.setdefault(c.data[b + i : b + i + 200], set()).add((k, o - i))
+    assert sorted(starts) == [(x, i) for x, t in enumerate(texts) for i in range(len(t) - 199)]
+    assert all(len(a) == 1 for a in anchor.values())
