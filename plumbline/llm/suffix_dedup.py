@@ -5,9 +5,10 @@ smallest hash, the leftmost of several; equal strings have equal anchors at equa
 their anchor, so a text becomes a row of contexts: the anchor and the bytes of all strings it stands for.
 
 1. One scan counts contexts by anchor (64-bit hashes, aggregated before the shuffle).
-2. Anchors met once are done: nothing in their contexts repeats.  Where all contexts of an anchor are the same, all their
-   strings repeat.  Both need no bytes.
-3. Where contexts differ, a second scan ships their bytes (a bitmap of fixed size says which).  Sorted once to the right
+2. Anchors met once are done: nothing in their contexts repeats.  A second scan keeps the contexts of the others (a
+   bitmap of fixed size says which): all strings of a context that is met more than once repeat.  Both need no bytes.
+3. Where contexts of an anchor differ, a third scan ships the bytes of each of them, of equal ones hardly more than
+   once a task, so that a large group of copies meets in no task's memory.  Sorted once to the right
    and once to the left of their anchor, each has its longest match on either side next to it; what lies beyond both
    can't repeat and is cut off, and what is left is mostly nothing, or the same bytes as of another context.
 4. Where variants remain, threshold-bounded interval expansion runs on blocks of them: their suffixes are sorted, and
@@ -45,6 +46,8 @@ GROUP_ROWS, EXTEND = 8192, 8192
 BITMAP = 1 << 26
 #: Contexts of an anchor from which on it is salted; more for more data, so that there are few such anchors.
 HOT_LEAST, HOT_MOST = 20_000, 1 << 16
+#: Contexts a task remembers to have shipped.
+SHIPPED = 1 << 16
 NO_ID = (1 << 63) - 1
 U = np.uint64
 #: Low bits of a gram's hash that make room for its place; what is read at once is shorter than 2 ** PLACE_BITS bytes.
@@ -228,8 +231,8 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _marked(rows: DataFrame, bitmap: np.ndarray, hot: dict[int, int], length: int, with_body: bool) -> DataFrame:
-    """The contexts whose anchor is in ``bitmap``; those of hot anchors get a salt from 1 on."""
+def _marked(rows: DataFrame, bitmap: np.ndarray, hot: dict[int, int], length: int) -> DataFrame:
+    """The contexts whose anchor is in ``bitmap``; those of hot anchors get a salt from 1 on, equal contexts several."""
     shared = rows.sparkSession.sparkContext.broadcast((bitmap, hot))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,19 +240,66 @@ def _marked(rows: DataFrame, bitmap: np.ndarray, hot: dict[int, int], length: in
         for pdf in batches:
             for parts, places in _batches(pdf["text"], length, CHUNK):
                 c = Contexts(parts, powers, length, places)
-                # The bitmap's keys are signed, and so is the remainder there; both sides agree modulo a power of two.
-                at = (c.key & U(len(bits) * 8 - 1)).astype(np.int64)
-                hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                keys, contexts = c.key[hit].view(np.int64), c.context[hit].view(np.int64)
-                out = {"doc": pdf["doc"].to_numpy()[c.text[hit]], "th": pdf["th"].to_numpy()[c.text[hit]]}
-                out |= {"first": c.first[hit], "strings": c.count[hit], "key": keys, "context": contexts}
-                if with_body:
-                    out["salt"] = [1 + x % salts[k] if (k := int(key)) in salts else 0 for key, x in zip(keys, contexts)]
-                    out["offset"], out["body"] = c.offset[hit], [c.body(i) for i in hit]
+                hit = _hits(c, bits)
+                keys, text, first = c.key[hit].view(np.int64), c.text[hit], c.first[hit]
+                spread = zip(keys.tolist(), (text + first).tolist())
+                out = {"doc": pdf["doc"].to_numpy()[text], "th": pdf["th"].to_numpy()[text], "first": first}
+                out |= {"strings": c.count[hit], "key": keys, "context": c.context[hit].view(np.int64)}
+                yield pd.DataFrame(out | {"salt": [1 + x % salts[k] if k in salts else 0 for k, x in spread]})
+
+    return rows.mapInPandas(run, "doc long, th long, first long, strings long, key long, context long, salt int")
+
+
+def _hits(c: Contexts, bits: np.ndarray) -> np.ndarray:
+    # The bitmap's keys are signed, and so is the remainder there; both sides agree modulo a power of two.
+    at = (c.key & U(len(bits) * 8 - 1)).astype(np.int64)
+    return np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+
+
+def _bodies(rows: DataFrame, bitmap: np.ndarray, hot: dict[int, int], length: int) -> DataFrame:
+    """The contexts whose anchor is in ``bitmap`` with their bytes and n, how often they were met (from 2 on: at least).
+
+    A task ships equal contexts until their n add up to 2 or more, and again only if it had to forget them; doc, th and
+    first are those of one of them.  All of a context have one salt.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((bitmap, hot))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers, (bits, salts), shipped = Powers(), shared.value, {}
+        for pdf in batches:
+            for parts, places in _batches(pdf["text"], length, CHUNK):
+                c = Contexts(parts, powers, length, places)
+                hit = _hits(c, bits)
+                order = hit[np.lexsort((c.context[hit], c.key[hit]))]
+                ids = np.stack([c.key[order], c.context[order]], axis=1).view(np.int64)
+                begin = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])[: len(ids)])
+                times, take, n = np.diff(np.append(begin, len(ids))).tolist(), [], []
+                for i, one, many in zip(begin.tolist(), map(tuple, ids[begin].tolist()), times):
+                    if (before := shipped.get(one, 0)) < 2:
+                        take.append(i)
+                        n.append(many)
+                        shipped[one] = before + many
+                if len(shipped) > SHIPPED:
+                    shipped.clear()
+                at, (keys, contexts) = order[take], ids[take].T
+                out = {"doc": pdf["doc"].to_numpy()[c.text[at]], "th": pdf["th"].to_numpy()[c.text[at]], "first": c.first[at]}
+                out |= {"key": keys, "context": contexts, "n": n}
+                out["salt"] = [1 + x % salts[k] if k in salts else 0 for k, x in zip(keys.tolist(), contexts.tolist())]
+                out["offset"], out["body"] = c.offset[at], [c.body(i) for i in at]
                 yield pd.DataFrame(out)
 
-    names = "doc long, th long, first long, strings long, key long, context long"
-    return rows.mapInPandas(run, names + (", salt int, offset long, body binary" if with_body else ""))
+    names = "doc long, th long, first long, key long, context long, n long, salt int, offset long, body binary"
+    return rows.mapInPandas(run, names)
+
+
+def _collapsed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for equal contexts that stand next to each other, with the sum of their n."""
+    ids = rows[["key", "salt", "context"]].to_numpy()
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])[: len(ids)]
+    if new.all():
+        return rows
+    begin = np.flatnonzero(new)
+    return rows.iloc[begin].assign(n=np.add.reduceat(rows["n"].to_numpy(), begin)).reset_index(drop=True)
 
 
 def _matches(group: np.ndarray, parts: list[bytes]) -> np.ndarray:
@@ -276,25 +326,23 @@ class _Variant:
 
 
 def _resolve(rows: pd.DataFrame, spread: bool, length: int, block_size: int, powers: Powers) -> list[tuple]:
-    """(doc, th, a, b, w1, w2) for the contexts of whole anchors, or (``spread``) of a part of one anchor."""
+    """(doc, th, a, b, w1, w2) for the contexts of whole anchors, or (``spread``) of a part of one anchor.
+
+    Each context has one row; those met more than once repeat as a whole, are marked elsewhere and only compared here.
+    """
     out = []
-    keys, contexts = rows[["key", "salt"]].to_numpy(), rows["context"].to_numpy()
+    keys = rows[["key", "salt"]].to_numpy()
     new_group = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
-    new = new_group | np.concatenate([[True], contexts[1:] != contexts[:-1]])
-    begin = np.flatnonzero(new)
-    times = np.diff(np.append(begin, len(rows)))
-    group = (np.cumsum(new_group) - 1)[begin]
-    docs, ths, firsts = (rows[c].to_numpy() for c in ("doc", "th", "first"))
-    bodies, offsets = [bytes(x) for x in rows["body"].iloc[begin]], rows["offset"].to_numpy()[begin]
+    group = np.cumsum(new_group) - 1
+    docs, ths, firsts, times, offsets = (rows[c].to_numpy() for c in ("doc", "th", "first", "n", "offset"))
+    bodies = [bytes(x) for x in rows["body"]]
     left = right = None
     if not spread:
         right = _matches(group, [x[o:] for x, o in zip(bodies, offsets.tolist())])
         left = _matches(group, [x[:o][::-1] for x, o in zip(bodies, offsets.tolist())])
     groups: dict[int, dict[bytes, _Variant]] = {}
-    for i, (g, at, n, body, o) in enumerate(zip(group.tolist(), begin.tolist(), times.tolist(), bodies, offsets.tolist())):
+    for i, (g, n, body, o) in enumerate(zip(group.tolist(), times.tolist(), bodies, offsets.tolist())):
         whole = n > 1  # the same context more than once: all of it repeats
-        if whole:
-            out += [(docs[r], ths[r], firsts[r], firsts[r] + len(body), None, None) for r in range(at, at + n)]
         shift = 0
         if not spread:
             if left[i] + right[i] < length:
@@ -307,7 +355,7 @@ def _resolve(rows: pd.DataFrame, spread: bool, length: int, block_size: int, pow
         else:
             v.repeated = True
         if not whole:
-            v.holders.append((docs[at], ths[at], firsts[at] + shift))
+            v.holders.append((docs[i], ths[i], firsts[i] + shift))
     block: list[_Variant] = []
     size = 0
     for variants in groups.values():
@@ -390,7 +438,8 @@ def _expanded(contexts: DataFrame, length: int, block_size: int) -> DataFrame:
         for pdf in batches:
             for i in range(0, len(pdf), GROUP_ROWS):
                 held.append(pdf.iloc[i : i + GROUP_ROWS])
-                rows = pd.concat(held, ignore_index=True)
+                rows = _collapsed(pd.concat(held, ignore_index=True))
+                held = [rows]
                 if len(rows) < GROUP_ROWS:
                     continue
                 last = tuple(rows[["key", "salt"]].iloc[-1])
@@ -405,7 +454,7 @@ def _expanded(contexts: DataFrame, length: int, block_size: int) -> DataFrame:
                     yield resolved(rest[edge], True)
                     held, part_of = [rest[~edge]], last
         if held:
-            rows = pd.concat(held, ignore_index=True)
+            rows = _collapsed(pd.concat(held, ignore_index=True))
             salted = in_parts(rows)
             yield resolved(rows[~salted], False)
             yield resolved(rows[salted], True)
@@ -430,11 +479,18 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, block_size: int = BLO
     anchors = cut(_counted(rows, length))
     total = anchors.agg(F.sum("n")).first()[0] or 0
     least = max(HOT_LEAST, total // HOT_MOST)
-    hot = {r.key: r.n // least + 1 for r in anchors.filter((F.col("n") > least) & ~F.col("same")).collect()}
-    same, mixed_ = anchors.filter("same").select("key"), anchors.filter("NOT same").select("key")
-    copies = _marked(rows, bitmap_array(same, F.col("key"), BITMAP), {}, length, False).join(same, "key")
-    whole = copies.select("doc", "th", F.col("first").alias("a"), (F.col("first") + F.col("strings") + length - 1).alias("b"))
-    found = cut(_expanded(_marked(rows, bitmap_array(mixed_, F.col("key"), BITMAP), hot, length, True), length, block_size))
+    hot = {r.key: r.n // least + 1 for r in anchors.filter(F.col("n") > least).collect()}
+    marked = cut(_marked(rows, bitmap_array(anchors, F.col("key"), BITMAP), hot, length))
+    repeated = marked.groupBy("key", "context").agg(F.count("*").alias("n")).filter("n > 1").select("key", "context")
+    # Contexts of a hot anchor meet their row in several tasks.
+    salts = rows.sparkSession.createDataFrame([(k, n) for k, n in hot.items()], "key long, salts long")
+    repeated = repeated.join(F.broadcast(salts), "key", "left").select(
+        "key", "context", F.explode(F.expr("if(salts IS NULL, array(0), sequence(1, int(salts)))")).alias("salt")
+    )
+    end = (F.col("first") + F.col("strings") + length - 1).alias("b")
+    whole = marked.join(repeated, ["key", "context", "salt"]).select("doc", "th", F.col("first").alias("a"), end)
+    mixed_ = bitmap_array(anchors.filter("NOT same").select("key"), F.col("key"), BITMAP)
+    found = cut(_expanded(_bodies(rows, mixed_, hot, length), length, block_size))
     across = found.filter("w1 IS NOT NULL")
     several = across.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
     met = across.filter("doc IS NOT NULL").join(several, ["w1", "w2"], "left_semi")

@@ -98,3 +98,24 @@ def test_anchors_of_parts_under_few_place_bits(prose):
                 anchor.setdefault(c.data[b + i : b + i + 200], set()).add((k, o - i))
     assert sorted(starts) == [(x, i) for x, t in enumerate(texts) for i in range(len(t) - 199)]
     assert all(len(a) == 1 for a in anchor.values())
+
+
+@pytest.mark.parametrize("hot", [20_000, 4])
+def test_equal_contexts_of_a_mixed_anchor_are_shipped_few_times(docs, prose, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_LEAST", hot)
+    base = prose(1, 60)
+    rows = [(i, base) for i in range(300)] + [(300, base[:200] + "X" + base[201:]), (301, prose(2, 60))]
+    df = docs(rows).repartition(3)
+    full = np.full(S.BITMAP // 8, 255, dtype=np.uint8)
+    shipped = S._bodies(S._rows(df, "doc_id", "text"), full, {}, 200).groupBy("key", "context").agg({"*": "count", "n": "sum"}).collect()
+    assert shipped and max(r["count(1)"] for r in shipped) <= 6 and {r["sum(n)"] > 1 for r in shipped} == {True, False}
+    got = sorted(map(tuple, S.remove_repeats(df, digest=True).collect()))
+    assert got == brute([(d, t.encode()) for d, t in rows], 200)
+
+
+def test_equal_contexts_are_one_row():
+    import pandas as pd
+
+    rows = pd.DataFrame({"key": [1, 1, 1, 2], "salt": 0, "context": [5, 5, 6, 6], "n": [1, 3, 1, 1], "body": [b"a", b"a", b"b", b"b"]})
+    assert S._collapsed(rows)[["key", "context", "n"]].to_numpy().tolist() == [[1, 5, 4], [1, 6, 1], [2, 6, 1]]
+    assert len(S._collapsed(rows[:0])) == 0
