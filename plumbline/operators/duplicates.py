@@ -26,7 +26,8 @@ def exact_duplicates(df: DataFrame, id_: str, content: Column) -> DataFrame:
 
 
 def near_duplicate(
-    df: DataFrame, id_: str, tokens: Column, k: int = 5, similarity: int = 80, min_tokens: int = 0, length_window: bool = False
+    df: DataFrame, id_: str, tokens: Column, k: int = 5, similarity: int = 80, min_tokens: int = 0, length_window: bool = False,
+    within: str | None = None,
 ) -> DataFrame:
     """Pairs a < b of distinct contents whose shingle multisets overlap by ``similarity`` percent of the larger one.
 
@@ -34,15 +35,17 @@ def near_duplicate(
     group of copies is never paired with itself.  Shingles that only one content has match nothing and go before anything
     is gathered.  Candidates come from a prefix filter: with shingles ordered from rare to frequent, contents that overlap
     enough share one among the first ``n - required + 1`` of either.  Frequent shingles are in hardly any prefix, so they
-    make no crowd, and nothing is lost.  Candidates are verified on the whole multisets.
+    make no crowd, and nothing is lost.  Candidates are verified on the whole multisets.  With ``within``, a column, contents
+    are told apart and paired by its value only.
     """
-    rows = df.select(F.col(id_).alias("id"), tokens.alias("tokens")).filter(F.size("tokens") >= max(min_tokens, k))
-    content = rows.groupBy(F.xxhash64("tokens").alias("_h"), F.sha2(F.array_join("tokens", "\x01"), 256).alias("_c")).agg(
+    scope = F.col(within) if within else F.lit(0)
+    rows = df.select(F.col(id_).alias("id"), tokens.alias("tokens"), scope.alias("w")).filter(F.size("tokens") >= max(min_tokens, k))
+    content = rows.groupBy("w", F.xxhash64("tokens").alias("_h"), F.sha2(F.array_join("tokens", "\x01"), 256).alias("_c")).agg(
         F.min_by(F.struct("id", "tokens"), "id").alias("r")
     )
     # Sizes go their own way: beside an exploded array they would be computed anew for each of its rows.
     length = F.size("r.tokens")
-    sizes = content.select("r.id", length.alias("length"), (length - (k - 1)).alias("n"))
+    sizes = content.select("r.id", "w", length.alias("length"), (length - (k - 1)).alias("n"))
     each = content.select(F.col("r.id").alias("id"), shingles(F.col("r.tokens"), k).alias("s")).select("id", F.explode("s").alias("shingle"))
     counted = each.groupBy("id", "shingle").agg(F.count("*").alias("c"))
     frequency = counted.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
@@ -59,13 +62,14 @@ def near_duplicate(
         ).otherwise(acc),
     )["k"]
     bags = bags.withColumn("prefix", F.slice("all", F.lit(1), ahead)).persist()
-    ends = bags.select("id", "n", "length", F.explode("prefix.shingle").alias("shingle"))
-    left = ends.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("length").alias("len_a"), "shingle")
-    right = ends.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("length").alias("len_b"), "shingle")
+    ends = bags.select("id", "w", "n", "length", F.explode("prefix.shingle").alias("shingle"))
+    keys = ["shingle", "w"] if within else ["shingle"]
+    left = ends.select(*keys, F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("length").alias("len_a"))
+    right = ends.select(*keys, F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("length").alias("len_b"))
     fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity)
     if length_window:
         fits = fits & (F.greatest("len_a", "len_b") * similarity <= F.least("len_a", "len_b") * 100)
-    pairs = left.join(right, "shingle").filter(fits).select("a", "b", "n_a", "n_b").distinct()
+    pairs = left.join(right, keys).filter(fits).select("a", "b", "n_a", "n_b").distinct()
     # The k-th occurrence of a shingle as an item of its own: the overlap of multisets is that of sets of such items.
     bag = F.flatten(
         F.transform("all", lambda e: F.transform(F.sequence(F.lit(1), e["c"].cast("int")), lambda j: F.xxhash64(e["shingle"], j)))

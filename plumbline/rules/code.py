@@ -41,11 +41,16 @@ def duplicate_bodies(facts: dict, options: dict) -> DataFrame:
         X.display_name(F.col("type_name"), F.col("name")).alias("display"), F.transform("tokens", lambda t: t.cast("string")).alias("tokens"),
     )
     first = F.min_by("id", F.struct("place", "id"))
-    same = bodies.groupBy("project", F.sha2(F.array_join("tokens", " "), 256).alias("body")).agg(
-        first.alias("first"), F.collect_list("id").alias("ids")
-    ).filter(F.size("ids") > 1)
-    exact = same.select(F.col("first").alias("a"), F.explode("ids").alias("b"), F.lit(100).cast("long").alias("similarity")).filter("a <> b")
-    near = duplicates.near_duplicate(bodies, "id", F.col("tokens"), 5, percent, least, True)
+    keyed = bodies.withColumn("body", F.sha2(F.array_join("tokens", " "), 256))
+    classes = keyed.groupBy("project", "body").agg(first.alias("first"), F.min("id").alias("class"), F.count("*").alias("n"))
+    members = keyed.select("project", "body", "id").join(classes, ["project", "body"])
+    exact = members.filter("n > 1 AND id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(100).cast("long").alias("similarity"))
+    near = duplicates.near_duplicate(bodies, "id", F.col("tokens"), 5, percent, least, True, "project")
+    # Equal bodies are equally long, so whichever member is the duplicate, its first pair is with the first of the other class.
+    either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    firsts = classes.select(F.col("class").alias("a"), "first")
+    others = members.select(F.col("class").alias("b"), "id")
+    near = either.join(firsts, "a").join(others, "b").select(F.col("first").alias("a"), F.col("id").alias("b"), "similarity")
     found = exact.unionByName(near)
     info = bodies.select("id", "project", "path", "line", "place", "display")
     for side in ("a", "b"):

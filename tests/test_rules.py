@@ -147,6 +147,19 @@ def test_duplicate_bodies(members):
     assert not ids({"member": df}, {"duplicate_code_min_tokens": "500"}, "ARCH019")
 
 
+def test_duplicate_bodies_with_copies(members):
+    """Copies in the same project or in others neither hide a near body nor stand for one; whatever the ids hash to."""
+    x, y = list(range(40)), list(range(38)) + [90, 91]
+    opts = {"duplicate_code_similarity_percent": "60"}
+    for i in range(4):
+        copies = [{"project": f"B{j}", "name": "X", "path": f"x{j}.cs", "tokens": x} for j in range(6)]
+        df = members(*copies, {"project": "A", "name": f"X{i}", "path": "a.cs", "tokens": x}, {"project": "A", "name": f"Y{i}", "path": "b.cs", "tokens": y})
+        assert ids({"member": df}, opts, "ARCH019") == [("ARCH019", f"C.Y{i}")]
+        places = [{"name": n, "path": f"{p}.cs", "tokens": t} for n, p, t in [(f"X{i}", "a", x), (f"Y{i}", "b", y)] + [(f"Z{i}{j}", f"c{j}", x) for j in range(6)]]
+        found = rules.run({"member": members(*places)}, opts, ["ARCH019"]).collect()
+        assert sorted((r.subject, r.args["original"]) for r in found) == [(f"C.Y{i}", f"C.X{i}")] + [(f"C.Z{i}{j}", f"C.X{i}") for j in range(6)]
+
+
 def test_complexity(members, spark):
     facts = {"member": members({"name": "Compute", "arity": 1, "complexity": 3}),
              "head_member": spark.createDataFrame([("C", "Compute", 1, 1, "h", 9)], "type_name string, name string, arity int, complexity long, body_hash string, body_lines long")}
