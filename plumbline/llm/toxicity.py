@@ -47,13 +47,16 @@ COST_LEET, COST_DROP, COST_KEEP, COST_DOUBLE = -0.7, -0.7, -4.0, -6.0
 
 _LEET = re.escape("".join(LEET))
 _LETTER = r"[^\W\d_]"
-#: What makes a token suspicious: such a character between letters, before letters or at the end; a letter three times in
-#: a row; a separator between letters.  Four or more single characters with a separator between each two count as one.
+_OTHER = r"(?:[^\w\s]|[\d_])"
+#: What makes a token suspicious: such a character anywhere beside a letter; a letter three times in a row; separators
+#: between letters.  Four or more single characters with separators between each two count as one.  No character is in
+#: two neighbouring repetitions, and a run is tried from its start only, so long runs take linear time.
 SUSPICIOUS = re.compile(
-    rf"{_LETTER}[{_LEET}]+{_LETTER}|(?<!\S)[{_LEET}]{_LETTER}{{2}}|{_LETTER}{{2}}[0-9@$|+](?!\S)"
-    rf"|({_LETTER})\1\1|{_LETTER}[.\-_*~]{_LETTER}"
+    rf"{_LETTER}{_OTHER}*[{_LEET}]|(?<![^\w\s]|[\d_])(?>{_OTHER}*?[{_LEET}]){_OTHER}*+{_LETTER}"
+    rf"|({_LETTER})\1\1|{_LETTER}[.\-_*~]+{_LETTER}"
 )
-SPACED = re.compile(rf"(?<!\w)(?:[\w{re.escape('@$!|+')}][ .\-_*~]){{3,}}[\w{re.escape('@$!|+')}](?!\w)")
+_SINGLE = rf"(?:[^\W_]|[{re.escape('@$!|+')}])"
+SPACED = re.compile(rf"(?<!\w)(?:{_SINGLE}[ .\-_*~]+){{3,}}{_SINGLE}(?!\w)")
 
 
 def symbol(ch: str) -> int:

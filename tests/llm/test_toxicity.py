@@ -31,6 +31,25 @@ def test_noise_is_read(models):
         assert r.text(noisy) == clean
 
 
+SPELLINGS = {
+    "numsku11": "numskull", "dimw1+": "dimwit", "numskul1.": "numskull", "dimwi7,": "dimwit", "81ockhead": "blockhead",
+    '"8lockhead"': "blockhead", "(d1mw1+)": "dimwit", "d--i--m--w--i--t": "dimwit", "d . i . m . w . i . t": "dimwit",
+}
+
+
+def test_substitutions_at_the_edges_and_runs_of_separators(models, spark, prose):
+    r = T.Restorer(models[0])
+    assert {s: "".join(T.WORDS.findall(r.text(s))) for s in SPELLINGS} == SPELLINGS
+    rows = [(i, f"{prose(910 + i, 12)} {s} {prose(950 + i, 12)}") for i, s in enumerate(SPELLINGS)]
+    got = T.score(spark.createDataFrame(rows, "doc_id long, text string"), *models).collect()
+    assert {rows[x.doc_id][1] for x in got if not x.predicted} == set()
+
+
+def test_long_runs_take_linear_time():
+    for run in ("_" * 200_000, "$" * 200_000, "0" * 200_000, "!_" * 100_000, "a" + "-" * 200_000):
+        assert not T.SPACED.search(run) and not T.SUSPICIOUS.search(run)
+
+
 def test_clean_text_is_left_alone(models, prose):
     r = T.Restorer(models[0])
     for i in range(20):
