@@ -10,14 +10,17 @@ the whole text and is exact as well.
 The ranks and the pattern are those of the vocabulary file; a special token in a text is one id.
 
 Defined cases: a null text counts as empty and an empty text has no tokens; equal rows give equal rows; an empty table
-gives an empty result; other columns are not looked at.
+gives an empty result; other columns are not looked at.  A very long text is many pieces; the task that joins them
+holds 4 bytes for each of its tokens.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 LEAF_CHARS = 16_384
 AGREE = 4
+#: Characters that are read at once, and ids that are decoded at once.
+SLICE, DECODE_IDS = 1 << 20, 1 << 16
 SPECIAL = "<|endoftext|>"
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary of ranks, its pattern and its special tokens."""
+    """Encoder and decoder of one vocabulary of ranks, its pattern and its special tokens; ids are arrays of uint32."""
 
     def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
         import tiktoken
@@ -44,11 +49,11 @@ class Codec:
         self.encoding = tiktoken.Encoding("plumbline", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.allowed, self.special = set(special), list(special)
 
-    def encode(self, text: str) -> list[int]:
-        return self.encoding.encode(text, allowed_special=self.allowed, disallowed_special=())
+    def encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.encoding.encode(text, allowed_special=self.allowed, disallowed_special=()), dtype="<u4")
 
-    def decode(self, ids: list[int]) -> bytes:
-        return self.encoding.decode_bytes(ids)
+    def decode(self, ids: Sequence[int]) -> bytes:
+        return self.encoding.decode_bytes(np.asarray(ids, dtype="<u4").tolist())
 
     def halves(self, text: str, leaf: int) -> list[str]:
         """``text`` in 2^k pieces of about ``leaf`` characters; no cut falls inside a special token."""
@@ -62,79 +67,102 @@ class Codec:
             return [text]
         return self.halves(text[:at], leaf) + self.halves(text[at:], leaf)
 
-    def join(self, left: list[int], right: list[int], window: int = 16) -> list[int]:
+    def join(self, left: np.ndarray, right: np.ndarray, window: int = 16) -> np.ndarray:
         """The tokens of the text that ``left`` and ``right`` encode the two parts of."""
-        if not left or not right:
-            return left or right
+        if not len(left) or not len(right):
+            return left if len(left) else right
         while True:
             a = self._aligned(left, max(0, len(left) - window), -1)
             b = self._aligned(right, min(len(right), window), 1)
-            middle = self.encode(self.decode(left[a:] + right[:b]).decode("utf-8"))
-            agree_left = a == 0 or (a + AGREE <= len(left) and middle[:AGREE] == left[a : a + AGREE])
-            agree_right = b == len(right) or (b >= AGREE and middle[-AGREE:] == right[b - AGREE : b])
+            middle = self.encode(self.decode(np.concatenate([left[a:], right[:b]])).decode("utf-8"))
+            same = lambda x, y: np.array_equal(x, y)
+            agree_left = a == 0 or (a + AGREE <= len(left) and same(middle[:AGREE], left[a : a + AGREE]))
+            agree_right = b == len(right) or (b >= AGREE and same(middle[-AGREE:], right[b - AGREE : b]))
             if agree_left and agree_right and (len(middle) >= 2 * AGREE or a == 0 or b == len(right)):
-                return left[:a] + middle + right[b:]
+                return np.concatenate([left[:a], middle, right[b:]])
             window *= 2
 
-    def _aligned(self, ids: list[int], at: int, step: int) -> int:
+    def _aligned(self, ids: np.ndarray, at: int, step: int) -> int:
         """The first place from ``at`` on, in direction ``step``, where a character begins."""
         while 0 < at < len(ids) and self.decode(ids[at : at + 1])[0] & 0xC0 == 0x80:
             at += step
         return at
 
-    def concatenate(self, parts: list[list[int]]) -> list[int]:
+    def concatenate(self, parts: list[np.ndarray]) -> np.ndarray:
         while len(parts) > 1:
             pairs = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
             parts = pairs
-        return parts[0] if parts else []
+        return parts[0] if parts else np.zeros(0, dtype="<u4")
 
-    def digest(self, ids: list[int]) -> tuple[int, str, str]:
-        decoded = self.decode(ids).decode("utf-8", "replace").encode("utf-8")
-        packed = np.asarray(ids, dtype="<u4").tobytes()
-        return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def digest(self, ids: np.ndarray) -> tuple[int, str, str]:
+        """Number of ids, and digests of the ids and of the decoded text, which is decoded a run of ids at a time."""
+        sha, reader = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+        for i in range(0, len(ids), DECODE_IDS):
+            sha.update(reader.decode(self.decode(ids[i : i + DECODE_IDS])).encode("utf-8"))
+        sha.update(reader.decode(b"", True).encode("utf-8"))
+        return len(ids), hashlib.sha256(np.ascontiguousarray(ids, dtype="<u4").tobytes()).hexdigest(), sha.hexdigest()
+
+
+@lru_cache(maxsize=2)
+def _built(ranks_path: str, pattern: str, special: tuple) -> Codec:
+    return Codec(ranks_path, pattern, dict(special))
+
+
+def shared_codec(codec: tuple) -> Codec:
+    """The codec of these arguments, built once for all tasks of a Python worker."""
+    ranks_path, pattern, special = codec
+    return _built(ranks_path, pattern, tuple(sorted(special.items())))
 
 
 def _encoded(df: DataFrame, codec: tuple, out: str, emit, leaf_chars: int) -> DataFrame:
-    """doc_id and what ``emit(codec, ids)`` gives for the ids of every text; ``out`` is its schema."""
-    rows = df.select(F.col("doc_id"), text_or_empty().alias("text"))
+    """doc_id and what ``emit(codec, ids)`` gives for the ids of every text; ``out`` is its schema.
+
+    Whatever the size of the batches that arrive, texts are read and results given back about ``SLICE`` characters at a time.
+    """
+    rows = df.select(F.col("doc_id").cast("string"), text_or_empty().alias("text"))  # pandas has no null whole numbers
     names = [f.split()[0] for f in out.split(", ")]
     long_text = F.length("text") > leaf_chars
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = Codec(*codec)
+        c = shared_codec(codec)
         for pdf in batches:
-            got = pd.DataFrame([emit(c, c.encode(t)) for t in pdf["text"]], columns=names)
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), got], axis=1)
+            for part in slices(pdf, "text", SLICE):
+                got = pd.DataFrame([emit(c, c.encode(t)) for t in part["text"]], columns=names)
+                yield pd.concat([part[["doc_id"]].reset_index(drop=True), got], axis=1)
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = Codec(*codec)
+        c = shared_codec(codec)
         for pdf in batches:
-            parts = [c.halves(t, leaf_chars) for t in pdf["text"]]
-            piece = [(d, r, n, p) for d, r, ps in zip(pdf["doc_id"], pdf["_row"], parts) for n, p in enumerate(ps)]
-            yield pd.DataFrame(piece, columns=["doc_id", "_row", "n", "piece"])
+            for part in slices(pdf, "text", SLICE):
+                for d, r, t in zip(part["doc_id"], part["_row"], part["text"]):
+                    pieces = c.halves(t, leaf_chars)
+                    yield pd.DataFrame({"doc_id": d, "_row": r, "n": range(len(pieces)), "piece": pieces})
 
     def encode_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = Codec(*codec)
+        c = shared_codec(codec)
         for pdf in batches:
-            ids = [np.asarray(c.encode(p), dtype="<u4").tobytes() for p in pdf["piece"]]
-            yield pdf[["doc_id", "_row", "n"]].assign(ids=ids)
+            for part in slices(pdf, "piece", SLICE):
+                yield part[["doc_id", "_row", "n"]].assign(ids=[c.encode(p).tobytes() for p in part["piece"]])
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come sorted by text and piece; a text's pieces are in one partition, but may span batches.
-        c, held, key, doc = Codec(*codec), [], None, None
+        c, held, key, doc, done, size = shared_codec(codec), [], None, None, [], 0
         for pdf in batches:
-            done = []
             for d, r, ids in zip(pdf["doc_id"], pdf["_row"], pdf["ids"]):
                 if r != key and held:
                     done.append((doc, *emit(c, c.concatenate(held))))
+                    size += sum(map(len, held))
                     held = []
+                    if size > SLICE:
+                        yield pd.DataFrame(done, columns=["doc_id", *names])
+                        done, size = [], 0
                 key, doc = r, d
-                held.append(np.frombuffer(ids, dtype="<u4").tolist())
-            yield pd.DataFrame(done, columns=["doc_id", *names])
+                held.append(np.frombuffer(ids, dtype="<u4"))
         if held:
-            yield pd.DataFrame([(doc, *emit(c, c.concatenate(held)))], columns=["doc_id", *names])
+            done.append((doc, *emit(c, c.concatenate(held))))
+        yield pd.DataFrame(done, columns=["doc_id", *names])
 
-    kind = f"doc_id {df.schema['doc_id'].dataType.simpleString()}"
+    kind = "doc_id string"
     whole = rows.filter(~long_text).mapInPandas(short, f"{kind}, {out}")
     pieces = (
         rows.filter(long_text)
@@ -143,21 +171,20 @@ def _encoded(df: DataFrame, codec: tuple, out: str, emit, leaf_chars: int) -> Da
         .repartition("_row", "n")
         .mapInPandas(encode_leaves, f"{kind}, _row long, n int, ids binary")
     )
-    return whole.unionByName(
-        pieces.repartition("_row").sortWithinPartitions("_row", "n").mapInPandas(joined, f"{kind}, {out}")
-    )
+    trees = pieces.repartition("_row").sortWithinPartitions("_row", "n").mapInPandas(joined, f"{kind}, {out}")
+    return whole.unionByName(trees).withColumn("doc_id", F.col("doc_id").cast(df.schema["doc_id"].dataType))
 
 
 def encode(df: DataFrame, codec: tuple, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """doc_id and ids (array of int) of every text of ``df`` (doc_id, text, …)."""
-    return _encoded(df, codec, "ids array<int>", lambda c, ids: (ids,), leaf_chars)
+    return _encoded(df, codec, "ids array<int>", lambda c, ids: (ids.tolist(),), leaf_chars)
 
 
 def decode(df: DataFrame, codec: tuple) -> DataFrame:
     """doc_id and text of every row of ``df`` (doc_id, ids); null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Codec(*codec)
+        c = shared_codec(codec)
         for b in batches:
             texts = [c.decode(ids or []).decode("utf-8", "replace") for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

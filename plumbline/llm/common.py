@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +18,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; its lineage ends there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a temporary one is made only where that
-    setting is empty, as on a laptop or in tests.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  Where that setting is empty a temporary one is
+    made, but under a local master only: on a cluster no other machine would see it.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+        sc.setCheckpointDir(_own_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, for tables between stages."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="plumbline-")
+
+
+def slices(pdf: pd.DataFrame, text: str = "text", size: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """``pdf`` in runs of rows whose texts have about ``size`` characters together (a longer text is a run of its own)."""
+    upto = np.cumsum([len(t) if t is not None else 0 for t in pdf[text]], dtype=np.int64)
+    begin = 0
+    while begin < len(pdf):
+        limit = size + (upto[begin - 1] if begin else 0)
+        end = max(begin + 1, int(np.searchsorted(upto, limit, side="right")))
+        yield pdf.iloc[begin:end]
+        begin = end
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 
 class Notice(NamedTuple):
@@ -134,16 +134,17 @@ def _overlaps(sorted_spans: list[tuple[int, int]], a: int, b: int) -> bool:
 
 def scan(df: DataFrame, notices: Sequence[Notice] = NOTICES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words and spans (label, base, first_word, last_word, edits, score, text) of every row of ``df``."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    rows = df.select(F.col(doc_id).cast("string").alias("doc_id"), text_or_empty(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(notices)
         for pdf in batches:
-            got = [scanner.scan(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [g[0] for g in got], "spans": [g[1] for g in got]})
+            for part in slices(pdf):
+                got = [scanner.scan(t) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_words": [g[0] for g in got], "spans": [g[1] for g in got]})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_words long, spans {SPANS}")
+    found = rows.mapInPandas(run, f"doc_id string, n_words long, spans {SPANS}")
+    return found.withColumn("doc_id", F.col("doc_id").cast(df.schema[doc_id].dataType))
 
 
 def summary(spans: DataFrame) -> DataFrame:

@@ -12,12 +12,13 @@ hash of doc_id): stems are added one by one, each explaining the most toxic rows
 
 Defined cases: a null text counts as empty; a text without an abusive stem, an empty one too, has the regression's score
 for none; without any toxic labelled row the score is 0; equal texts have equal scores; an empty table gives an empty
-result; other columns are not looked at.
+result; other columns are not looked at.  A very long text is read whole; its stretches are decoded in windows.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, slices, text_or_empty
 
 TRAIN_ROWS = 1500
 MAX_STEMS = 64
@@ -43,6 +44,8 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
 SEPARATORS = " .-_*~"
+#: Characters of a stretch after which the paths' common beginning is settled.
+WINDOW = 4096
 COST_LEET, COST_DROP, COST_KEEP, COST_DOUBLE = -0.7, -0.7, -4.0, -6.0
 
 _LEET = re.escape("".join(LEET))
@@ -90,9 +93,9 @@ class CharModel:
         return got
 
 
-def lattice(stretch: str, spaced: bool) -> list[list[tuple[str, float]]]:
+def lattice(stretch: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
     """For each character of ``stretch`` what it may be read as ('' drops it), with the channel's log cost."""
-    out, run = [], 0
+    run = 0
     for i, ch in enumerate(stretch):
         run = run + 1 if i and ch == stretch[i - 1] else 1
         if ch in LEET:
@@ -106,19 +109,25 @@ def lattice(stretch: str, spaced: bool) -> list[list[tuple[str, float]]]:
             here = [(ch, COST_KEEP if long else 0.0), ("", COST_DROP if long else COST_DOUBLE)]
         else:
             here = [(ch, 0.0)]
-        out.append(here)
-    return out
+        yield here
 
 
 def restore(stretch: str, model: CharModel, spaced: bool) -> str:
-    """The Viterbi path of the lattice of ``stretch`` under ``model``, from one word's start to a word's end."""
-    cells = lattice(stretch, spaced)
-    if all(len(c) == 1 for c in cells):
+    """The Viterbi path of the lattice of ``stretch`` under ``model``, from one word's start to a word's end.
+
+    Every ``WINDOW`` characters what all surviving paths have in common is settled, so a stretch of any length takes little
+    memory and has the same path as if it were read at once.
+    """
+    if all(len(c) == 1 for c in lattice(stretch, spaced)):
         return stretch
     top = SYMBOLS ** (ORDER - 1)
     states: dict[int, tuple[float, int]] = {0: (0.0, -1)}
     trail: list[tuple[str, int]] = []  # (text, link to what stands before)
-    for cell in cells:
+    settled: list[str] = []
+    for at, cell in enumerate(lattice(stretch, spaced)):
+        if at % WINDOW == 0 and at:
+            text, trail, states = _settle(trail, states)
+            settled.append(text)
         new: dict[int, tuple[float, int]] = {}
         for history, (score, link) in states.items():
             for text, cost in cell:
@@ -132,23 +141,43 @@ def restore(stretch: str, model: CharModel, spaced: bool) -> str:
                     if text:
                         trail.append((text, link))
         states = new
-    link = max(states.items(), key=lambda x: x[1][0] + model.log(x[0], 0))[1][1]
+    best = max(states.items(), key=lambda x: x[1][0] + model.log(x[0], 0))[1][1]
+    return "".join([*settled, *(trail[i][0] for i in _path(trail, best))])
+
+
+def _path(trail: list[tuple[str, int]], link: int) -> list[int]:
     back = []
     while link >= 0:
-        text, link = trail[link]
-        back.append(text)
-    return "".join(reversed(back))
+        back.append(link)
+        link = trail[link][1]
+    return back[::-1]
+
+
+def _settle(trail: list[tuple[str, int]], states: dict[int, tuple[float, int]]) -> tuple[str, list, dict]:
+    """The text that all states' paths begin with, and trail and states of what comes after it."""
+    paths = [_path(trail, link) for _, link in states.values()]
+    shared = os.path.commonprefix(paths)
+    number = {-1: -1} | ({shared[-1]: -1} if shared else {})
+    kept: list[tuple[str, int]] = []
+    for path in paths:
+        for i in path[len(shared) :]:
+            if i not in number:
+                number[i] = len(kept)
+                kept.append((trail[i][0], number[trail[i][1]]))
+    return "".join(trail[i][0] for i in shared), kept, {h: (score, number[link]) for h, (score, link) in states.items()}
 
 
 class Restorer:
     """Restores whole texts; each distinct stretch is decoded once."""
 
-    LIMIT = 200_000
+    LIMIT, SHORT = 200_000, 64
 
     def __init__(self, model: CharModel):
         self.model, self.seen = model, {}
 
     def stretch(self, text: str, spaced: bool = False) -> str:
+        if len(text) > self.SHORT:  # hardly met again, and a cache of long ones would have no bound
+            return restore(text, self.model, spaced)
         if (got := self.seen.get(key := (text, spaced))) is None:
             if len(self.seen) > self.LIMIT:
                 self.seen.clear()
@@ -355,17 +384,18 @@ def scorer(model: CharModel, classifier: Classifier):
 
 def score(df: DataFrame, model: CharModel, classifier: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, predicted and words (those with an abusive stem) of every row of ``df``."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    rows = df.select(F.col(doc_id).cast("string").alias("doc_id"), text_or_empty(text).alias("text"))
     find = scorer(model, classifier)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = find()
         for pdf in batches:
-            got = [one(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [g[0] for g in got], "words": [g[1] for g in got]})
+            for part in slices(pdf):
+                got = [one(t) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "score": [g[0] for g in got], "words": [g[1] for g in got]})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInPandas(run, f"doc_id {kind}, score double, words array<string>")
+    scored = rows.mapInPandas(run, "doc_id string, score double, words array<string>")
+    scored = scored.withColumn("doc_id", F.col("doc_id").cast(df.schema[doc_id].dataType))
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "words")
 
 

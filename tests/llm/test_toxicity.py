@@ -93,3 +93,22 @@ def test_without_labels_nothing_is_toxic(corpus, models):
     df, labels = corpus
     none = T.fit_classifier(df, labels.limit(0), models[0])
     assert {r.predicted for r in T.score(df, models[0], none).collect()} == {0}
+
+
+def test_long_stretches_are_settled_in_windows(monkeypatch):
+    """A stretch decoded in windows has the path it has when read at once."""
+    words = T.CharModel(*_grams("you are an idiot and a moron of the worst kind " * 30))
+    text = "y0u@re4n1d10t&n0t-a-m0r0n" * 12
+    whole = T.restore(text, words, False)
+    for window in (1, 7, 50):
+        monkeypatch.setattr(T, "WINDOW", window)
+        assert T.restore(text, words, False) == whole
+
+
+def _grams(text):
+    import numpy as np
+
+    s = [T.symbol(c) for c in text]
+    codes = [sum(v * T.SYMBOLS ** (3 - k) for k, v in enumerate(s[i : i + 4])) for i in range(len(s) - 3)]
+    values, counts = np.unique(codes, return_counts=True)
+    return values, counts.astype(float)
