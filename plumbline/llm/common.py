@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,23 +17,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder; its lineage ends there.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Where that setting is empty a temporary one is
-    made, but under a local master only: on a cluster no other machine would see it.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_own_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` as a table in the shared folder; its lineage ends there, and so do the constraints that a plan drags along."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, for tables between stages."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
-
+    """The folder that the driver and all executors see, for tables between stages: the session's ``spark.checkpoint.dir``.
 
-def _own_folder(spark: SparkSession) -> str:
+    Where that setting is empty a temporary folder is made, but under a local master only: on a cluster no other machine would
+    see it.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="plumbline-")
@@ -75,13 +73,13 @@ def bitmap_of(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFram
     )
 
 
-def with_membership(df: DataFrame, key: Column, pages: DataFrame, name: str = "_maybe") -> DataFrame:
+def with_membership(df: DataFrame, key: Column, pages: DataFrame, bits: int = FILTER_BITS, name: str = "_maybe") -> DataFrame:
     """``df`` with a column that is false only where ``key`` isn't in the bitmap; decided on the map side."""
     at = F.bitmap_bit_position("_b")
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
     return (
-        df.withColumn("_b", _bit(key))
+        df.withColumn("_b", _bit(key, bits))
         .withColumn("_page", F.bitmap_bucket_number("_b"))
         .join(F.broadcast(pages), "_page", "left")
         .withColumn("_at", at)
@@ -91,18 +89,37 @@ def with_membership(df: DataFrame, key: Column, pages: DataFrame, name: str = "_
     )
 
 
+HOT_ROWS, HOT_KEYS = 2048, 10_000
+
+
+def skewed_join(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (one row a key) where very many rows of ``big`` may share a key.
+
+    Keys of more rows than a threshold (``HOT_ROWS``, or as many as leave ``HOT_KEYS`` such keys at most) are dealt over salts
+    by ``spread``, and their row of ``small`` goes to each.  ``big`` is counted first, so it should be materialised.
+    """
+    least = max(HOT_ROWS, big.count() // HOT_KEYS)
+    salts = F.ceil(F.col("count") / least).cast("int").alias("_salts")
+    hot = F.broadcast(cut(big.groupBy(key).count().filter(F.col("count") > least).select(key, salts)))  # HOT_KEYS rows at most
+    dealt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), "_salts")).cast("int")
+    left = big.join(hot, key, "left").withColumn("_salt", dealt).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    right = small.join(hot, key, "left").withColumn("_salt", copies).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) of every node in ``edges`` (a, b: long).
 
     Large-star and small-star steps take turns until the edges stand still: all of a component's nodes then point at its
-    smallest.  Minima are aggregated before the shuffle, so a node with very many edges is no single task's work.
+    smallest.  Minima are aggregated before the shuffle, and the edges of a hub meet its minimum in several tasks.
     """
     now = cut(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).filter("a <> b").distinct())
     state = None
     while True:
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = cut(now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = skewed_join(both.filter("b > a"), least, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Edges of a node that is its own minimum stay as they are; the others now hang from the minimum.
         large = large.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))

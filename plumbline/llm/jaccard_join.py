@@ -15,15 +15,17 @@ well, and empty ones only if they have more empty segments than slack.  Nothing
 
 Which allocation a band gets, exact segments or fewer ones with neighbourhoods, is decided by estimated cost.
 
-Groups of a shared signature are verified on the whole sets.  Groups of up to ``SMALL_GROUP`` give pairs.  Members of larger
-ones are dealt over blocks (by the largest group they are in, ``BLOCK_DOCS`` to a block), and two blocks meet where a
-signature has members in both: a task compares two blocks of bounded size at once and returns a spanning forest of
-their links, so a group of n similar documents gives n - 1 links and never its pairs.  Equal sets are joined before,
-so copies are never compared.
+Equal sets are one class, so copies are never compared; what is linked are classes.  A group of up to ``SMALL_GROUP``
+classes with a shared signature gives pairs, in a larger one each member is paired with the first.  Pairs whose sizes, or
+whose counts of shingles by ``COUNTS`` classes, differ by too much go; the others are verified on the whole sets.  Of large
+groups that these links have not connected, members are dealt over blocks of bounded size, and two blocks meet where a
+signature has members in both that are still apart: a task compares two blocks and returns a spanning forest of their
+links.  A group of n near copies so costs about n comparisons, and its pairs are never listed.
 
 Defined cases: a null text counts as empty; a set without words is empty and linked with nothing; with fewer than five words
-the whole sequence is the one shingle; rows that share a doc_id are one document with the links of all of them; a null
-doc_id counts as larger than any other and never as equal to another text's; an empty table gives an empty result; other columns are not looked at.
+the whole sequence is the one shingle; rows that share a doc_id, or have none, are told apart by their texts, and any long is
+a doc_id; a component without any doc_id has none; equal rows are in one component; a very long text is one set of 8 bytes a
+shingle in the tasks that read it; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,18 +39,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, components, cut, text_or_empty, with_membership
+from .common import bitmap_of, components, cut, skewed_join, slices, text_or_empty, with_membership
 
 WORDS = 5
 PERCENT = 80
 BAND_RATIO = 1.5
 SMALL_GROUP = 8
-BLOCK_DOCS = 512
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: Shingles that a batch of rows holds so often are reported; those with so many reports in all are common.
 BATCH_REPEATS = 4
 COMMON_LEAST, COMMON_MOST = 48, 1 << 20
-#: Documents without an id get numbers from here on, by their text.
-NO_ID = 1 << 62
+#: Classes of shingles that are counted for every set, and bits of the bitmap of documents whose texts are wanted.
+COUNTS, WANTED_BITS = 64, 1 << 26
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -218,84 +220,124 @@ def _signed(x: np.ndarray, rare: np.ndarray, band: Band) -> np.ndarray:
 
 
 def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(_node(doc_id, text).alias("doc"), text_or_empty(text).alias("text"))
+    """doc, key (of the row's id and text) and text."""
+    return df.select(F.col(doc_id).cast("long").alias("doc"), _key(doc_id, text).alias("key"), text_or_empty(text).alias("text"))
 
 
-def _node(doc_id: str, text: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.pmod(F.xxhash64(text_or_empty(text)), F.lit(NO_ID)) + NO_ID)
+def _key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id).cast("long"), text_or_empty(text))
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
-    """One row per document (doc, n, h1, h2: a 128-bit hash of the set), and rows (shingle, times) of repeated shingles."""
+def _class_number(s: np.ndarray, salt: int) -> int:
+    """The number of a set of shingles: two sets that share one are found out, and the work is done again with another salt."""
+    return int(np.add.reduce(mixed(s ^ U(1 + 2 * salt))).astype(np.int64)) if len(s) else 0
+
+
+def _profiles(docs: DataFrame, salt: int) -> DataFrame:
+    """Two kinds of rows: of every document (doc, void, key, n, cid, check, counts), and of repeated shingles (cid, times).
+
+    cid is the number of the document's set, check another hash of it, and counts how many of its shingles fall into each
+    of ``COUNTS`` classes: sets whose counts differ by more than similar sets may are not similar.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for pdf in batches:
-            sets = shingle_sets(list(pdf["text"]), powers)
-            h1 = [int(np.add.reduce(mixed(s ^ U(1)))) if len(s) else 0 for s in sets]
-            h2 = [int(np.bitwise_xor.reduce(mixed(s * U(3)))) if len(s) else 0 for s in sets]
-            yield pd.DataFrame(
-                {
-                    "doc": pdf["doc"],
-                    "n": [len(s) for s in sets],
-                    "h1": np.array(h1, dtype=U).astype(np.int64),
-                    "h2": np.array(h2, dtype=U).astype(np.int64),
-                    "times": 0,
-                }
-            )
-            seen, times = np.unique(np.concatenate([np.zeros(0, dtype=U), *sets]), return_counts=True)
+            repeated = [np.zeros(0, dtype=U)]
+            for part in slices(pdf, "text", 1 << 21):
+                sets = shingle_sets(list(part["text"]), powers)
+                yield pd.DataFrame(
+                    {
+                        "doc": part["doc"].to_numpy(),
+                        "void": part["void"].to_numpy(),
+                        "key": part["key"].to_numpy(),
+                        "n": [len(s) for s in sets],
+                        "cid": np.array([_class_number(s, salt) for s in sets], dtype=np.int64),
+                        "check": np.array([int(np.bitwise_xor.reduce(mixed(s * U(3)))) if len(s) else 0 for s in sets], dtype=U).astype(np.int64),
+                        "counts": [np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes() for s in sets],
+                        "times": 0,
+                    }
+                )
+                repeated += sets
+            seen, times = np.unique(np.concatenate(repeated), return_counts=True)
             seen, times = seen[times >= BATCH_REPEATS], times[times >= BATCH_REPEATS]
-            yield pd.DataFrame({"doc": -1, "n": -1, "h1": seen.astype(np.int64), "h2": 0, "times": times})
+            yield pd.DataFrame({"doc": 0, "void": True, "key": 0, "n": -1, "cid": seen.astype(np.int64), "check": 0, "counts": b"", "times": times})
 
-    return docs.mapInPandas(run, "doc long, n long, h1 long, h2 long, times long")
+    rows = docs.select(F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("void"), "key", "text")
+    return rows.mapInPandas(run, "doc long, void boolean, key long, n long, cid long, check long, counts binary, times long")
 
 
-def _signature_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """sig, doc for every document that is the first of its set in its task."""
+def _signature_rows(docs: DataFrame, common: np.ndarray, salt: int) -> DataFrame:
+    """sig, cid for every set that a task meets, once a task."""
     packed = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, bands, seen, known = Powers(), band_list(), set(), packed.value
         lows = np.array([b.low for b in bands])
         for pdf in batches:
-            for i in range(0, len(pdf), 512):
-                part = pdf.iloc[i : i + 512]
+            for part in slices(pdf):
                 sigs, of = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)]
-                for doc, s in zip(part["doc"].to_numpy(), shingle_sets(list(part["text"]), powers)):
-                    key = (len(s), int(np.add.reduce(mixed(s ^ U(1)))) if len(s) else 0)
-                    if key not in seen:
-                        seen.add(key)
+                for s in shingle_sets(list(part["text"]), powers):
+                    cid = _class_number(s, salt)
+                    if cid not in seen:
+                        seen.add(cid)
                         sigs.append(np.unique(signatures(s, known, bands, lows)))
-                        of.append(np.full(len(sigs[-1]), doc))
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc": np.concatenate(of)})
+                        of.append(np.full(len(sigs[-1]), cid))
+                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "cid": np.concatenate(of)})
 
-    return docs.mapInPandas(run, "sig long, doc long")
+    return docs.select("text").mapInPandas(run, "sig long, cid long")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc and its set as array<long>."""
+def _texts(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
+    """cid and text, once each, of the sets in ``wanted`` (cid, key: of one document that has it)."""
+    marked = with_membership(docs, F.col("key"), bitmap_of(wanted, F.col("key"), WANTED_BITS), WANTED_BITS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for pdf in batches:
-            for i in range(0, len(pdf), 512):
-                part = pdf.iloc[i : i + 512]
-                sets = [s.view(np.int64) for s in shingle_sets(list(part["text"]), powers)]
-                yield pd.DataFrame({"doc": part["doc"].to_numpy(), "items": sets})
+            for part in slices(pdf):
+                cids = [_class_number(s, salt) for s in shingle_sets(list(part["text"]), powers)]
+                yield pd.DataFrame({"cid": np.array(cids, dtype=np.int64), "text": part["text"].to_numpy()})
+
+    found = marked.filter("_maybe").select("text").mapInPandas(run, "cid long, text string")
+    return found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("text").alias("text"))
+
+
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets whose sizes and counts allow similarity."""
+    one = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("c_a"))
+    two = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("c_b"))
+    both = skewed_join(cut(skewed_join(pairs, one, "a", F.col("b"))), two, "b", F.col("a"))
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, y = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(-1, COUNTS).astype(np.int64) for c in ("c_a", "c_b"))
+            apart = np.abs(x - y).sum(axis=1)  # of all differing shingles, at least so many
+            allowed = (pdf["n_a"] + pdf["n_b"]).to_numpy() * (100 - percent)
+            yield pdf.loc[apart * (100 + percent) <= allowed, ["a", "b"]]
 
-    return docs.mapInPandas(run, "doc long, items array<long>")
+    return both.filter(fits).select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInPandas(run, "a long, b long")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, salt: int) -> DataFrame:
     """The pairs (a, b) that are similar, verified on the whole sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    wanted = with_membership(docs, F.col("doc"), bitmap_of(ends, F.col("doc"))).filter("_maybe").select("doc", "text")
-    sets = _sets(wanted)
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    return both.filter(shared * 100 >= union * percent).select("a", "b").distinct()
+    close = cut(_close(pairs, classes, percent))
+    ends = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    texts = cut(_texts(docs, ends.join(classes, "cid").select("cid", "key"), salt))
+    left = cut(skewed_join(close, texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a", F.col("b")))
+    both = skewed_join(left, texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b", F.col("a"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = Powers()
+        for pdf in batches:
+            for part in slices(pdf, "x"):
+                x, y = (shingle_sets(list(part[c]), powers) for c in ("x", "y"))
+                shared = np.array([len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)], dtype=np.int64)
+                union = np.array([len(s) + len(t) for s, t in zip(x, y)], dtype=np.int64) - shared
+                yield part.loc[shared * 100 >= union * percent, ["a", "b"]]
+
+    return both.mapInPandas(run, "a long, b long")
 
 
 def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -336,100 +378,126 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
     return out
 
 
-def _crowd_links(crowds: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links a, b that connect what the members (sig, doc, size) of large groups have in common, block by block."""
-    homes = crowds.groupBy("doc").agg(F.max_by("sig", F.struct("size", "sig")).alias("home"))
-    counts = homes.groupBy("home").agg(F.count("*").alias("docs"))
-    part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("docs") / BLOCK_DOCS))
-    placed = cut(homes.join(counts, "home").select("doc", F.xxhash64("home", part).alias("block")))
-    of_sig = crowds.join(placed, "doc").select("sig", "block").distinct()
-    other = of_sig.select("sig", F.col("block").alias("right"))
-    meetings = of_sig.withColumnRenamed("block", "left").join(other, "sig").filter("left <= right").select("left", "right").distinct()
-    meetings = cut(meetings)
-    wanted = with_membership(docs, F.col("doc"), bitmap_of(placed, F.col("doc"))).filter("_maybe").select("doc", "text")
-    sets = _sets(wanted).join(placed, "doc")
-    left = meetings.join(sets.withColumnRenamed("block", "left"), "left")
-    right = meetings.filter("left < right").join(sets.withColumnRenamed("block", "right"), "right").select(
-        F.col("left").alias("l"), F.col("right").alias("r"), F.col("doc").alias("d"), F.col("items").alias("x")
+def _crowd_links(crowds: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, salt: int) -> DataFrame:
+    """Links a, b that connect what members (sig, cid, size, label) of large groups have in common, block by block.
+
+    Members of one label are connected already.  Labels of many members fill blocks of their own, so that two such blocks
+    need no meeting; the others share blocks by the largest group they are in.
+    """
+    member = crowds.groupBy("cid").agg(F.max_by("sig", F.struct("size", "sig")).alias("home"), F.min("label").alias("label"))
+    member = cut(member.join(classes.select("cid", "n", "key"), "cid"))
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    many = cut(member.groupBy("label").agg(F.count("*").alias("docs"), blocks().alias("parts")).filter(F.col("docs") >= BLOCK_DOCS // 2))
+    labelled = cut(skewed_join(member, many.select("label", "parts"), "label", F.col("cid"), "left"))
+    own = labelled.filter("parts IS NOT NULL").select("cid", "key", F.xxhash64("label", F.pmod(F.xxhash64("cid"), "parts"), F.lit(1)).alias("block"))
+    rest = cut(labelled.filter("parts IS NULL").drop("parts"))
+    parts = rest.groupBy("home").agg(blocks().alias("parts"))
+    pooled = skewed_join(rest, parts, "home", F.col("cid")).select("cid", "key", F.xxhash64("home", F.pmod(F.xxhash64("cid"), "parts")).alias("block"))
+    placed = cut(own.unionByName(pooled))
+    of_sig = cut(crowds.join(placed, "cid").groupBy("sig", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    # The label that fills most blocks of a group: such blocks need not meet each other.
+    uniform = of_sig.filter("lo = hi").groupBy("sig", F.col("lo").alias("main")).agg(F.count("*").alias("n"))
+    main = uniform.groupBy("sig").agg(F.max_by("main", F.struct("n", "main")).alias("main"))
+    known = cut(of_sig.join(main, "sig", "left"))
+    odd = known.filter("main IS NULL OR lo <> main OR hi <> main").select("sig", F.col("block").alias("x"), "lo", "hi")
+    other = known.select("sig", F.col("block").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
+    differ = F.least("lo", "lo_y") < F.greatest("hi", "hi_y")
+    meetings = odd.join(other, "sig").filter(differ).select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
+    meetings = cut(meetings.distinct())
+    texts = cut(_texts(docs, placed, salt).join(placed.select("cid", "block"), "cid"))
+    left = meetings.join(texts.withColumnRenamed("block", "left"), "left")
+    right = meetings.filter("left < right").join(texts.withColumnRenamed("block", "right"), "right").select(
+        F.col("left").alias("l"), F.col("right").alias("r"), F.col("cid").alias("d"), F.col("text").alias("x")
     )
 
     def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids = np.concatenate([a["doc"].to_numpy(), b["d"].to_numpy()]).astype(np.int64)
-        return pd.DataFrame(_forest(ids, [*a["items"], *b["x"]], percent), columns=["a", "b"])
+        ids = np.concatenate([a["cid"].to_numpy(), b["d"].to_numpy()]).astype(np.int64)
+        sets = shingle_sets([*a["text"], *b["x"]], Powers())
+        return pd.DataFrame(_forest(ids, sets, percent), columns=["a", "b"])
 
-    pairs = left.select("left", "right", "doc", "items").groupBy("left", "right").cogroup(right.groupBy("l", "r"))
+    pairs = left.select("left", "right", "cid", "text").groupBy("left", "right").cogroup(right.groupBy("l", "r"))
     return pairs.applyInPandas(compare, "a long, b long").distinct()
 
 
-def _to_representatives(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b of representatives whose sizes allow similarity."""
-    of = groups.select(F.col("doc").alias("_d"), F.col("rep").alias("_r"), F.col("n").alias("_n"))
-    out = pairs
-    for c in ("a", "b"):
-        out = out.join(of, out[c] == F.col("_d")).drop(c, "_d").withColumnsRenamed({"_r": c, "_n": f"n_{c}"})
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return out.filter(fits & (F.col("a") != F.col("b"))).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
+def _labelled(crowds: DataFrame, found: DataFrame) -> DataFrame:
+    """The members (sig, cid, size, label) of those groups whose members are not all connected by now."""
+    labels = crowds.join(found, crowds["cid"] == found["node"], "left").select("sig", "cid", "size", F.coalesce("component", "cid").alias("label"))
+    labels = cut(labels)
+    open_ = labels.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig", F.lit(1).alias("open"))
+    return cut(skewed_join(labels, open_, "sig", F.col("cid")).drop("open"))
 
 
-def _components(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, n, component for every row of ``docs`` (doc, text)."""
+def _classes(docs: DataFrame, percent: int, salt: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, key, n, cid) of all documents, and sets (cid, root) that have more than one row or a link."""
     if percent < 80:
         raise ValueError("the size bands hold for similarities of 80 percent and more")
-    profiles = cut(_profiles(docs))
-    rows = profiles.filter("n >= 0").select("doc", "n", "h1", "h2")
-    reported = profiles.filter("n < 0").groupBy("h1").agg(F.sum("times").alias("times"))
+    profiles = cut(_profiles(docs, salt))
+    rows = profiles.filter("n >= 0").select(F.when(~F.col("void"), F.col("doc")).alias("doc"), "key", "n", "cid")
+    reported = profiles.filter("n < 0").groupBy("cid").agg(F.sum("times").alias("times"))
     shingles = rows.agg(F.sum("n")).first()[0] or 0
     least = max(COMMON_LEAST, shingles // COMMON_MOST)  # so there are no more than COMMON_MOST of them
-    common = np.sort(np.array([r.h1 for r in reported.filter(F.col("times") >= least).select("h1").collect()], dtype=np.int64).view(U))
-
-    same = rows.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
-    groups = cut(rows.filter("n > 0").join(same, ["n", "h1", "h2"]).select("doc", "n", "rep").distinct())
+    common = np.sort(np.array([r.cid for r in reported.filter(F.col("times") >= least).select("cid").collect()], dtype=np.int64).view(U))
+
+    own = F.struct("n", "check")
+    classes = cut(
+        profiles.filter("n > 0").groupBy("cid").agg(
+            F.min("n").alias("n"), F.min("key").alias("key"), F.first("counts").alias("counts"), F.count("*").alias("rows"),
+            (F.min(own) != F.max(own)).alias("clash"),
+        )
+    )
+    if not classes.filter("clash").isEmpty():  # about one chance in 10 million for a billion sets
+        return _classes(docs, percent, salt + 1)
 
-    order = Window.partitionBy("sig").orderBy("doc")
-    signed = _signature_rows(docs, common).withColumns(
+    order = Window.partitionBy("sig").orderBy("cid")
+    once = _signature_rows(docs, common, salt).withColumn("before", F.lag("cid").over(order)).filter("before IS NULL OR before <> cid")
+    signed = once.drop("before").withColumns(
         {
             "size": F.count("*").over(Window.partitionBy("sig")),
-            "next": F.array(*[F.lead("doc", k).over(order) for k in range(1, SMALL_GROUP)]),
+            "rep": F.first("cid").over(order),
+            "next": F.array(*[F.lead("cid", k).over(order) for k in range(1, SMALL_GROUP)]),
         }
     )
-    none, row = F.lit(None).cast("long"), "struct<b:bigint,sig:bigint,size:bigint>"
-    pair = F.transform(
-        F.filter("next", lambda x: x.isNotNull()), lambda x: F.struct(x.alias("b"), none.alias("sig"), none.alias("size")).cast(row)
-    )
-    member = F.array(F.struct(none.alias("b"), F.col("sig"), F.col("size")).cast(row))
-    met = cut(
-        signed.filter("size > 1")
-        .select(F.col("doc").alias("a"), F.explode(F.when(F.col("size") <= SMALL_GROUP, pair).otherwise(member)).alias("m"))
-        .select("a", "m.*")
-        .distinct()
-    )
-    pairs = cut(_to_representatives(met.filter("sig IS NULL").select("a", "b"), groups, percent))
-    crowds = met.filter("sig IS NOT NULL").select("sig", F.col("a").alias("doc"), "size")
-    copies = groups.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    links = _links(pairs, docs, percent).unionByName(_crowd_links(crowds, docs, percent)).unionByName(copies)
-    found = components(links)
-    result = rows.select("doc", "n").join(found, rows["doc"] == found["node"], "left")
-    return result.select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    none, row = F.lit(None).cast("long"), "struct<a:bigint,b:bigint,sig:bigint,size:bigint>"
+    to = lambda a, b, sig, size: F.struct(a.alias("a"), b.alias("b"), sig.alias("sig"), size.alias("size")).cast(row)
+    pair = F.transform(F.filter("next", lambda x: x.isNotNull()), lambda x: to(F.col("cid"), x, none, none))
+    # A member of a large group meets its first one; what that leaves apart is compared block by block.
+    member = F.array(to(F.col("rep"), F.col("cid"), F.col("sig"), F.col("size")))
+    met = cut(signed.filter("size > 1").select(F.explode(F.when(F.col("size") <= SMALL_GROUP, pair).otherwise(member)).alias("m")).select("m.*").distinct())
+    pairs = cut(met.filter("a <> b").select("a", "b").distinct())
+    links = cut(_links(pairs, docs, classes, percent, salt))
+    crowds = met.filter("sig IS NOT NULL").select("sig", F.col("b").alias("cid"), "size")
+    found = cut(components(links))
+    apart = _labelled(crowds, found)
+    if not apart.isEmpty():
+        found = cut(components(links.unionByName(_crowd_links(apart, docs, classes, percent, salt))))
+    joined = classes.join(found, classes["cid"] == found["node"], "left")
+    several = joined.filter("component IS NOT NULL OR rows > 1").select("cid", F.coalesce("component", "cid").alias("root"))
+    return rows, cut(several)
 
 
 def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``df``."""
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return _components(_documents(df, doc_id, text), percent).select(
-        real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id")
-    )
+    rows, several = _classes(_documents(df, doc_id, text), percent)
+    named = cut(skewed_join(rows, several, "cid", F.col("key"), "left").select("doc", "key", "n", "root"))
+    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("least"))
+    done = skewed_join(named, least, "root", F.col("key"), "left")
+    component = F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("least"))
+    return done.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` with the smallest doc_id of their component, with all columns.
+    """Of the rows of each component one, the smallest by (doc_id, text's hash), with all columns.
 
-    Only rows that a bitmap of the others' ids marks are shuffled.
+    Only rows that a bitmap of the keys of such components marks are shuffled.
     """
-    found = _components(_documents(df, doc_id, text), percent)
-    dropped = cut(found.filter("component <> doc").select("doc").distinct())
-    rows = df.select(F.struct("*").alias("_row"), _node(doc_id, text).alias("doc"))
-    marked = with_membership(rows, F.col("doc"), bitmap_of(dropped, F.col("doc")))
-    checked = marked.filter("_maybe").join(dropped, "doc", "left_anti").select("_row")
-    return marked.filter("NOT _maybe").select("_row").unionByName(checked).select("_row.*")
+    rows, several = _classes(_documents(df, doc_id, text), percent)
+    named = cut(skewed_join(rows, several, "cid", F.col("key")).select("doc", "key", "root"))
+    bitmap = bitmap_of(named, F.col("key"), WANTED_BITS)
+    winner = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("void"), "doc", "key")).alias("w")).select("w.key")
+    known = named.select("key", F.lit(False).alias("wins")).unionByName(winner.select("key", F.lit(True).alias("wins")))
+    known = known.groupBy("key").agg(F.max("wins").alias("wins"))
+    marked = with_membership(df.select(F.struct("*").alias("_row"), _key(doc_id, text).alias("key")), F.col("key"), bitmap, WANTED_BITS)
+    met = marked.filter("_maybe").select("_row", "key").join(known, "key", "left")
+    stays = met.filter("wins").groupBy("key").agg(F.first("_row").alias("_row")).select("_row")
+    alone = met.filter("wins IS NULL").select("_row")
+    return marked.filter("NOT _maybe").select("_row").unionByName(alone).unionByName(stays).select("_row.*")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from plumbline.llm import common as C
 from plumbline.llm import jaccard_join as J
 
 
@@ -46,6 +47,7 @@ def test_components_equal_brute_force(docs, prose, monkeypatch, small_group, blo
     monkeypatch.setattr(J, "SMALL_GROUP", small_group)
     monkeypatch.setattr(J, "BLOCK_DOCS", block)
     monkeypatch.setattr(J, "COMMON_LEAST", 12)
+    monkeypatch.setattr(C, "HOT_ROWS", 30)
     texts = [None, "", " \n", "one two", "One TWO", "one two three four five", "one two three four five six"]
     for size in (5, 6, 9, 14, 30, 60, 120, 400, 1500):
         base = prose(size, size)
@@ -54,6 +56,8 @@ def test_components_equal_brute_force(docs, prose, monkeypatch, small_group, blo
     texts += [edited(crowd, i, i % 9) for i in range(40)]  # a crowd of near copies, many at the border
     line = prose(88, 40)
     texts += [f"{prose(200 + i, 30)} {line} {prose(400 + i, 25)}" for i in range(40)]  # a passage in many strangers
+    far = [edited(crowd, 900 + i, 14) for i in range(6)]  # apart from the crowd's first, near one or the other of the rest
+    texts += far + [edited(f, i, 2) for i, f in enumerate(far)]
     rows = list(enumerate(texts))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar_documents(docs(rows)).collect()}
     want = brute(rows)
@@ -97,3 +101,19 @@ def test_one_of_each_group_stays(docs, prose):
     df = docs([(1, t), (4, edited(t, 1, 1)), (5, edited(t, 2, 1)), (6, prose(9, 60)), (7, ""), (8, None)])
     kept = J.drop_similar(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 6, 7, 8]
+
+
+def test_any_long_is_an_id_and_shared_ids_are_told_apart(docs, prose):
+    t, u, big = prose(1, 50), prose(2, 50), (1 << 62) + 7
+    df = docs([(big, t), ((1 << 63) - 1, edited(t, 1, 1)), (5, u), (5, prose(3, 50)), (3, edited(u, 1, 1)), (None, t)])
+    got = sorted((r.doc_id or 0, r.component_id) for r in J.similar_documents(df).collect())
+    assert got == [(0, big), (3, 3), (5, 3), (5, 5), (big, big), ((1 << 63) - 1, big)]
+    assert sorted(r.doc_id for r in J.drop_similar(df).collect()) == [3, 5, big]
+
+
+def test_sets_that_share_a_number_are_told_apart(docs, prose, monkeypatch):
+    number = J._class_number
+    monkeypatch.setattr(J, "_class_number", lambda s, salt: 1 if salt == 0 else number(s, salt))
+    df = docs([(1, prose(1, 30)), (2, prose(2, 30)), (3, prose(1, 30))])
+    # Tasks import the module anew; here it is enough that the second salt gives the same classes.
+    assert {r.doc_id: r.component_id for r in J.similar_documents(df).collect()} == {1: 1, 2: 2, 3: 1}
