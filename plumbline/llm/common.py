@@ -93,14 +93,17 @@ HOT_ROWS, HOT_KEYS = 2048, 10_000
 
 
 def skewed_join(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small`` (one row a key) where very many rows of ``big`` may share a key.
+    """``big`` joined with ``small`` (one row a key) where very many rows of ``big``, a materialised table, may share a key.
 
-    Keys of more rows than a threshold (``HOT_ROWS``, or as many as leave ``HOT_KEYS`` such keys at most) are dealt over salts
-    by ``spread``, and their row of ``small`` goes to each.  ``big`` is counted first, so it should be materialised.
+    The most frequent keys, ``HOT_KEYS`` at most and of more than ``HOT_ROWS`` rows each, are dealt over salts by ``spread``, and
+    their row of ``small`` goes to each salt.
     """
-    least = max(HOT_ROWS, big.count() // HOT_KEYS)
-    salts = F.ceil(F.col("count") / least).cast("int").alias("_salts")
-    hot = F.broadcast(cut(big.groupBy(key).count().filter(F.col("count") > least).select(key, salts)))  # HOT_KEYS rows at most
+    counts = big.groupBy(key).count().filter(F.col("count") > HOT_ROWS)
+    top = counts.orderBy(F.desc("count"), key).limit(HOT_KEYS).collect()
+    if not top:
+        return big.join(small, key, how)
+    kind = big.schema[key].dataType.simpleString()
+    hot = F.broadcast(big.sparkSession.createDataFrame([(r[key], -(-r["count"] // HOT_ROWS)) for r in top], f"`{key}` {kind}, _salts int"))
     dealt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), "_salts")).cast("int")
     left = big.join(hot, key, "left").withColumn("_salt", dealt).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
@@ -112,14 +115,15 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) of every node in ``edges`` (a, b: long).
 
     Large-star and small-star steps take turns until the edges stand still: all of a component's nodes then point at its
-    smallest.  Minima are aggregated before the shuffle, and the edges of a hub meet its minimum in several tasks.
+    smallest.  Minima are aggregated before the shuffle; a hub's edges (16 bytes each) meet its minimum in a join that adaptive
+    execution splits once they are large.
     """
     now = cut(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).filter("a <> b").distinct())
     state = None
     while True:
-        both = cut(now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = skewed_join(both.filter("b > a"), least, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Edges of a node that is its own minimum stay as they are; the others now hang from the minimum.
         large = large.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))

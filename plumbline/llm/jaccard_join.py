@@ -307,7 +307,7 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets whose sizes and counts allow similarity."""
     one = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("c_a"))
     two = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("c_b"))
-    both = skewed_join(cut(skewed_join(pairs, one, "a", F.col("b"))), two, "b", F.col("a"))
+    both = skewed_join(pairs, one, "a", F.col("b")).join(two, "b")  # only ``a``, the first of a large group, has many pairs
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,8 +325,8 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
     close = cut(_close(pairs, classes, percent))
     ends = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     texts = cut(_texts(docs, ends.join(classes, "cid").select("cid", "key"), salt))
-    left = cut(skewed_join(close, texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a", F.col("b")))
-    both = skewed_join(left, texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b", F.col("a"))
+    left = skewed_join(close, texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a", F.col("b"))
+    both = left.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
@@ -387,18 +387,18 @@ def _crowd_links(crowds: DataFrame, docs: DataFrame, classes: DataFrame, percent
     member = crowds.groupBy("cid").agg(F.max_by("sig", F.struct("size", "sig")).alias("home"), F.min("label").alias("label"))
     member = cut(member.join(classes.select("cid", "n", "key"), "cid"))
     blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    many = cut(member.groupBy("label").agg(F.count("*").alias("docs"), blocks().alias("parts")).filter(F.col("docs") >= BLOCK_DOCS // 2))
+    many = member.groupBy("label").agg(F.count("*").alias("docs"), blocks().alias("parts")).filter(F.col("docs") >= BLOCK_DOCS // 2)
     labelled = cut(skewed_join(member, many.select("label", "parts"), "label", F.col("cid"), "left"))
     own = labelled.filter("parts IS NOT NULL").select("cid", "key", F.xxhash64("label", F.pmod(F.xxhash64("cid"), "parts"), F.lit(1)).alias("block"))
-    rest = cut(labelled.filter("parts IS NULL").drop("parts"))
+    rest = labelled.filter("parts IS NULL").drop("parts")
     parts = rest.groupBy("home").agg(blocks().alias("parts"))
-    pooled = skewed_join(rest, parts, "home", F.col("cid")).select("cid", "key", F.xxhash64("home", F.pmod(F.xxhash64("cid"), "parts")).alias("block"))
+    pooled = rest.join(parts, "home").select("cid", "key", F.xxhash64("home", F.pmod(F.xxhash64("cid"), "parts")).alias("block"))
     placed = cut(own.unionByName(pooled))
     of_sig = cut(crowds.join(placed, "cid").groupBy("sig", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
     # The label that fills most blocks of a group: such blocks need not meet each other.
     uniform = of_sig.filter("lo = hi").groupBy("sig", F.col("lo").alias("main")).agg(F.count("*").alias("n"))
     main = uniform.groupBy("sig").agg(F.max_by("main", F.struct("n", "main")).alias("main"))
-    known = cut(of_sig.join(main, "sig", "left"))
+    known = of_sig.join(main, "sig", "left")
     odd = known.filter("main IS NULL OR lo <> main OR hi <> main").select("sig", F.col("block").alias("x"), "lo", "hi")
     other = known.select("sig", F.col("block").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
     differ = F.least("lo", "lo_y") < F.greatest("hi", "hi_y")
@@ -424,7 +424,7 @@ def _labelled(crowds: DataFrame, found: DataFrame) -> DataFrame:
     labels = crowds.join(found, crowds["cid"] == found["node"], "left").select("sig", "cid", "size", F.coalesce("component", "cid").alias("label"))
     labels = cut(labels)
     open_ = labels.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig", F.lit(1).alias("open"))
-    return cut(skewed_join(labels, open_, "sig", F.col("cid")).drop("open"))
+    return cut(labels.join(open_, "sig").drop("open"))
 
 
 def _classes(docs: DataFrame, percent: int, salt: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -480,9 +480,9 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows, several = _classes(_documents(df, doc_id, text), percent)
     named = cut(skewed_join(rows, several, "cid", F.col("key"), "left").select("doc", "key", "n", "root"))
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("least"))
-    done = skewed_join(named, least, "root", F.col("key"), "left")
-    component = F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("least"))
-    return done.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    done = skewed_join(named.filter("root IS NOT NULL"), least, "root", F.col("key"))
+    columns = lambda c: [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col(c).alias("component_id")]
+    return done.select(*columns("least")).unionByName(named.filter("root IS NULL").select(*columns("doc")))
 
 
 def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
