@@ -8,7 +8,7 @@ costs a hash, the grouping by full SHA-256 that follows is exact.
 
 Defined cases: a null text counts as empty and empty texts are equal; of equal texts the smallest doc_id stays, a null
 doc_id sorting last; of rows that also share the doc_id exactly one stays; an empty table gives an empty result; other
-columns, whatever their names, are not looked at.
+columns, whatever their names and types, are not looked at; a very long text is normalised and hashed where it is read.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, text_or_empty, with_membership
+from .common import bitmap_of, cut, skewed_join, text_or_empty, with_membership
 
 WHITE = r"[\x20\x09-\x0D]+"
 PREFIX_CHARS = 256
@@ -59,7 +59,7 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
     groups = slim.filter("_maybe").groupBy("_sha").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
     several = groups.filter("_n > 1")  # the others keep their only row
-    joined = slim.filter("_maybe").join(several, "_sha", "left")
+    joined = skewed_join(slim.filter("_maybe"), several, "_sha", F.col("_row"), "left")
     single = slim.filter("NOT _maybe").withColumns(
         {"_first": F.lit(None).cast(groups.schema["_first"].dataType), "_n": F.lit(None).cast("long")}
     )
@@ -81,6 +81,7 @@ def drop_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         df.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text")), "_text"
     )
     alone = rows.filter("NOT _maybe").select("_row")
-    order = F.struct(F.col("_doc").isNull().alias("n"), F.col("_doc").alias("d"), F.col("_row").alias("row"))
-    first = rows.filter("_maybe").groupBy("_len", F.unhex(F.sha2("_norm", 256)).alias("_sha")).agg(F.min(order).alias("m"))
-    return alone.unionByName(first.select(F.col("m.row").alias("_row"))).select("_row.*")
+    order = F.struct(F.col("_doc").isNull().alias("n"), F.col("_doc").alias("d"), F.monotonically_increasing_id().alias("r"))
+    marked = rows.filter("_maybe").withColumns({"_sha": F.unhex(F.sha2("_norm", 256)), "_order": order})
+    first = marked.groupBy("_len", "_sha").agg(F.min_by("_row", "_order").alias("_row"))
+    return alone.unionByName(first.select("_row")).select("_row.*")

@@ -5,10 +5,11 @@ the budget (all sizes); a target stops at ``MAX_EPOCHS`` times its source's size
 weight until none is above.  A source whose target is e whole passes and a rest takes every text e times and, for the
 rest, the texts whose hash lies below a threshold.  The threshold comes from histograms: words by source and hash bucket,
 the boundary bucket of each source alone split again on the next hash bits, and so on for ``LEVELS`` levels, where the
-cut nearest to the rest is taken.  No row is sorted.  Reruns agree, because the hash depends on doc_id only.
+cut nearest to the rest is taken.  No row is sorted.  Reruns agree, because the hash depends on doc_id and text only.
 
-Defined cases: a null text has no words; a source of size 0 has target 0; rows with one doc_id go together; an empty
-table gives an empty result; other columns are not looked at.
+Defined cases: a null text has no words; a source of size 0 has target 0; equal rows go together, and so
+do null ids with one text; an empty table gives an empty result; a very long text is counted where it is read; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -112,12 +113,13 @@ def _copies() -> Column:
 def _sized(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), text_or_empty(text).alias("text"))
     return rows.select(
-        "doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), _hash().alias("h")
+        "doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), _hash("doc_id", "text").alias("h")
     )
 
 
-def _hash() -> Column:
-    return md5_int(F.col("doc_id"), digits=LEVEL_BITS * LEVELS // 4)
+def _hash(doc_id: str, text: str) -> Column:
+    """A row's number: its id and its text decide, so that rows of one id, or of none, part."""
+    return md5_int(F.col(doc_id), F.md5(text_or_empty(text)), digits=LEVEL_BITS * LEVELS // 4)
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -133,9 +135,9 @@ def mixed_rows(df: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     Thresholds and passes per source (one row per source) decide each row where it is; no text is shuffled.
     """
     state = thresholds(cut(_sized(df, doc_id, source, text)))
-    rows = df.select(F.struct("*").alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
+    rows = df.select(F.struct("*").alias("_row"), F.col(source).alias("source"), _hash(doc_id, text).alias("h"))
     return (
-        _with_source(rows.select("_row", "source", _hash().alias("h")), state)
+        _with_source(rows, state)
         .filter(_copies() > 0)
         .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), _copies())))
         .select("_row.*")

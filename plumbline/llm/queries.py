@@ -117,15 +117,15 @@ ORACLES = {
                           xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, CASE WHEN text = '' THEN []
                               ELSE list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g'), ' ')[:-2],
                                                   lambda b: ('0x' || b)::BIGINT) END),
-                              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::BIGINT AS text_crc32,
-                          ('0x' || substr(md5(key || ':slot'), 1, 8))::BIGINT % 256 AS bucket
-                   FROM draw, crc)
+                              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::BIGINT AS text_crc32
+                   FROM draw, crc),
+             b AS (SELECT *, ('0x' || substr(md5(key || ':slot:' || text_crc32), 1, 8))::BIGINT % 256 AS bucket FROM s)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard,
                row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, grown_shard
-        FROM s""",
+        FROM b""",
     "op6_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~')), 1, 12))::BIGINT AS h FROM documents),
+                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h FROM documents),
              s AS (SELECT source, sum(size)::BIGINT AS source_size,
                           ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
              a AS (SELECT *, 3 * source_size AS cap, 3 * source_size / w AS lim FROM s),

@@ -9,7 +9,7 @@ Slots number the rows of a shard from 0 without gaps.  Nothing sorts a whole sha
 up to offsets.
 
 Defined cases: a null key is the key ``~``; a null text has no bytes; equal rows get neighbouring slots; an empty table
-gives an empty result; other columns are not looked at.
+gives an empty result; a very long text is measured where it is read and never shuffled; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -54,8 +54,10 @@ def shard_table(
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         rendezvous_shard(F.col("doc_id"), weights).alias("shard"),
         grown.alias("grown_shard"),
-        F.pmod(md5_int(F.col("doc_id"), F.lit("slot"), digits=8), F.lit(slot_buckets)).alias("bucket"),
     )
+    # With the text in the hash, a key of very many rows fills many buckets.
+    bucket = F.pmod(md5_int(F.col("doc_id"), F.lit("slot"), F.col("text_crc32"), digits=8), F.lit(slot_buckets))
+    rows = rows.withColumn("bucket", bucket)
     counts = rows.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

@@ -20,8 +20,8 @@ their anchor, so a text becomes a row of contexts: the anchor and the bytes of a
 
 The repeated starts of a text become its removed runs; only texts that have any are shuffled to meet them.
 
-Defined cases: a null text counts as empty and loses nothing; repeated rows repeat each other's strings; an empty table
-gives an empty result; other columns are not looked at.
+Defined cases: a null text counts as empty and loses nothing; a null doc_id stays null; repeated rows repeat each other's
+strings; a very long text is read in overlapping parts; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -48,7 +48,6 @@ BITMAP = 1 << 26
 HOT_LEAST, HOT_MOST = 20_000, 1 << 16
 #: Contexts a task remembers to have shipped.
 SHIPPED = 1 << 16
-NO_ID = (1 << 63) - 1
 U = np.uint64
 #: Low bits of a gram's hash that make room for its place; what is read at once is shorter than 2 ** PLACE_BITS bytes.
 PLACE_BITS = 24
@@ -207,7 +206,8 @@ def _expand(bwt: np.ndarray, c: np.ndarray, n: int, sigma: int, length: int) ->
 def _rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = text_or_empty(text)
     return df.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).alias("th"), body.alias("text")
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(F.col(doc_id).isNull(), body).alias("th"),
+        body.alias("text"), F.col(doc_id).isNull().alias("void"),
     )
 
 
@@ -521,13 +521,13 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, t, found in zip(pdf["doc"], pdf["text"], pdf["ranges"]):
+            for doc, void, t, found in zip(pdf["doc"], pdf["void"], pdf["text"], pdf["ranges"]):
                 n, runs, kept = _cut_text(t, [] if found is None else [(r["a"], r["b"]) for r in found])
-                out.append((doc, n, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest() if digest else kept))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", last.split()[0]])
+                out.append((doc, void, n, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest() if digest else kept))
+            yield pd.DataFrame(out, columns=["doc", "void", "n_bytes", "n_removed", "n_spans", last.split()[0]])
 
-    untouched = flagged.filter("NOT _maybe").select("doc", "text", F.lit(None).cast(lists.schema["ranges"].dataType).alias("ranges"))
-    touched = flagged.filter("_maybe").join(lists, ["doc", "th"], "left").select("doc", "text", "ranges")
-    done = [x.mapInPandas(run, f"doc long, n_bytes long, n_removed long, n_spans long, {last}") for x in (untouched, touched)]
-    real: Column = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    untouched = flagged.filter("NOT _maybe").select("doc", "void", "text", F.lit(None).cast(lists.schema["ranges"].dataType).alias("ranges"))
+    touched = flagged.filter("_maybe").join(lists, ["doc", "th"], "left").select("doc", "void", "text", "ranges")
+    done = [x.mapInPandas(run, f"doc long, void boolean, n_bytes long, n_removed long, n_spans long, {last}") for x in (untouched, touched)]
+    real: Column = F.when(~F.col("void"), F.col("doc"))
     return done[0].unionByName(done[1]).select(real.alias("doc_id"), "n_bytes", "n_removed", "n_spans", last.split()[0])

@@ -11,12 +11,14 @@ group, which gets one copy of each for every ``QUERY_ROWS`` queries.  A cell's d
 ``BLOCK_ROWS`` rows, so a cell that holds a third of all rows is many tasks; each block gives its k best for each query and
 the blocks' lists meet per query.
 
-Components are integers, floor(scale x) of the given ones; scores are exact integer inner products.  Pivots are the
-``PIVOTS`` vectors with the smallest hash of vec_id, a bounded sample: they decide the work, not the result.
-
-Defined cases: a vector that is null, empty or holds a null or a non-finite component takes no part; vectors of another
-length than the first pivot's take no part; equal scores go to the smaller vec_id; of repeated rows each is a query and a
-candidate of its own; an empty table gives an empty result; other columns are not looked at.
+Components are integers, floor(scale x) of the given ones; scores are exact integer inner products.  Pivots are the vectors
+with the smallest hash of vec_id, a bounded sample of ``LEAST_PIVOTS`` to ``MOST_PIVOTS`` that grows with the square root of
+the rows: they decide the work, not the result.
+
+Defined cases: a vector that is null or holds a null or a non-finite component takes no part; a shorter vector, an empty one
+too, counts as ended by zeros; components and scores beyond 64 bits count as the nearest long; equal scores go to the smaller
+vec_id; of repeated rows each is a query and a candidate of its own; an empty table gives an empty result; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -31,25 +33,25 @@ from pyspark.sql import functions as F
 from .common import cut
 
 K = 5
-PIVOTS = 64
+LEAST_PIVOTS, MOST_PIVOTS = 64, 512
 BLOCK_ROWS = 20_000
 QUERY_ROWS = 4096
+#: The largest double below 2 ** 63.
+LARGEST = 9223372036854774784.0
 #: Slack of the bounds against rounding in floating point.
 SLACK = 1e-6
 
 
 def quantised(vector: Column, scale: int) -> Column:
     """floor(scale x) of every component as long; null if the vector takes no part."""
-    limit = float(2**31)  # inner products of such integers stay exact far beyond any real embedding
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < limit)
-    usable = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, fine)
-    return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    scaled = lambda x: F.greatest(F.least(x.cast("double") * scale, F.lit(LARGEST)), F.lit(-LARGEST))
+    return F.when(vector.isNotNull() & F.forall(vector, fine), F.transform(vector, lambda x: F.floor(scaled(x)).cast("long")))
 
 
 def _pivots(rows: DataFrame, n: int) -> np.ndarray:
     first = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n).collect()
-    picked = [r.v for r in first if len(r.v) == len(first[0].v)]
-    return np.unique(np.array(picked, dtype=np.float64), axis=0) if picked else np.zeros((0, 0))
+    return np.unique(np.array([r.v for r in first], dtype=np.float64), axis=0) if first else np.zeros((0, 0))
 
 
 def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -58,7 +60,6 @@ def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[pdf["v"].map(len) == pivots.shape[1]]
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
                 square = (x**2).sum(axis=1)[:, None] + norms - 2 * x @ pivots.T
@@ -96,7 +97,7 @@ def top_k(
     scale: int = 256,
     vec_id: str = "vec_id",
     vector: str = "embedding",
-    n_pivots: int = PIVOTS,
+    n_pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates with the highest inner product for every query row of ``df``."""
@@ -107,7 +108,9 @@ def top_k(
         quantised(F.col(vector), scale).alias("v"),
     ).filter("v IS NOT NULL")
     spark = df.sparkSession
-    pivots = _pivots(rows, n_pivots)
+    count, width = rows.agg(F.count("*"), F.greatest(F.max(F.size("v")), F.lit(1))).first()
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))) if count else rows
+    pivots = _pivots(rows, n_pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, int(count**0.5) // 2)))
     out = "query_id long, rank int, vec_id long, score long"
     if not len(pivots):
         return spark.createDataFrame([], out)
@@ -165,12 +168,15 @@ def top_k(
             order = np.argsort(ids, kind="stable")
             xs, ids, uids = xs[order], ids[order], uids[order]
             # Products of floats are exact as long as no sum can pass 2 ** 53.
-            exact = float(np.abs(xs).max()) * float(np.abs(np.stack(q["v"].to_numpy())).max()) * xs.shape[1] < 2**53
-            xt = xs.T.astype(np.float64) if exact else xs.T
+            largest = float(np.abs(xs.astype(np.float64)).max()) * float(np.abs(np.stack(q["v"].to_numpy()).astype(np.float64)).max()) * xs.shape[1]
+            exact = largest < 2**53
+            kind = np.float64 if exact else np.int64 if largest < 2**62 else object  # Python's whole numbers have no limit
+            xt = xs.T.astype(kind)
             for i in range(0, len(q), 256):
                 part = q.iloc[i : i + 256]
                 qs = np.stack(part["v"].to_numpy())
-                scores = (qs.astype(np.float64) @ xt if exact else qs @ xt).astype(np.int64)
+                scores = qs.astype(kind) @ xt
+                scores = (np.clip(scores, -(2**63), 2**63 - 1) if kind is object else scores).astype(np.int64)
                 for uid, vid, s in zip(part["uid"], part["vec_id"], scores):
                     least = np.partition(s, -(k + 1))[-(k + 1)] if len(s) > k + 1 else s.min()
                     at = np.flatnonzero(s >= least)

@@ -39,3 +39,15 @@ def test_kept_rows_keep_their_columns(docs):
     df = docs([(1, "a  b"), (0, "a b"), (2, "c"), (1, "a b"), (3, None), (4, "")])
     kept = exact_dedup.drop_exact(df)
     assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, "a b"), (2, "c"), (3, None)]
+
+
+def test_map_columns_and_large_groups(spark, monkeypatch):
+    from plumbline.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(i, "a  b" if i % 2 else f"t{i}", {"k": i}, "x") for i in range(20, 0, -1)] + [(None, "a b", None, "y"), (1, "a b", {}, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, meta map<string,int>, _row string")
+    kept = exact_dedup.drop_exact(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, *range(2, 21, 2)]
+    groups = exact_dedup.exact_groups(df).collect()
+    assert sum(r.kept for r in groups) == 11 and {(r.keep_id, r.group_size) for r in groups if r.group_size > 1} == {(1, 12)}

@@ -8,7 +8,7 @@ from plumbline.llm import topk
 
 
 def brute(rows, k, every):
-    fine = [(i, v) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, v) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     ints = [(n, i, [math.floor(256 * x) for x in v]) for n, (i, v) in enumerate(fine)]
     out = []
     for n, q, v in ints:
@@ -30,7 +30,7 @@ def test_equal_to_brute_force(spark, monkeypatch, pivots, block, clusters):
     if clusters:
         x = (r.normal(size=(clusters, 8))[r.integers(0, clusters, 400)] * 6 + x * 0.2).astype(np.float32)
     rows = [(i, v) for i, v in enumerate(x.tolist())] + [(1000 + i, x[0].tolist()) for i in range(60)]  # a third of all equal
-    rows += [(2000, None), (2010, [float("nan")] * 8), (2020, [None] + [1.0] * 7), (2030, [float("inf")] * 8), (2040, []), (10, x[3].tolist())]
+    rows += [(2000, None), (2010, [float("nan")] * 8), (2020, [None] + [1.0] * 7), (2030, [float("inf")] * 8), (2040, []), (2050, x[1].tolist()[:5]), (2060, [1e7] + [0.0] * 7), (10, x[3].tolist())]
     got = topk.top_k(table(spark, rows), F.col("vec_id") % 10 == 0, n_pivots=pivots, block_rows=block).collect()
     assert sorted(map(tuple, got)) == brute(rows, 5, 10)
 
@@ -51,3 +51,9 @@ def test_few_rows_and_empty_tables(spark):
     assert topk.top_k(one.limit(0), F.lit(True)).collect() == []
     two = table(spark, [(0, [1.0, 2.0]), (1, [1.0, 1.0])])
     assert [tuple(r) for r in topk.top_k(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 3 * 256 * 256)]
+
+
+def test_large_components_stay(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e7, 0.0]), (2, [3e9, -3e9]), (3, [2.0, 0.0])]
+    got = topk.top_k(table(spark, rows), F.lit(True)).collect()
+    assert sorted(map(tuple, got)) == sorted((q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in brute(rows, 5, 1))
