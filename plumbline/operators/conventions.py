@@ -28,12 +28,14 @@ def modal_convention(
     ignore: Iterable[tuple[str, str]] = (),
     changed: DataFrame | None = None,
     meaningful: Callable[[Column, Column], Column] | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Rows that break a convention of their group.
 
     ``groups`` are columns from the most to the least specific; the most specific group with a convention decides a
     trait, whether the row follows it or not.  A convention needs ``min_support`` rows in the group and with the value,
     and ``min_ratio`` percent of the group.  ``changed`` (columns ``entity``) restricts who is judged, not who counts.
+    ``within``, some of ``entity``, keeps groups apart: only rows that agree in it are compared.
     Result: entity, group, trait, actual, expected, matching, total.
     """
     value = F.col("actual")
@@ -48,7 +50,7 @@ def modal_convention(
         .select(*entity, "trait", "actual", "g.*")
         .filter("group IS NOT NULL")
     )
-    conventions = modal_values(rows, ["level", "group", "trait"], "actual").filter(
+    conventions = modal_values(rows, [*within, "level", "group", "trait"], "actual").filter(
         (F.col("total") >= min_support)
         & (F.col("matching") >= min_support)
         & (F.col("matching") * 100 >= F.col("total") * min_ratio)
@@ -60,7 +62,7 @@ def modal_convention(
     if meaningful is not None:
         conventions = conventions.filter(meaningful(F.col("trait"), F.col("expected")))
     judged = rows if changed is None else rows.join(changed.select(*entity).distinct(), list(entity), "left_semi")
-    found = judged.join(conventions, ["level", "group", "trait"])
+    found = judged.join(conventions, [*within, "level", "group", "trait"])
     if len(groups) > 1:
         first = Window.partitionBy(*entity, "trait").orderBy("level")
         found = found.withColumn("first", F.row_number().over(first)).filter("first = 1").drop("first")

@@ -336,7 +336,7 @@ def link_gate(spark: SparkSession, d: str) -> DataFrame:
     WITH n AS (SELECT DISTINCT c_nationkey AS nation FROM customer), p AS (SELECT DISTINCT o_orderpriority AS priority FROM orders)
     SELECT nation, priority FROM n, p
     WHERE NOT EXISTS (SELECT 1 FROM orders JOIN customer ON c_custkey = o_custkey
-                      WHERE c_nationkey = nation AND o_orderpriority = priority AND o_totalprice > 440000)""")
+                      WHERE c_nationkey = nation AND o_orderpriority = priority AND o_totalprice > 490000)""")
 def required_group(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
     orders = table(spark, d, "orders").select(
@@ -346,7 +346,7 @@ def required_group(spark: SparkSession, d: str) -> DataFrame:
     required = customers.select("nation", F.lit(1).alias("one")).distinct().join(F.broadcast(priorities), "one").select(
         "nation", F.explode("all").alias("priority")
     )
-    existing = orders.filter("o_totalprice > 440000").join(customers, "c_custkey").select("nation", "priority")
+    existing = orders.filter("o_totalprice > 490000").join(customers, "c_custkey").select("nation", "priority")
     return gates.required_group(required, existing, ["nation", "priority"])
 
 
@@ -479,7 +479,7 @@ def history_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH n AS (SELECT * FROM (VALUES ('HTTPClient'), ('AModel'), ('iPhoneModel'), ('GetXY'), ('CustomerOrderProvider'), ('Single'), ('lower')) v(name)),
+    WITH n AS (SELECT * FROM (VALUES ('XMLReader'), ('AMeter'), ('iPhoneModel'), ('GetXY'), ('CustomerOrderProvider'), ('Single'), ('lower')) v(name)),
          c AS (SELECT name, i, name[i] AS ch, name[i - 1] AS before, name[i + 1] AS after FROM n, unnest(generate_series(1, length(name))) g(i)),
          f AS (SELECT *, i = 1 OR (regexp_full_match(ch, '\\p{Lu}') AND (NOT regexp_full_match(before, '\\p{Lu}') OR regexp_full_match(after, '\\p{Ll}'))) AS cut FROM c),
          g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY name ORDER BY i) AS w FROM f),
@@ -487,15 +487,17 @@ def history_csv(spark: SparkSession, d: str) -> DataFrame:
          l AS (SELECT name, list(word ORDER BY w) AS ws FROM p WHERE regexp_matches(word, '^\\p{Lu}') GROUP BY 1)
     SELECT name, suffix FROM l, unnest(CASE WHEN len(ws) >= 3 THEN [ws[-2] || ws[-1], ws[-1]] WHEN len(ws) = 2 THEN [ws[-1]] ELSE [] END) u(suffix)""".replace("\\\\", "\\"))
 def camel_suffixes(spark: SparkSession, d: str) -> DataFrame:
-    names = ["HTTPClient", "AModel", "iPhoneModel", "GetXY", "CustomerOrderProvider", "Single", "lower"]
+    names = ["XMLReader", "AMeter", "iPhoneModel", "GetXY", "CustomerOrderProvider", "Single", "lower"]
     frame = spark.createDataFrame([(n,) for n in names], "name string")
     return frame.select("name", F.explode(X.camel_suffixes(F.col("name"))).alias("suffix"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('C.cs', 20, '+', '++i;'), ('C.cs', 21, '-', 'var old = 1;'), ('C.cs', 21, '+', 'var first = Compute();'),
+                               ('C.cs', 22, '+', 'return second;'), ('C.cs', 41, '+', 'late();'), (NULL, 0, '-', 'gone();')) v(path, new_line, sign, text)""")
 def diff_line_numbers(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.diffs import diff_lines
 
-    diff = "+++ b/C.cs\n@@ -10,3 +20,4 @@\n context\n-var old = 1;\n+var first = Compute();\n+var second = Other(first);\n+return second;"
+    diff = ("diff --git a/C.cs b/C.cs\nindex 1..2\n--- a/C.cs\n+++ b/C.cs\n@@ -10,3 +20,4 @@\n+++i;\n-var old = 1;\n--- not a line\n+var first = Compute();\n"
+            "\\ No newline at end of file\n+return second;\n@@ -30 +40,2 @@\n context\n+late();\n--- a/D.cs\n+++ /dev/null\n@@ broken\n-gone();")
     lines = spark.createDataFrame([("d", diff)], "source string, text string")
     return diff_lines(lines, "source", "text").select("path", "new_line", "sign", "text")

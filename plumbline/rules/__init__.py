@@ -25,8 +25,18 @@ from . import code, names, references, size, structure
 RULES = {**structure.RULES, **size.RULES, **references.RULES, **names.RULES, **code.RULES}
 
 
+def written_by_hand(facts: dict) -> dict:
+    """The facts without those of generated files, as ``source_file`` tells."""
+    files = facts.get("source_file")
+    if files is None or "is_generated" not in files.columns:
+        return facts
+    made = files.filter("is_generated").select("path").distinct()
+    return {n: df.join(made, "path", "left_anti") if "path" in df.columns and n not in ("numstat", "churn", "changed") else df for n, df in facts.items()}
+
+
 def run(facts: dict, options: dict[str, str], only: list[str] | None = None):
     """The union of all rules' diagnostics; a rule whose options are unset, or whose facts are missing, stays silent."""
+    facts = written_by_hand(facts)
     out = None
     for rule, (needs, f) in RULES.items():
         if (only is None or rule in only) and all(n in facts for n in needs):

@@ -12,7 +12,7 @@ from ..plans.diagnostics import report
 from ..sources.config import bounded_int, items, pairs
 
 #: Attributes that mark tests, attributes that switch them off, and beginnings of assertions.
-TEST_ATTRIBUTES = ("Fact", "Theory", "Test", "TestCase", "TestMethod", "DataTestMethod", "TestCaseSource")
+TEST_ATTRIBUTES = ("Fact", "Theory", "Test", "TestCase", "TestCaseSource", "TestMethod", "DataTestMethod")
 IGNORING = ("Ignore", "Explicit")
 TRAITS = ("folder", "namespace", "kind", "sealed", "static", "accessibility", "base")
 
@@ -104,7 +104,7 @@ def traits(types: DataFrame) -> DataFrame:
 
 
 def inferred_conventions(facts: dict, options: dict) -> DataFrame:
-    """Changed types that differ from what types with their name's ending do."""
+    """Changed types that differ from what types of their project with their name's ending do."""
     governed = [s for s, _ in pairs(options.get("model_conventions"), "=")] or items(options.get("model_suffix"))
     ignore = pairs(options.get("convention_ignore")) + [(s, "folder") for s in governed]
     changed = facts["changed"].select(F.upper("path").alias("key")).distinct()
@@ -113,7 +113,7 @@ def inferred_conventions(facts: dict, options: dict) -> DataFrame:
     entity = ["project", "path", "name", "arity", "start_line"]
     found = conventions.modal_convention(
         types, entity, ["wide", "narrow"], TRAITS, bounded_int(options, "convention_min_support", 5, 2),
-        bounded_int(options, "convention_min_ratio", 90, 51, 100), ignore, judged, conventions.telling_trait,
+        bounded_int(options, "convention_min_ratio", 90, 51, 100), ignore, judged, conventions.telling_trait, ["project"],
     )
     args = {c: F.col(c) for c in ("trait", "actual", "expected", "matching", "total")}
     return report(found, "ARCH024", F.col("name"), F.col("path"), F.col("start_line"), F.col("project"), suffix=F.col("group"), **args)

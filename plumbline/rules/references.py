@@ -12,12 +12,12 @@ from ..sources.config import items, pairs
 
 
 def module_barrier(facts: dict, options: dict) -> DataFrame | None:
-    """One row per file, line and target."""
+    """One row per use."""
     rules = pairs(options.get("module_reference_barrier"), ">", ";,")
     if not rules:
         return None
     exempt = items(options.get("module_reference_barrier_exceptions"))
-    rows = facts["reference"].select("project", "path", "line", "to_symbol", "to_assembly").distinct()
+    rows = facts["reference"].select("project", "path", "line", "to_symbol", "to_assembly")
     found = barrier(rows, "project", "to_assembly", rules, "path", exempt)
     return report(found, "ARCH012", F.col("to_symbol"), F.col("path"), F.col("line"), F.col("project"), rule=F.col("rule"))
 

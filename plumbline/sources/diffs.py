@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIFF_LINE = "sha string, subject string, ago int, path string, run int, new_line int, sign string, text string"
+DIFF_LINE = "sha string, subject string, ago int, path string, run int, new_line int, sign string, text string, seq int"
 
 
 def numstat(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -40,34 +41,41 @@ def removed_table(lines: DataFrame, line: str = "value") -> DataFrame:
 def diff_lines(texts: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """A row per added or removed line of every patch text, in ``DIFF_LINE``'s columns after ``source``.
 
-    ``run`` numbers stretches of neighbouring lines of one sign in one hunk; ``new_line`` is the line on the new side.
-    Commits are announced by ``commit <sha> <subject>`` lines, newest first, and count ``ago`` from 1.
+    ``run`` numbers stretches of neighbouring lines of one sign in one hunk, ``seq`` the rows of a text; ``new_line`` is the line
+    on the new side.  Commits are announced by ``commit <sha> <subject>`` lines or by records of the log (a record separator,
+    the hash, a unit separator, the subject), newest first, and count ``ago`` from 1.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(s, *r) for s, t in zip(pdf[source], pdf[text]) for r in _tagged(t or "")]
-            yield pd.DataFrame(rows, columns=[source, *[f.split()[0] for f in DIFF_LINE.split(", ")]])
+            for s, t in zip(pdf[source], pdf[text]):
+                rows = [(s, *r, i) for i, r in enumerate(_tagged(t or ""))]
+                yield pd.DataFrame(rows, columns=[source, *[f.split()[0] for f in DIFF_LINE.split(", ")]])
 
     kind = texts.schema[source].dataType.simpleString()
     return texts.select(source, text).mapInPandas(parse, f"{source} {kind}, {DIFF_LINE}")
 
 
+_NEW_START = re.compile(r"@@[^+]*\+(\d+)")
+
+
 def _tagged(patch: str) -> Iterator[tuple]:
     sha = subject = path = None
     ago = run = new = 0
     before = ""
     for line in patch.split("\n"):
         line = line.removesuffix("\r")
-        if line.startswith("commit "):
-            _, sha, *rest = line.split(" ", 2)
-            sha, subject, ago, path, before = sha[:7], (rest or [""])[0], ago + 1, None, ""
-        elif line.startswith(("+++", "---")):
-            if line.startswith("+++"):
-                path = line[4:].strip().removeprefix("b/")
-            before = ""
+        if line.startswith(("commit ", "\x1e")):
+            sha, _, subject = line[1:].partition("\x1f") if line[0] == "\x1e" else line[7:].partition(" ")
+            sha, ago, path, before = sha[:7], ago + 1, None, ""
+        elif line.startswith("+++ "):
+            target = line[4:].strip()
+            path, before = None if target == "/dev/null" else target.removeprefix("b/"), ""
         elif line.startswith("@@"):
-            new, before = int(line.split("+", 1)[1].split(" ")[0].split(",")[0]) if "+" in line else 0, ""
+            start = _NEW_START.match(line)
+            new, before = int(start.group(1)) if start else 0, ""
+        elif line.startswith(("---", "diff ", "index ", "\\")):
+            before = ""  # neither side has such a line
         elif line[:1] in ("+", "-"):
             run += line[0] != before
             before = line[0]
@@ -75,3 +83,43 @@ def _tagged(patch: str) -> Iterator[tuple]:
             new += line[0] == "+"
         else:
             new, before = new + 1, ""
+
+
+def _runs(lines: DataFrame, sign: str, keys: list[str], source: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "new_line", "text")))
+    runs = lines.filter(F.col("sign") == sign).groupBy(source, *keys, "run").agg(ordered.alias("r"))
+    return runs.select(*keys, F.col("r")[0]["new_line"].cast("int").alias("first_line"), F.col("r.text").alias("lines"))
+
+
+def removed_runs(lines: DataFrame, source: str = "source", newest: int | None = None) -> DataFrame:
+    """sha, subject, ago, lines per run of removed lines of ``diff_lines``, of the ``newest`` commits if that is given."""
+    kept = lines if newest is None else lines.filter(F.col("ago") <= newest)
+    return _runs(kept.filter("sha <> ''"), "-", ["sha", "subject", "ago"], source).drop("first_line")
+
+
+def added_runs(lines: DataFrame, source: str = "source") -> DataFrame:
+    """path, first_line, lines per run of added lines of ``diff_lines``; lines of no file are left out."""
+    return _runs(lines.filter("path IS NOT NULL"), "+", ["path"], source)
+
+
+def whole_files(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """The same for files that version control doesn't know: all their lines are added."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\r?\n", -1)
+    return files.select(F.col(path).alias("path"), F.lit(1).alias("first_line"), lines.alias("lines"))
+
+
+def line_counts(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """path and lines of files (an end of line at the end begins no further one); an absent file (null text) has none."""
+    ends = F.regexp_count(text, F.lit("\n")) + F.when(F.endswith(text, F.lit("\n")) | (F.col(text) == ""), 0).otherwise(1)
+    return files.select(F.col(path).alias("path"), F.coalesce(ends, F.lit(0)).cast("long").alias("lines"))
+
+
+def added_counts(tracked: DataFrame, untracked: DataFrame) -> DataFrame:
+    """path, added: of ``numstat`` rows and of untracked files (path, text), whose lines are all added."""
+    return tracked.select("path", "added").unionByName(line_counts(untracked).select("path", F.col("lines").alias("added")))
+
+
+def in_project(rows: DataFrame, members: DataFrame, path: str = "path") -> DataFrame:
+    """``rows`` of files that a project lists (members: project, path), with ``project``; whatever the case of paths."""
+    of = members.select("project", F.upper("path").alias("_key")).distinct()
+    return rows.withColumn("_key", F.upper(path)).join(of, "_key").drop("_key")

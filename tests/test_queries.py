@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from plumbline.plans import queries  # noqa: F401
+from plumbline.plans import queries, rule_queries  # noqa: F401
 from plumbline.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"

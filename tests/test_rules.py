@@ -215,3 +215,20 @@ def test_history(spark):
     df = spark.createDataFrame(rows, "ts string, prompt string, paths array<string>, production int, tests int").withColumn("ts", F.to_timestamp("ts"))
     full = df.withColumns({"budget": F.lit(20), "usage": F.lit(5), "over": F.lit(False)})
     assert [r.line for r in size.history(full).orderBy("ts").collect()] == ["2024-01-01T00:00:00Z,p,1,1,0,20,5,false", '2024-01-01T00:02:00Z,"q,r",1,1,0,20,5,false']
+
+
+def test_conventions_stay_in_their_project_and_generated_files_out(types, spark):
+    a = [{"project": "A", "name": f"{n}Provider", "path": f"Providers/{n}Provider.cs"} for n in ("Aa", "Bb", "Cc", "Dd", "Ee")]
+    b = [{"project": "B", "name": "XxProvider", "path": "Services/XxProvider.cs"}, {"project": "B", "name": "YyProvider", "path": "Other/YyProvider.cs"}]
+    changed = spark.createDataFrame([("Services/XxProvider.cs",), ("Services/ZzProvider.cs",)], "path string")
+    own = {"project": "A", "name": "ZzProvider", "path": "Services/ZzProvider.cs"}
+    opts = {"convention_min_support": "3", "convention_min_ratio": "75"}
+    facts = {"type_decl": types(*a, *b, own), "changed": changed}
+    assert ids(facts, opts, "ARCH024") == [("ARCH024", "ZzProvider")]
+    made = spark.createDataFrame([("A", "Services/ZzProvider.cs", True)], "project string, path string, is_generated boolean")
+    assert ids(facts | {"source_file": made}, opts, "ARCH024") == []
+
+
+def test_every_use_of_a_module_is_reported(spark):
+    refs = spark.createDataFrame([("My.Portal", "P.cs", 3, "Order", "My.Domain")] * 2, "project string, path string, line int, to_symbol string, to_assembly string")
+    assert len(ids({"reference": refs}, {"module_reference_barrier": "Portal>Domain"}, "ARCH012")) == 2

@@ -1,3 +1,4 @@
+from plumbline import rules
 from plumbline.sources import config, diffs
 
 
@@ -37,3 +38,21 @@ def test_option_parsers():
     assert config.pairs("A>B; C > D;;x") == [("A", "B"), ("C", "D")]
     assert config.assignments("P=a,b;Q=") == [("P", ["a", "b"])]
     assert config.current_prompt("", "env") == "" and config.current_prompt(None, " env ") == "env"
+
+
+def test_runs_and_files_that_are_not_tracked(spark):
+    log = "commit abcdef123 Drop it\n--- a/C.cs\n+++ b/C.cs\n@@ -1,4 +1 @@\n-var a = 1;\n-var b = 2;\n-return a;\n\x1efff000999\x1folder\n@@ -1 +1 @@\n-x();"
+    text = spark.createDataFrame([("s", log)], "source string, text string")
+    removed = diffs.removed_runs(diffs.diff_lines(text))
+    assert sorted((r.sha, r.subject, r.ago, r.lines) for r in removed.collect()) == [("abcdef1", "Drop it", 1, ["var a = 1;", "var b = 2;", "return a;"]), ("fff0009", "older", 2, ["x();"])]
+    assert diffs.removed_runs(diffs.diff_lines(text), newest=1).count() == 1
+    patch = spark.createDataFrame([("s", "+++ b/D.cs\n@@ -9 +9,3 @@\n+var a = 1;\n+var  b = 2;\n+return a;\n+++ /dev/null\n@@ -1 +0,0 @@\n-gone")], "source string, text string")
+    files = spark.createDataFrame([("E.cs", "one\nvar a = 1;\nvar b = 2;\nreturn a;\n"), ("F.cs", None), ("G.cs", "")], "path string, text string")
+    added = diffs.added_runs(diffs.diff_lines(patch)).unionByName(diffs.whole_files(files))
+    found = rules.run({"removed_text": removed, "added_text": added}, {}, ["ARCH027"]).collect()
+    assert sorted((r.path, r.line, r.args["sha"]) for r in found) == [("D.cs", 9, "abcdef1"), ("E.cs", 2, "abcdef1")]
+    tracked = diffs.numstat(spark.createDataFrame([("3\t1\tA.cs",), ("-\t-\tb.png",)], "value string"))
+    counts = diffs.added_counts(tracked, files)
+    assert sorted(map(tuple, counts.collect())) == [("A.cs", 3), ("E.cs", 4), ("F.cs", 0), ("G.cs", 0)]
+    mine = diffs.in_project(counts, spark.createDataFrame([("P", "a.CS"), ("P", "a.cs"), ("Q", "x.cs")], "project string, path string"))
+    assert [(r.path, r.project) for r in mine.collect()] == [("A.cs", "P")]
