@@ -50,7 +50,7 @@ BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 BATCH_REPEATS = 4
 COMMON_LEAST, COMMON_MOST = 48, 1 << 20
 #: Classes of shingles that are counted for every set, and bits of the bitmap of documents whose texts are wanted.
-COUNTS, WANTED_BITS = 64, 1 << 26
+COUNTS, WANTED_BITS = 128, 1 << 26
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -254,7 +254,7 @@ def _profiles(docs: DataFrame, salt: int) -> DataFrame:
                         "n": [len(s) for s in sets],
                         "cid": np.array([_class_number(s, salt) for s in sets], dtype=np.int64),
                         "check": np.array([int(np.bitwise_xor.reduce(mixed(s * U(3)))) if len(s) else 0 for s in sets], dtype=U).astype(np.int64),
-                        "counts": [np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes() for s in sets],
+                        "counts": [np.minimum(np.bincount((s % U(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes() for s in sets],
                         "times": 0,
                     }
                 )
@@ -289,18 +289,19 @@ def _signature_rows(docs: DataFrame, common: np.ndarray, salt: int) -> DataFrame
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
-    """cid and text, once each, of the sets in ``wanted`` (cid, key: of one document that has it)."""
+    """cid and text, once each, of the sets in ``wanted`` (key of one document that has it), and perhaps of a few others."""
     marked = with_membership(docs, F.col("key"), bitmap_of(wanted, F.col("key"), WANTED_BITS), WANTED_BITS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = Powers()
+        powers, seen = Powers(), set()
         for pdf in batches:
             for part in slices(pdf):
-                cids = [_class_number(s, salt) for s in shingle_sets(list(part["text"]), powers)]
-                yield pd.DataFrame({"cid": np.array(cids, dtype=np.int64), "text": part["text"].to_numpy()})
+                cids = np.array([_class_number(s, salt) for s in shingle_sets(list(part["text"]), powers)], dtype=np.int64)
+                new = [c not in seen and not seen.add(c) for c in cids.tolist()]
+                yield pd.DataFrame({"cid": cids[new], "text": part["text"].to_numpy()[new]})
 
-    found = marked.filter("_maybe").select("text").mapInPandas(run, "cid long, text string")
-    return found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("text").alias("text"))
+    # Sorted out by cid, so that joins by it need no further shuffle; a few more sets than wanted may be among them.
+    return marked.filter("_maybe").select("text").mapInPandas(run, "cid long, text string").groupBy("cid").agg(F.first("text").alias("text"))
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -324,7 +325,7 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
     """The pairs (a, b) that are similar, verified on the whole sets."""
     close = cut(_close(pairs, classes, percent))
     ends = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    texts = cut(_texts(docs, ends.join(classes, "cid").select("cid", "key"), salt))
+    texts = _texts(docs, ends.join(classes, "cid").select("key"), salt)
     left = skewed_join(close, texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a", F.col("b"))
     both = left.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
 
