@@ -20,9 +20,11 @@ def change_log(stream: DataFrame, part: str, order: str, key: str) -> DataFrame:
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(order)
         last = state.get[0] if state.exists else None
-        changed = rows[key].ne(rows[key].shift(1))
-        changed.iloc[0] = not state.exists or rows[key].iloc[0] != last
-        state.update((rows[key].iloc[-1],))
+        before = rows[key].shift(1)
+        changed = rows[key].ne(before) & ~(rows[key].isna() & before.isna())
+        first = rows[key].iloc[0]
+        changed.iloc[0] = not state.exists or not (first == last or (pd.isna(first) and pd.isna(last)))
+        state.update((None if pd.isna(rows[key].iloc[-1]) else rows[key].iloc[-1],))
         yield rows.loc[changed, columns]
 
     kind = stream.schema[key].dataType.simpleString()
