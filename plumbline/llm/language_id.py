@@ -1,14 +1,16 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a segment (a word with the space after it) in both directions and gives every
-position a distribution over the languages; a document's probabilities are the mean over all its positions.  It is
-trained here, in numpy, by backpropagation through time on a bounded sample of labelled rows (``TRAIN_DOCS`` documents
-of each language, those with the smallest hash of doc_id); the weights (tens of KB) go to the tasks, where each batch
-runs its distinct segments through the network once, a long one in parts of ``SEGMENT`` bytes.
+The network reads the lower-cased UTF-8 bytes of a text in both directions, across words, and gives every position a
+distribution over the languages; a document's probabilities are the mean over all its positions.  Texts are read in windows
+of ``WINDOW`` bytes, each with up to ``CONTEXT`` bytes of what precedes and follows it, so that every position sees at least
+so far (or to the end of the text) both ways; windows of many texts are read side by side, and a long text isn't one long
+chain.  The network is trained here, in numpy, by backpropagation through time on a bounded sample of labelled rows: of
+each language ``TRAIN_DOCS`` documents, those with the smallest hash of doc_id, and of each of these ``TRAIN_PIECES`` pieces
+of ``PIECE`` characters spread over the text.  The weights (tens of KB) go to the tasks.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled row every text is
-``und``; equal texts give equal predictions, ties go to the smaller language; an empty table gives an empty result;
-other columns are not looked at.
+``und``; equal texts give equal predictions (probabilities are rounded to six digits), ties go to the smaller language; a
+very long text is read in slices of bounded size; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,24 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 150
-SEGMENT = 40
+from .common import slices
+
+TRAIN_DOCS, TRAIN_PIECES, PIECE = 150, 12, 96
+WINDOW, CONTEXT = 256, 32
 HIDDEN = 8
-STEPS = 240
-BATCH = 384
+STEPS, BATCH, SPAN = 260, 192, 48
 UNKNOWN = "und"
-
-
-def segments(text: str) -> list[bytes]:
-    """All bytes of ``text`` in words, each with a space after it; longer ones in parts of SEGMENT bytes."""
-    words = [w + b" " for w in text.lower().encode("utf-8").split()]
-    if all(len(w) <= SEGMENT for w in words):
-        return words
-    return [w[i : i + SEGMENT] for w in words for i in range(0, len(w), SEGMENT)]
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+#: Windows that are read side by side.
+ABREAST = 1024
 
 
 class BiGRU:
@@ -55,71 +48,95 @@ class BiGRU:
         self.w["V"] = rng.normal(0, 0.3, (2 * h, len(labels))).astype(np.float32)
         self.w["c"] = np.zeros(len(labels), np.float32)
 
-    def _pass(self, x: np.ndarray, d: int, keep: list | None = None) -> np.ndarray:
-        """Hidden states (T, B, H) of byte columns x (T, B)."""
-        h, k = np.zeros((x.shape[1], HIDDEN), np.float32), HIDDEN
-        out = np.empty((*x.shape, HIDDEN), np.float32)
+    def _pass(self, x: np.ndarray, d: int, active: list[int] | None = None, keep: list | None = None) -> np.ndarray:
+        """Hidden states (T, H, B) of byte columns x (T, B); at step t only the first ``active[t]`` columns are read."""
+        k = HIDDEN
+        table, u_t = np.ascontiguousarray(self.w[f"E{d}"].T), np.ascontiguousarray(self.w[f"U{d}"].T)
+        out, h = np.zeros((len(x), k, x.shape[1]), table.dtype), np.zeros((k, x.shape[1]), table.dtype)
         for t in range(len(x)):
-            e, u = self.w[f"E{d}"][x[t]], h @ self.w[f"U{d}"]
-            zr = _sigmoid(e[:, : 2 * k] + u[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            n = np.tanh(e[:, 2 * k :] + r * u[:, 2 * k :])
+            b = x.shape[1] if active is None else active[t]
+            old = h[:, :b]
+            e, u = np.take(table, x[t, :b], axis=1), u_t @ old
+            zr = e[: 2 * k]
+            zr += u[: 2 * k]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            z, r, un = zr[:k], zr[k:], u[2 * k :]
+            n = r * un
+            n += e[2 * k :]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, u[:, 2 * k :]))
-            h = n + z * (h - n)
-            out[t] = h
+                keep.append((old.copy(), z, r, n, un))
+            new = old - n
+            new *= z
+            new += n
+            h[:, :b] = out[t, :, :b] = new
         return out
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(T, B, labels): the distribution at every position of segments of one length."""
-        both = np.concatenate([self._pass(x, 0), self._pass(x[::-1], 1)[::-1]], axis=2)
-        s = both @ self.w["V"] + self.w["c"]
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        return s / s.sum(axis=2, keepdims=True)
+    def _softmax(self, both: np.ndarray) -> np.ndarray:
+        s = self.w["V"].T @ both
+        s += self.w["c"][:, None]
+        s -= s.max(axis=1, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=1, keepdims=True)
+        return s
+
+    def probabilities(self, x: np.ndarray, sizes: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """(t, labels, B) for runs of positions in turn: the distribution at every position of byte columns x (T, B).
+
+        ``sizes`` (B) are the columns' lengths, in falling order; what is given beyond them means nothing.
+        """
+        active = None if sizes is None else [int(np.searchsorted(-sizes, -t)) for t in range(len(x))]
+        ahead, back = self._pass(x, 0, active), self._pass(x[::-1], 1, active and active[::-1])[::-1]
+        for t in range(0, len(x), 32):
+            yield self._softmax(np.concatenate([ahead[t : t + 32], back[t : t + 32]], axis=1))
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients, by backpropagation through time, of byte columns x (T, B) with labels y (B)."""
         k, keep = HIDDEN, ([], [])
         xs = (x, x[::-1])
-        states = [self._pass(xs[d], d, keep[d]) for d in (0, 1)]
-        both = np.concatenate([states[0], states[1][::-1]], axis=2)
-        s = both @ self.w["V"] + self.w["c"]
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        p = s / s.sum(axis=2, keepdims=True)
-        at = np.arange(len(y))
-        loss = -np.log(p[:, at, y] + 1e-9).mean()
-        p[:, at, y] -= 1
+        states = [self._pass(xs[d], d, None, keep[d]) for d in (0, 1)]
+        both = np.concatenate([states[0], states[1][::-1]], axis=1)
+        p, at = self._softmax(both), np.arange(len(y))
+        loss = -np.log(p[:, y, at] + 1e-9).mean()
+        p[:, y, at] -= 1
         p /= x.size
         g = {n: np.zeros_like(w) for n, w in self.w.items()}
-        g["V"] = np.tensordot(both, p, ([0, 1], [0, 1]))
-        g["c"] = p.sum((0, 1))
-        back = p @ self.w["V"].T
-        for d, dh_out in enumerate((back[:, :, :k], back[::-1, :, k:])):
-            dh = np.zeros((x.shape[1], k), np.float32)
+        g["V"] = np.tensordot(both, p, ([0, 2], [0, 2]))
+        g["c"] = p.sum((0, 2))
+        back = self.w["V"] @ p
+        for d, dh_out in enumerate((back[:, :k], back[::-1, k:])):
+            dh, steps = np.zeros((k, x.shape[1]), back.dtype), []
             for t in reversed(range(len(x))):
                 h, z, r, n, un = keep[d][t]
                 dh = dh + dh_out[t]
                 dn = dh * (1 - z) * (1 - n * n)
                 dz = dh * (h - n) * z * (1 - z)
                 dr = dn * un * r * (1 - r)
-                de = np.concatenate([dz, dr, dn], axis=1)
-                du = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(g[f"E{d}"], xs[d][t], de)
-                g[f"U{d}"] += h.T @ du
-                dh = dh * z + du @ self.w[f"U{d}"].T
+                steps.append(np.concatenate([dz, dr, dn]))
+                du = np.concatenate([dz, dr, dn * r])
+                g[f"U{d}"] += h @ du.T
+                dh = dh * z + self.w[f"U{d}"] @ du
+            np.add.at(g[f"E{d}"], xs[d][::-1].ravel(), np.stack(steps).transpose(0, 2, 1).reshape(-1, 3 * k))
         return float(loss), g
 
 
+def bytes_of(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
+
+
 def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -> BiGRU:
-    """A network for the languages in ``langs``, by Adam on batches of segments of one length, languages balanced."""
+    """A network for the languages in ``langs``, by Adam on batches of spans of one length, languages balanced."""
     labels, rng = sorted(set(langs)), np.random.default_rng(seed)
     net = BiGRU(labels, seed)
-    pools: dict[int, list[list[bytes]]] = {}
+    pools: dict[int, list[list[bytes]]] = {}  # by length of span: whole texts that are shorter, longer ones for a random part
     for text, lang in zip(texts, langs):
-        for s in segments(text):
-            pools.setdefault(len(s), [[] for _ in labels])[labels.index(lang)].append(s)
+        if data := bytes_of(text):
+            pools.setdefault(min(len(data), SPAN), [[] for _ in labels])[labels.index(lang)].append(data)
     lengths = sorted(pools)
-    mass = np.array([n * sum(map(len, pools[n])) for n in lengths], dtype=float)
+    mass = np.array([sum(len(data) for pool in pools[n] for data in pool) for n in lengths], dtype=float)
     if not lengths:
         return net
     m = {n: np.zeros_like(w) for n, w in net.w.items()}
@@ -128,7 +145,9 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7)
         n = int(rng.choice(lengths, p=mass / mass.sum()))
         full = [i for i, pool in enumerate(pools[n]) if pool]
         y = rng.choice(full, BATCH)
-        x = np.array([list(pools[n][i][rng.integers(len(pools[n][i]))]) for i in y], dtype=np.int64).T
+        read = [pools[n][i][rng.integers(len(pools[n][i]))] for i in y]
+        begin = [rng.integers(len(data) - n + 1) for data in read]
+        x = np.array([list(data[a : a + n]) for data, a in zip(read, begin)], dtype=np.int64).T
         _, g = net.gradients(x, y)
         rate = 0.02 * (1 - step / (steps + 1))
         for name, w in net.w.items():
@@ -138,65 +157,52 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7)
     return net
 
 
-def _parts(texts: list[str], size: int = 1 << 21) -> Iterator[list[str]]:
-    """``texts`` in runs of about ``size`` characters, so that few segments are held at once."""
-    part, held = [], 0
-    for t in texts:
-        part.append(t)
-        held += len(t)
-        if held >= size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
-class Pooled:
-    """Sums of a network's position probabilities over a segment, each distinct segment computed once."""
-
-    LIMIT = 400_000
-
-    def __init__(self, net: BiGRU):
-        self.net = net
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.sums = np.zeros((1024, len(self.net.labels)), np.float32)
-
-    def batch(self, docs: list[list[bytes]]) -> np.ndarray:
-        """(documents, labels): the mean probabilities of each document's positions."""
-        if len(self.ids) > self.LIMIT:
-            self.clear()
-        ids, known = self.ids, len(self.ids)
-        flat = np.array([ids.setdefault(s, len(ids)) for d in docs for s in d], dtype=np.int64)
-        self._compute(list(ids)[known:], known)
-        sizes = np.array([len(d) for d in docs])
-        total = np.zeros((len(docs), len(self.net.labels)), np.float64)
-        np.add.at(total, np.repeat(np.arange(len(docs)), sizes), self.sums[flat].astype(np.float64))
-        return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-9)
-
-    def _compute(self, new: list[bytes], at: int) -> None:
-        while at + len(new) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        lengths = np.array([len(s) for s in new], dtype=np.int64)
-        for n in np.unique(lengths):
-            where = np.flatnonzero(lengths == n)
-            for i in range(0, len(where), 2048):
-                part = where[i : i + 2048]
-                x = np.frombuffer(b"".join(new[j] for j in part), np.uint8).reshape(len(part), n).T
-                self.sums[at + part] = self.net.probabilities(x).sum(axis=0)
+def pooled(net: BiGRU, texts: list[str]) -> np.ndarray:
+    """(texts, labels): the mean probabilities of each text's positions."""
+    total = np.zeros((len(texts), len(net.labels)))
+    windows = []  # of text, its bytes, first position, end of the window, and of what is read around it
+    for i, text in enumerate(texts):
+        data = bytes_of(text)
+        for a in range(0, len(data), WINDOW):
+            b = min(a + WINDOW, len(data))
+            windows.append((i, data, a, b, max(0, a - CONTEXT), min(len(data), b + CONTEXT)))
+            if len(windows) == ABREAST:
+                _read(net, windows, total)
+                windows = []
+    if windows:
+        _read(net, windows, total)
+    return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-9)
+
+
+def _read(net: BiGRU, windows: list[tuple], total: np.ndarray) -> None:
+    """Adds the probabilities at the windows' positions to their texts' rows of ``total``."""
+    windows = sorted(windows, key=lambda w: w[4] - w[5])
+    sizes = np.array([hi - lo for *_, lo, hi in windows])
+    x = np.zeros((len(windows), sizes[0]), np.uint8)
+    for row, (_, data, _, _, lo, hi) in zip(x, windows):
+        row[: hi - lo] = np.frombuffer(data, np.uint8, hi - lo, lo)
+    begin, end = (np.array([w[k] - w[4] for w in windows]) for k in (2, 3))
+    sums, t = np.zeros((len(windows), len(net.labels))), 0
+    for p in net.probabilities(np.ascontiguousarray(x.T), sizes):
+        at = np.arange(t, t + len(p))[:, None]
+        sums += np.einsum("tlb,tb->bl", p, ((at >= begin) & (at < end)).astype(np.float32))
+        t += len(p)
+    np.add.at(total, np.array([w[0] for w in windows]), sums)
 
 
 def training_rows(df: DataFrame, per_language: int) -> DataFrame:
-    """text and lang of ``per_language`` rows of each language of ``df`` (doc_id, text, lang), by smallest hash.
+    """lang, doc_id and pieces of ``per_language`` rows of each language of ``df`` (doc_id, text, lang), by smallest hash.
 
-    The ids are chosen on doc_id and lang alone, with a group limit on the map side; only then are their texts read.
+    The ids are chosen on doc_id and lang alone, with a group limit on the map side; only then are their texts read, and
+    ``TRAIN_PIECES`` pieces of ``PIECE`` characters taken at even distances.
     """
     known = df.filter("lang IS NOT NULL AND text IS NOT NULL")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
-    return known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    rows = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    step = F.greatest(F.length("text") - PIECE, F.lit(0)) / (TRAIN_PIECES - 1)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PIECES - 1)), lambda i: F.substring("text", (i * step).cast("int") + 1, F.lit(PIECE)))
+    return rows.select("lang", "doc_id", F.array_distinct(pieces).alias("pieces"))
 
 
 def identify(df: DataFrame, net: BiGRU, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,17 +210,16 @@ def identify(df: DataFrame, net: BiGRU, doc_id: str = "doc_id", text: str = "tex
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pooled = Pooled(net)
         for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            lettered = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool) & bool(net.labels)
-            lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
-            if lettered.any():
-                read = [t for t, ok in zip(texts, lettered) if ok]
-                p = np.concatenate([pooled.batch([segments(t) for t in part]) for part in _parts(read)])
-                lang[lettered] = np.array(net.labels, dtype=object)[p.argmax(axis=1)]
-                score[lettered] = p.max(axis=1)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score})
+            for part in slices(pdf):
+                texts = [t or "" for t in part["text"]]
+                lettered = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool) & bool(net.labels)
+                lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+                if lettered.any():
+                    p = pooled(net, [t for t, ok in zip(texts, lettered) if ok]).round(6)
+                    lang[lettered] = np.array(net.labels, dtype=object)[p.argmax(axis=1)]
+                    score[lettered] = p.max(axis=1)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": lang, "score": score})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
@@ -222,5 +227,6 @@ def identify(df: DataFrame, net: BiGRU, doc_id: str = "doc_id", text: str = "tex
 
 def fit(df: DataFrame, per_language: int = TRAIN_DOCS) -> BiGRU:
     """A network trained on a bounded sample of the labelled rows of ``df`` (doc_id, text, lang)."""
-    sample = sorted((r.lang, r.doc_id if r.doc_id is not None else -1, r.text) for r in training_rows(df, per_language).collect())
-    return train([r[2] for r in sample], [r[0] for r in sample])
+    sample = sorted((r.lang, r.doc_id if r.doc_id is not None else -1, r.pieces) for r in training_rows(df, per_language).collect())
+    pieces = [(p, lang) for lang, _, some in sample for p in some]
+    return train([p for p, _ in pieces], [lang for _, lang in pieces])

@@ -42,17 +42,40 @@ def test_held_out_accuracy_and_undefined_texts(docs, net):
     assert right >= 118 and all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in range(120, 124))
 
 
-def test_pooling_once_per_segment_equals_reading_the_text(net):
-    t = text("aa", 1) + " " + "z" * 150 + " " + text("cc", 2)
-    pooled = L.Pooled(net).batch([L.segments(t)])[0]
-    each = [net.probabilities(np.frombuffer(s, np.uint8).reshape(-1, 1))[:, 0].sum(axis=0) for s in L.segments(t)]
-    assert np.allclose(pooled, np.sum(each, axis=0) / sum(map(len, L.segments(t))), atol=1e-5)
-    assert b"".join(L.segments(t)) == (t + " ").encode()
+def test_windows_side_by_side_equal_each_text_alone(net):
+    def alone(t):
+        data = L.bytes_of(t)
+        total = np.zeros(3)
+        for a in range(0, len(data), L.WINDOW):
+            lo, b = max(0, a - L.CONTEXT), min(a + L.WINDOW, len(data))
+            part = np.frombuffer(data[lo : b + L.CONTEXT], np.uint8).reshape(-1, 1)
+            total += np.concatenate(list(net.probabilities(part)))[a - lo : b - lo, :, 0].sum(axis=0)
+        return total / len(data)
+
+    texts = [text("aa", 1) + " " + "z" * 700 + " " + text("cc", 2, 200), "k", "xur", "é" * 256, text("bb", 3, 60), *map(str, range(40))]
+    assert np.allclose(L.pooled(net, texts), [alone(t) for t in texts], atol=1e-5)
+
+
+def test_a_position_sees_beyond_its_word_both_ways(net):
+    def at(t, position):
+        return np.concatenate(list(net.probabilities(np.frombuffer(t.encode(), np.uint8).reshape(-1, 1))))[position, :, 0]
+
+    here = at("kalo xx kalo", 5)
+    assert not np.allclose(here, at("xurv xx kalo", 5), atol=1e-4) and not np.allclose(here, at("kalo xx xurv", 5), atol=1e-4)
+
+
+def test_repeated_and_very_long_texts(docs, net):
+    long = " ".join(text("bb", i, 400) for i in range(400))  # about a megabyte
+    got = {r.doc_id: r for r in L.identify(docs([long, text("aa", 1), text("aa", 1), text("cc", 1) * 3, long]), net).collect()}
+    assert [got[i].lang_pred for i in range(5)] == ["bb", "aa", "aa", "cc", "bb"]
+    assert got[0].score == got[4].score and got[1].score == got[2].score
 
 
 def test_training_rows_are_bounded_and_labelled(docs, spark):
     df = docs([text("aa", i) for i in range(30)], lang="aa").unionByName(docs([None, "x"], lang=None))
-    assert sorted(r.lang for r in L.training_rows(df, 5).collect()) == ["aa"] * 5
+    rows = L.training_rows(df, 5).collect()
+    assert [r.lang for r in rows] == ["aa"] * 5
+    assert all(len(r.pieces) <= L.TRAIN_PIECES and max(map(len, r.pieces)) <= L.PIECE for r in rows)
     empty = L.fit(df.filter("lang = 'none'"))
     assert {r.lang_pred for r in L.identify(df, empty).collect()} == {"und"}
     assert L.identify(df.limit(0), empty).collect() == []
