@@ -85,9 +85,9 @@ class Powers:
 def shingle_sets(texts: list[str], powers: Powers) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     out, at = [], 0
-    while at < len(texts):  # a few megabytes at a time, or one longer text
+    while at < len(texts):  # half a megabyte at a time, or one longer text
         part, size = [], 0
-        while at < len(texts) and (not part or size < 1 << 21):
+        while at < len(texts) and (not part or size < 1 << 19):
             part.append(texts[at].encode("utf-8").translate(_SEPARATORS))
             size += len(part[-1])
             at += 1
@@ -244,7 +244,7 @@ def _profiles(docs: DataFrame, salt: int) -> DataFrame:
         powers = Powers()
         for pdf in batches:
             repeated = [np.zeros(0, dtype=U)]
-            for part in slices(pdf, "text", 1 << 21):
+            for part in slices(pdf):
                 sets = shingle_sets(list(part["text"]), powers)
                 yield pd.DataFrame(
                     {
