@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Hashes of every ``k`` consecutive tokens, with repetitions."""
     n = F.size(tokens)
-    # Items one by one: inside a lambda, slice() would copy the whole array for every window.
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    # The only item of an array binds the hashes, so that they are made once. Items of a window are taken one by one: inside a
+    # lambda, slice() would copy the whole array for every window.
     windows = F.transform(
-        F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.concat_ws("\x01", *[F.get(tokens, i + j) for j in range(k)]))
+        F.array(hashes), lambda h: F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
     )
-    return F.when(n >= k, windows).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= k, windows[0]).otherwise(F.array().cast("array<bigint>"))
 
 
 def exact_duplicates(df: DataFrame, id_: str, content: Column) -> DataFrame:
@@ -46,9 +48,12 @@ def near_duplicate(
     # Sizes go their own way: beside an exploded array they would be computed anew for each of its rows.
     length = F.size("r.tokens")
     sizes = content.select("r.id", "w", length.alias("length"), (length - (k - 1)).alias("n"))
-    each = content.select(F.col("r.id").alias("id"), shingles(F.col("r.tokens"), k).alias("s")).select("id", F.explode("s").alias("shingle"))
+    # The plain explode would add a filter on the array's size, and with it the work of making the array a second time.
+    each = content.select(F.col("r.id").alias("id"), F.explode_outer(shingles(F.col("r.tokens"), k)).alias("shingle"))
+    each = each.filter("id IS NOT NULL AND shingle IS NOT NULL")
     counted = each.groupBy("id", "shingle").agg(F.count("*").alias("c"))
-    frequency = counted.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    # Summed, not counted: with the same columns (and filters, above), both uses of ``counted`` share one shuffle.
+    frequency = counted.groupBy("shingle").agg(F.sum(F.least("c", F.lit(1))).alias("df")).filter("df > 1")
     entry = F.struct("df", "shingle", "c")
     bags = counted.join(frequency, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("all")).join(sizes, "id")
     required = F.floor((F.col("n") * similarity + 99) / 100)
