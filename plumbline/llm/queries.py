@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, sharding, suffix_dedup, topk, toxicity
+from . import (
+    bpe, decontamination, exact_dedup, jaccard_join, language_id, license_scan, mixing, ranked_search, sharding, spelling, suffix_dedup, topk, toxicity,
+)
 from .common import documents
 
 SHARDS = 16
@@ -77,6 +79,22 @@ def op10_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.summary(decontamination.find_items(documents(spark, sf_dir), _benchmark(spark, sf_dir)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir), drop_one_in=199))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build(documents(spark, sf_dir)), _benchmark(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +108,9 @@ QUERIES = {
         op8_repeated_passages,
         op9_ngram_jaccard,
         op10_voronoi_top_k,
+        op11_decontaminate,
+        op12_spelling_variants,
+        op13_ranked_search,
     )
 }
 
@@ -151,4 +172,65 @@ ORACLES = {
                    FROM documents),
              g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY h)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM n JOIN g USING (h)""",
+    "op11_decontaminate": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             i AS (SELECT coalesce(item_id::VARCHAR, '') AS item,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             p AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[j:j + least(len(w), 10) - 1], ' ') AS s
+                   FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) g(j) WHERE len(w) > 0),
+             d AS (SELECT r, k, j, array_to_string(w[j:j + k - 1], ' ') AS s
+                   FROM t, (SELECT DISTINCT k FROM p), unnest(range(1, len(w) - k + 2)) g(j)),
+             h AS (SELECT r, j, k, item FROM d JOIN p USING (k, s)),
+             n AS (SELECT r, count(DISTINCT x) AS n_hit FROM h, unnest(range(j, j + k)) u(x) GROUP BY r),
+             m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM t LEFT JOIN n USING (r) LEFT JOIN m USING (r)""",
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE byte AS (SELECT i::BIGINT AS i FROM range(256) t(i)),
+             step AS (SELECT i, 0 AS n, i AS c FROM byte
+                      UNION ALL
+                      SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE n < 8),
+             crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE n = 8),
+             r AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id,
+                          unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+                   FROM documents),
+             o AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+             h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+                              list_transform(string_split(regexp_replace(hex(encode(id || run)), '(..)', '\1 ', 'g'), ' ')[:-2],
+                                             lambda b: ('0x' || b)::BIGINT)),
+                          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::BIGINT AS h FROM o, crc),
+             d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+                   FROM h),
+             w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+             x AS MATERIALIZED (SELECT DISTINCT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS gap FROM w, unnest(range(1, length(word) + 1)) g(i)),
+             e AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.i = b.i AND a.gap = b.gap AND a.word <> b.word
+                   UNION SELECT x.word, gap FROM x JOIN w ON gap = w.word
+                   UNION SELECT gap, x.word FROM x JOIN w ON gap = w.word),
+             b AS (SELECT e.word, count(*) AS n_near, (min({'k': -w.n, 'w': near})).w AS near, max(w.n) AS near_n FROM e JOIN w ON near = w.word GROUP BY 1),
+             f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+                                       CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM w LEFT JOIN b ON w.word = b.word),
+             c AS (SELECT word, word AS root FROM f WHERE form IS NULL
+                   UNION ALL SELECT f.word, c.root FROM c JOIN f ON f.form = c.word)
+        SELECT f.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f JOIN c ON f.word = c.word""",
+    "op13_ranked_search": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             i AS (SELECT row_number() OVER () AS q, item_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM t),
+             qt AS (SELECT q, term, count(*) AS repeats FROM (SELECT q, unnest(w) AS term FROM i) GROUP BY ALL),
+             tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+             wt AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS weight
+                    FROM tf, s GROUP BY term, n_docs),
+             m AS (SELECT r, doc_id, 25 + (75 * len(w)::BIGINT * n_docs) // n_terms AS m FROM t, s),
+             g AS (SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS gain FROM tf JOIN wt USING (term) JOIN m USING (r)),
+             z AS (SELECT q, r, sum(repeats * gain)::BIGINT AS score FROM qt JOIN g USING (term) GROUP BY ALL HAVING sum(repeats * gain) > 0),
+             k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM z JOIN m USING (r))
+        SELECT item_id, rank, doc_id, score FROM k JOIN i USING (q) WHERE rank <= 10""",
 }
