@@ -1,6 +1,6 @@
 """N-gram Jaccard join by pigeonhole over a partitioned universe.
 
-A document's set holds its distinct 5-word shingles (64-bit hashes).  Two sets with 100 |A & B| >= 80 |A | B| differ in
+A document's set holds its distinct 5-word shingles (64-bit hashes; links are confirmed on the words).  Two sets with 100 |A & B| >= 80 |A | B| differ in
 at most (|A| + |B|) / 9 shingles.  Sizes are cut into bands; for each band the universe of shingles is hashed into m
 segments, and each segment gets an allowance t of 0 or 1: at t = 0 it is indexed by the subset of the set that falls into
 it, at t = 1 also by that subset's one-deletion neighbourhood.  Sets that agree in no segment within its allowance
@@ -30,8 +30,11 @@ shingle in the tasks that read it; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -51,6 +54,8 @@ BATCH_REPEATS = 4
 COMMON_LEAST, COMMON_MOST = 48, 1 << 20
 #: Classes of shingles that are counted for every set, and bits of the bitmap of documents whose texts are wanted.
 COUNTS, WANTED_BITS = 128, 1 << 26
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 1024
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -82,48 +87,120 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def shingle_sets(texts: list[str], powers: Powers) -> list[np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of every word data[start:end], eight bytes at a time; ``data`` goes on for eight bytes after the last word.
+
+    Every step mixes all bits before the next bytes come in, so no pattern of bytes cancels out.
+    """
+    left = ends - starts
+    h = mixed(left.astype(U) ^ mixed(np.array([seed], dtype=U)))
+    blocks = np.ndarray((max(0, len(data) - 7),), dtype="<u8", buffer=data, strides=(1,))
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        word = data[starts[i] : ends[i]].tobytes()
+        h[i] ^= U(int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little"))
+    on = np.flatnonzero(left <= LONG_WORD)
+    at, left = starts[on], left[on]
+    while len(on):
+        block = blocks[at]
+        short = left < 8
+        block[short] &= (U(1) << (left[short] * 8).astype(U)) - U(1)
+        h[on] = mixed(h[on] ^ block)
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def shingle_sets(texts: list[str], salt: int = 0) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
-    out, at = [], 0
-    while at < len(texts):  # half a megabyte at a time, or one longer text
-        part, size = [], 0
-        while at < len(texts) and (not part or size < 1 << 19):
-            part.append(texts[at].encode("utf-8").translate(_SEPARATORS))
-            size += len(part[-1])
-            at += 1
-        out += _shingle_sets(part, powers)
-    return out
+    return [s for part in _runs(texts) for s, _ in _shingle_sets(part, salt, False)]
+
+
+def checked_sets(texts: list[str], salt: int = 0) -> list[tuple[np.ndarray, int]]:
+    """The same with a number of the set that is made of other hashes of its words."""
+    return [x for part in _runs(texts) for x in _shingle_sets(part, salt, True)]
 
 
-def _shingle_sets(part: list[bytes], powers: Powers) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join([b"", *part, b""]), dtype=np.uint8)
+def _runs(texts: list[str]) -> Iterator[list[bytes]]:
+    """Texts with spaces as separators, half a megabyte at a time, or one longer text."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t.encode("utf-8").translate(_SEPARATORS))
+        size += len(part[-1])
+        if size >= 1 << 19:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """The hash of the ``WORDS`` words from each one on."""
+    n = max(0, len(words) - WORDS + 1)
+    hashed = words[:n].copy()
+    for k in range(1, WORDS):
+        hashed = hashed * U(_BASE) + words[k : n + k]
+    return mixed(hashed)
+
+
+def _short_hash(words: np.ndarray) -> np.ndarray:
+    """The hash of a whole sequence of fewer words, told from shingles by their number."""
+    h = len(words)
+    for w in words.tolist():
+        h = (h * _BASE + w) & (2**64 - 1)
+    return mixed(np.array([h], dtype=U))
+
+
+def _shingle_sets(part: list[bytes], salt: int, check: bool) -> list[tuple[np.ndarray, int]]:
+    data = np.frombuffer(b" ".join([b"", *part, b" " * 8]), dtype=np.uint8)
     space = data == 32
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    up, down = powers.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    words = mixed((sums[ends] - sums[starts]) * down[starts])
     edges = np.cumsum([1] + [len(p) + 1 for p in part])
     first = np.searchsorted(starts, edges)
-    hashed = words.copy()
-    for k in range(1, WORDS):
-        hashed[: len(words) - k] = hashed[: len(words) - k] * U(_BASE) + words[k:]
-    hashed = mixed(hashed)
+    words = word_hashes(data, starts, ends, 2 * salt)
+    hashed = _shingle_hashes(words)
+    again = word_hashes(data, starts, ends, 2 * salt + 1) if check else words
+    other = _shingle_hashes(again) if check else hashed
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        number = 0
         if b - a >= WORDS:
-            out.append(np.unique(hashed[a : b - WORDS + 1]))
+            values = hashed[a : b - WORDS + 1]
+            if check:
+                values, at = np.unique(values, return_index=True)
+                number = int(np.bitwise_xor.reduce(other[a + at]))
+            else:
+                values = np.unique(values)
         elif b > a:
-            short = U(b - a)  # tells a short sequence from a shingle
-            for w in words[a:b]:
-                short = U((int(short) * _BASE + int(w)) & (2**64 - 1))
-            out.append(mixed(np.array([short], dtype=U)))
+            values = _short_hash(words[a:b])
+            number = int(_short_hash(again[a:b])[0])
         else:
-            out.append(np.zeros(0, dtype=U))
+            values = np.zeros(0, dtype=U)
+        out.append((values, number))
     return out
 
 
+def _numbered(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal pairs (x, y) of numbers."""
+    return np.unique(x * (int(y.max()) + 1) + y, return_inverse=True)[1]
+
+
+def texts_similar(x: str, y: str, percent: int) -> bool:
+    """Whether the shingle sets of two texts are similar, by the words themselves: equal numbers stand for equal shingles."""
+    words: dict[bytes, int] = defaultdict(count().__next__)
+    two = [[words[w] for w in t.encode("utf-8").translate(_SEPARATORS).split()] for t in (x, y)]
+    n, m = len(two[0]), len(two[1])
+    if min(n, m) < WORDS:
+        return two[0] == two[1] and n > 0
+    single = np.array(two[0] + two[1], dtype=np.int64)
+    pairs = _numbered(single[:-1], single[1:])
+    fours = _numbered(pairs[:-2], pairs[2:])
+    fives = _numbered(fours[:-1], single[4:])
+    a, b = np.unique(fives[: n - WORDS + 1]), np.unique(fives[n:])
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared > 0 and shared * 100 >= (len(a) + len(b) - shared) * percent
+
+
 class Band(NamedTuple):
     number: int
     low: int
@@ -220,12 +297,13 @@ def _signed(x: np.ndarray, rare: np.ndarray, band: Band) -> np.ndarray:
 
 
 def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, key (of the row's id and text) and text."""
-    return df.select(F.col(doc_id).cast("long").alias("doc"), _key(doc_id, text).alias("key"), text_or_empty(text).alias("text"))
+    """doc, key and tag (two hashes of the row's id and text) and text."""
+    return df.select(F.col(doc_id).cast("long").alias("doc"), *_keys(doc_id, text), text_or_empty(text).alias("text"))
 
 
-def _key(doc_id: str, text: str) -> Column:
-    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id).cast("long"), text_or_empty(text))
+def _keys(doc_id: str, text: str) -> list[Column]:
+    row = [F.col(doc_id).isNull(), F.col(doc_id).cast("long"), text_or_empty(text)]
+    return [F.xxhash64(*row).alias("key"), F.xxhash64(F.lit("tag"), *row).alias("tag")]
 
 
 def _class_number(s: np.ndarray, salt: int) -> int:
@@ -234,26 +312,27 @@ def _class_number(s: np.ndarray, salt: int) -> int:
 
 
 def _profiles(docs: DataFrame, salt: int) -> DataFrame:
-    """Two kinds of rows: of every document (doc, void, key, n, cid, check, counts), and of repeated shingles (cid, times).
+    """Two kinds of rows: of every document (doc, void, key, tag, n, cid, check, counts), and of repeated shingles (cid, times).
 
-    cid is the number of the document's set, check another hash of it, and counts how many of its shingles fall into each
+    cid is the number of the document's set, check one from other hashes of its words, and counts how many of its shingles fall into each
     of ``COUNTS`` classes: sets whose counts differ by more than similar sets may are not similar.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = Powers()
         for pdf in batches:
             repeated = [np.zeros(0, dtype=U)]
             for part in slices(pdf):
-                sets = shingle_sets(list(part["text"]), powers)
+                checked = checked_sets(list(part["text"]), salt)
+                sets = [s for s, _ in checked]
                 yield pd.DataFrame(
                     {
                         "doc": part["doc"].to_numpy(),
                         "void": part["void"].to_numpy(),
                         "key": part["key"].to_numpy(),
+                        "tag": part["tag"].to_numpy(),
                         "n": [len(s) for s in sets],
                         "cid": np.array([_class_number(s, salt) for s in sets], dtype=np.int64),
-                        "check": np.array([int(np.bitwise_xor.reduce(mixed(s * U(3)))) if len(s) else 0 for s in sets], dtype=U).astype(np.int64),
+                        "check": np.array([c for _, c in checked], dtype=U).astype(np.int64),
                         "counts": [np.minimum(np.bincount((s % U(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes() for s in sets],
                         "times": 0,
                     }
@@ -261,10 +340,10 @@ def _profiles(docs: DataFrame, salt: int) -> DataFrame:
                 repeated += sets
             seen, times = np.unique(np.concatenate(repeated), return_counts=True)
             seen, times = seen[times >= BATCH_REPEATS], times[times >= BATCH_REPEATS]
-            yield pd.DataFrame({"doc": 0, "void": True, "key": 0, "n": -1, "cid": seen.astype(np.int64), "check": 0, "counts": b"", "times": times})
+            yield pd.DataFrame({"doc": 0, "void": True, "key": 0, "tag": 0, "n": -1, "cid": seen.astype(np.int64), "check": 0, "counts": b"", "times": times})
 
-    rows = docs.select(F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("void"), "key", "text")
-    return rows.mapInPandas(run, "doc long, void boolean, key long, n long, cid long, check long, counts binary, times long")
+    rows = docs.select(F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("void"), "key", "tag", "text")
+    return rows.mapInPandas(run, "doc long, void boolean, key long, tag long, n long, cid long, check long, counts binary, times long")
 
 
 def _signature_rows(docs: DataFrame, common: np.ndarray, salt: int) -> DataFrame:
@@ -272,12 +351,12 @@ def _signature_rows(docs: DataFrame, common: np.ndarray, salt: int) -> DataFrame
     packed = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, bands, seen, known = Powers(), band_list(), set(), packed.value
+        bands, seen, known = band_list(), set(), packed.value
         lows = np.array([b.low for b in bands])
         for pdf in batches:
             for part in slices(pdf):
                 sigs, of = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)]
-                for s in shingle_sets(list(part["text"]), powers):
+                for s in shingle_sets(list(part["text"]), salt):
                     cid = _class_number(s, salt)
                     if cid not in seen:
                         seen.add(cid)
@@ -293,10 +372,10 @@ def _texts(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
     marked = with_membership(docs, F.col("key"), bitmap_of(wanted, F.col("key"), WANTED_BITS), WANTED_BITS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, seen = Powers(), set()
+        seen = set()
         for pdf in batches:
             for part in slices(pdf):
-                cids = np.array([_class_number(s, salt) for s in shingle_sets(list(part["text"]), powers)], dtype=np.int64)
+                cids = np.array([_class_number(s, salt) for s in shingle_sets(list(part["text"]), salt)], dtype=np.int64)
                 new = [c not in seen and not seen.add(c) for c in cids.tolist()]
                 yield pd.DataFrame({"cid": cids[new], "text": part["text"].to_numpy()[new]})
 
@@ -330,19 +409,19 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
     both = left.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = Powers()
         for pdf in batches:
             for part in slices(pdf, "x"):
-                x, y = (shingle_sets(list(part[c]), powers) for c in ("x", "y"))
+                x, y = (shingle_sets(list(part[c]), salt) for c in ("x", "y"))
                 shared = np.array([len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)], dtype=np.int64)
                 union = np.array([len(s) + len(t) for s, t in zip(x, y)], dtype=np.int64) - shared
-                yield part.loc[shared * 100 >= union * percent, ["a", "b"]]
+                passed = part[shared * 100 >= union * percent]
+                yield passed.loc[[texts_similar(s, t, percent) for s, t in zip(passed["x"], passed["y"])], ["a", "b"]]
 
     return both.mapInPandas(run, "a long, b long")
 
 
-def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the same documents as all links among ``sets`` do, one less than documents for each component."""
+def _forest(ids: np.ndarray, texts: list[str], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the same documents as all links among ``texts`` do, one less than documents for each component."""
     count = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     values, of = np.concatenate(sets), np.repeat(np.arange(count), sizes)
@@ -372,9 +451,9 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
             open_[root], queue = False, [root]
             while queue:
                 i = queue.pop()
-                new = np.flatnonzero(similar[i] & open_)
+                new = [j for j in np.flatnonzero(similar[i] & open_).tolist() if texts_similar(texts[i], texts[j], percent)]
                 open_[new] = False
-                queue += new.tolist()
+                queue += new
                 out += [(int(ids[i]), int(ids[j])) for j in new]
     return out
 
@@ -413,8 +492,8 @@ def _crowd_links(crowds: DataFrame, docs: DataFrame, classes: DataFrame, percent
 
     def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate([a["cid"].to_numpy(), b["d"].to_numpy()]).astype(np.int64)
-        sets = shingle_sets([*a["text"], *b["x"]], Powers())
-        return pd.DataFrame(_forest(ids, sets, percent), columns=["a", "b"])
+        texts = [*a["text"], *b["x"]]
+        return pd.DataFrame(_forest(ids, texts, shingle_sets(texts, salt), percent), columns=["a", "b"])
 
     pairs = left.select("left", "right", "cid", "text").groupBy("left", "right").cogroup(right.groupBy("l", "r"))
     return pairs.applyInPandas(compare, "a long, b long").distinct()
@@ -429,11 +508,11 @@ def _labelled(crowds: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, percent: int, salt: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc, key, n, cid) of all documents, and sets (cid, root) that have more than one row or a link."""
+    """Rows (doc, key, tag, n, cid) of all documents, and sets (cid, root) that have more than one row or a link."""
     if percent < 80:
         raise ValueError("the size bands hold for similarities of 80 percent and more")
     profiles = cut(_profiles(docs, salt))
-    rows = profiles.filter("n >= 0").select(F.when(~F.col("void"), F.col("doc")).alias("doc"), "key", "n", "cid")
+    rows = profiles.filter("n >= 0").select(F.when(~F.col("void"), F.col("doc")).alias("doc"), "key", "tag", "n", "cid")
     reported = profiles.filter("n < 0").groupBy("cid").agg(F.sum("times").alias("times"))
     shingles = rows.agg(F.sum("n")).first()[0] or 0
     least = max(COMMON_LEAST, shingles // COMMON_MOST)  # so there are no more than COMMON_MOST of them
@@ -492,13 +571,14 @@ def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     Only rows that a bitmap of the keys of such components marks are shuffled.
     """
     rows, several = _classes(_documents(df, doc_id, text), percent)
-    named = cut(skewed_join(rows, several, "cid", F.col("key")).select("doc", "key", "root"))
+    named = cut(skewed_join(rows, several, "cid", F.col("key")).select("doc", "key", "tag", "root"))
     bitmap = bitmap_of(named, F.col("key"), WANTED_BITS)
-    winner = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("void"), "doc", "key")).alias("w")).select("w.key")
-    known = named.select("key", F.lit(False).alias("wins")).unionByName(winner.select("key", F.lit(True).alias("wins")))
-    known = known.groupBy("key").agg(F.max("wins").alias("wins"))
-    marked = with_membership(df.select(F.struct("*").alias("_row"), _key(doc_id, text).alias("key")), F.col("key"), bitmap, WANTED_BITS)
-    met = marked.filter("_maybe").select("_row", "key").join(known, "key", "left")
-    stays = met.filter("wins").groupBy("key").agg(F.first("_row").alias("_row")).select("_row")
+    winner = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("void"), "doc", "key", "tag")).alias("w")).select("w.key", "w.tag")
+    known = named.select("key", "tag", F.lit(False).alias("wins")).unionByName(winner.select("key", "tag", F.lit(True).alias("wins")))
+    known = known.groupBy("key", "tag").agg(F.max("wins").alias("wins"))
+    marked = with_membership(df.select(F.struct("*").alias("_row"), *_keys(doc_id, text)), F.col("key"), bitmap, WANTED_BITS)
+    met = marked.filter("_maybe").select("_row", "key", "tag").join(known, ["key", "tag"], "left")
+    # Rows of equal id and text may differ elsewhere: the same one stays in every run.
+    stays = met.filter("wins").groupBy("key", "tag").agg(F.min_by("_row", F.sha2(F.to_json("_row"), 256)).alias("_row")).select("_row")
     alone = met.filter("wins IS NULL").select("_row")
     return marked.filter("NOT _maybe").select("_row").unionByName(alone).unionByName(stays).select("_row.*")

@@ -117,3 +117,58 @@ def test_sets_that_share_a_number_are_told_apart(docs, prose, monkeypatch):
     df = docs([(1, prose(1, 30)), (2, prose(2, 30)), (3, prose(1, 30))])
     # Tasks import the module anew; here it is enough that the second salt gives the same classes.
     assert {r.doc_id: r.component_id for r in J.similar_documents(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_few_words_alone_and_after_a_long_text(docs, spark):
+    """Runs of 0 to 6 words in all, one row a partition and behind a text that fills a run of its own."""
+    texts = ["", "one", "one two", "ONE two", "one two three", "one two three four", "one two three four five", "one two three four five six"]
+    for t in texts:
+        assert len(J.shingle_sets([t])[0]) == len(shingles(t)) == len(J.shingle_sets(["x " * 300_000, t])[1])
+        got = J.similar_documents(docs([(1, t)])).collect()
+        assert [(r.n_shingles, r.component_id) for r in got] == [(len(shingles(t)), 1)]
+    rows = list(enumerate(["y " * 300_000, *texts]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar_documents(docs(rows).repartition(len(rows))).collect()}
+    assert got == brute(rows)
+    assert sorted(r.doc_id for r in J.drop_similar(docs([(3, "one two"), (4, "ONE two")])).collect()) == [3]
+
+
+def test_words_that_cancel_out_in_polynomials(docs):
+    """A word and its complement of 1,024 and more letters, for which every polynomial modulo a power of two is the same."""
+    low = "a"
+    while len(low) < 2048:
+        low += low.translate(str.maketrans("ab", "ba"))
+        word, other = low, low.translate(str.maketrans("ab", "ba"))
+        assert not np.intersect1d(*J.shingle_sets([f"w {word} x y z", f"w {other} x y z"])).size
+    rows = [(i, f"w1 w2 {w} w3 w4 w5 w6") for i, w in enumerate([word, other, word[:1024], other[:1024], word[:1000], other[:1000]])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar_documents(docs(rows)).collect()}
+    assert got == brute(rows) and len({c for _, c in got.values()}) == 6
+
+
+def test_links_are_confirmed_on_words(prose):
+    r = random.Random(3)
+    for i in range(200):
+        x = prose(i, r.choice([0, 3, 5, 9, 40, 200]), 50)
+        y = edited(x, i, r.randint(0, 4)) if x else r.choice(["", "a"])
+        a, b = shingles(x), shingles(y)
+        assert J.texts_similar(x, y, 80) == (bool(a & b) and 100 * len(a & b) >= 80 * len(a | b))
+
+
+def test_hashes_of_one_word_do_not_depend_on_its_place():
+    r = random.Random(9)
+    words = ["w" * n for n in (1, 7, 8, 9, 15, 16, 17, 1023, 1024, 1025, 3000)] + ["".join(r.choice("ab") for _ in range(n)) for n in range(1, 40)]
+    seen = {}
+    for _ in range(20):
+        r.shuffle(words)
+        data = np.frombuffer((" " + " ".join(words) + " " * 8).encode(), dtype=np.uint8)
+        space = data == 32
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+        for w, h in zip(words, J.word_hashes(data, starts, ends, 5).tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_of_equal_rows_the_same_one_stays(spark):
+    schema = "doc_id long, text string, meta map<string,int>, rank int"
+    rows = [(1, "a b c d e f", {"k": i}, i) for i in range(6)] + [(2, "A b c d e f", {}, 0)]
+    kept = {J.drop_similar(spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(3)).first()["rank"] for k in range(3)}
+    assert len(kept) == 1
