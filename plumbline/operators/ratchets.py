@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import value_at
+
 
 def max_baseline(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
     """The highest value per key, so that a key met twice can only excuse more."""
@@ -39,9 +41,17 @@ def percentile_threshold(counts: DataFrame, n: str, percentile: int = 90, floor:
     return ranked.filter(F.col("through") >= rank).agg(F.greatest(F.min("value"), F.lit(floor)).alias("threshold"))
 
 
-def hotspot(counts: DataFrame, n: str, percentile: int = 90, floor: int = 3) -> DataFrame:
-    """Rows of ``counts`` whose ``n`` reaches the percentile, with ``threshold``; none if there are no counts."""
-    threshold = percentile_threshold(counts, n, percentile, floor).withColumn("_one", F.lit(1))
+def hotspot(counts: DataFrame, n: str, percentile: int = 90, floor: int = 3, many_values: bool = False) -> DataFrame:
+    """Rows of ``counts`` whose ``n`` reaches the percentile, with ``threshold``; none if there are no counts.
+
+    ``many_values``: ``n`` may have about as many values as there are rows; then no task sorts them all.
+    """
+    if many_values:
+        place = F.greatest(F.expr(f"(n * {percentile} + 99) div 100"), F.lit(1))
+        threshold = value_at(counts, n, place).select(F.greatest("value", F.lit(floor)).alias("threshold"))
+    else:
+        threshold = percentile_threshold(counts, n, percentile, floor)
+    threshold = threshold.withColumn("_one", F.lit(1))
     return counts.withColumn("_one", F.lit(1)).join(F.broadcast(threshold), "_one").drop("_one").filter(F.col(n) >= F.col("threshold"))
 
 

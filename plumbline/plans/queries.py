@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import blocks, budgets, conventions, duplicates, gates, ratchets, sequences
+from ..functions.types import nominal_names
+from ..operators import blocks, budgets, closure, conventions, duplicates, gates, ranges, ratchets, sequences
+from ..operators.asof import as_of
+from ..sources import history, overlay, tables
 from ..sources.tables import table
 from .registry import query
 
@@ -229,13 +234,125 @@ def commits_ago(spark: SparkSession, d: str) -> DataFrame:
     return sequences.steps_ago(orders, ["o_custkey"], [F.desc("o_orderdate")]).drop("o_orderdate")
 
 
-@query("""
-    WITH c AS (SELECT * FROM (VALUES ('indent', '4', 0, 1), ('indent', '2', 1, 1), ('width', '80', 0, 2), ('width', '100', 0, 3),
-                                     ('eol', 'lf', 2, 1), ('eol', 'crlf', 1, 9)) v(key, value, depth, ord))
-    SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY depth DESC, ord DESC) AS k FROM c) WHERE k = 1""")
+# Files named after pages, and settings files in their folders: com/example/<host>/<language>/<number>.cs.
+_PAGE_PATHS = """
+    SELECT page_id, regexp_replace(host, '^.*[.]', '') || '/' || regexp_extract(host, '([^.]+)[.][^.]+$', 1) || '/' || split_part(host, '.', 1) || '/' || coalesce(lang, 'xx')
+           || '/' || CAST(page_id % 3 AS {s}) || '/p' || CAST(page_id AS {s}) || '.cs' AS path
+    FROM (SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) AS host, nullif(regexp_extract(url, '//[^/]+/([a-z]+)/', 1), '') AS lang FROM pages)"""
+
+
+@query(f"""
+    WITH f AS ({_PAGE_PATHS.format(s="VARCHAR")}), p AS (SELECT page_id, path, string_split(path, '/')[:-2] AS dirs FROM f),
+         l AS (SELECT d AS folder, max(page_id) AS n FROM (SELECT page_id, array_to_string(dirs[:k], '/') AS d, k FROM p, unnest(range(0, 6)) g(k)) WHERE length(d) % 3 <> 1 GROUP BY 1),
+         y AS (SELECT folder, n, n % 4 = 0 AS is_root FROM l),
+         r AS (SELECT folder, is_root, key, value FROM (
+                   SELECT folder, is_root, 'indent' AS key, (n % 5)::VARCHAR AS value FROM y
+                   UNION ALL SELECT folder, is_root, 'width', (100 + n % 7)::VARCHAR FROM y WHERE n % 2 = 0
+                   UNION ALL SELECT folder, is_root, 'eol', CASE WHEN n % 3 = 0 THEN '' ELSE 'lf=' || n END FROM y WHERE n % 3 < 2)),
+         w AS (SELECT page_id, path, k, array_to_string(dirs[:k], '/') AS folder FROM p, unnest(range(0, len(dirs) + 1)) g(k)),
+         o AS (SELECT page_id, max(k) AS root FROM w JOIN y USING (folder) WHERE is_root GROUP BY 1),
+         e AS (SELECT w.page_id, path, key, value, row_number() OVER (PARTITION BY w.page_id, key ORDER BY k DESC) AS first
+               FROM w JOIN r USING (folder) LEFT JOIN o ON o.page_id = w.page_id WHERE k >= coalesce(root, 0))
+    SELECT page_id, path, key, value FROM e WHERE first = 1""")
 def layered_config(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("indent", "4", 0, 1), ("indent", "2", 1, 1), ("width", "80", 0, 2), ("width", "100", 0, 3), ("eol", "lf", 2, 1), ("eol", "crlf", 1, 9)]
-    return sequences.layered_config(spark.createDataFrame(rows, "key string, value string, depth int, ord int"))
+    """The settings of every file, from settings files in the folders above it, read and laid over each other."""
+    files = spark.sql(_PAGE_PATHS.format(s="STRING").replace("FROM pages", "FROM {pages}"), pages=table(spark, d, "pages"))
+    parts = X.dir_parts(F.col("path"))
+    above = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    folders = files.select("page_id", F.explode(above).alias("folder")).filter(F.length("folder") % 3 != 1).groupBy("folder").agg(F.max("page_id").alias("n"))
+    text = F.concat(
+        F.when(F.col("n") % 4 == 0, "ROOT = true\n").otherwise("# no root\n"), F.lit("indent = 9\n[*]\nroot = true\n[*.{cs,vb}]\nIndent="), (F.col("n") % 5).cast("string"), F.lit("\n"),
+        F.when(F.col("n") % 2 == 0, F.concat(F.lit("width = "), (100 + F.col("n") % 7).cast("string"), F.lit("\r\n"))).otherwise("; width = 1\n"),
+        F.when(F.col("n") % 3 == 0, "eol =\n").when(F.col("n") % 3 == 1, F.concat(F.lit("eol = lf="), F.col("n").cast("string"), F.lit("\n"))).otherwise(""), F.lit("[*.csproj]\nwidth = 7\n"),
+    )
+    made = overlay.layers(folders.select(F.concat_ws("/", F.nullif("folder", F.lit("")), F.lit(".settings")).alias("path"), text.alias("text")))
+    found = overlay.effective(files, made).select("page_id", "path", F.explode("settings"))
+    return found.filter("key <> 'root'")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT p_brand AS scope, p_partkey AS child, parent FROM part, unnest([p_partkey // 2, p_partkey // 3, CASE WHEN p_partkey % 50 = 0 THEN p_partkey + 7 END]) u(parent)
+                         WHERE parent IS NOT NULL AND parent <> p_partkey),
+         r AS (SELECT scope, child, parent FROM e UNION SELECT e.scope, e.child, r.parent FROM r JOIN e ON e.scope = r.scope AND e.parent = r.child)
+    SELECT scope, child, parent FROM r WHERE child <> parent""")
+def is_a_closure(spark: SparkSession, d: str) -> DataFrame:
+    """All that each part leads to by edges to a half, a third and, in a circle, upwards, within its brand."""
+    k = F.col("p_partkey")
+    parents = F.array(F.expr("p_partkey div 2"), F.expr("p_partkey div 3"), F.when(k % 50 == 0, k + 7))
+    edges = table(spark, d, "part").select(F.col("p_brand").alias("scope"), k.alias("child"), F.explode(parents).alias("parent"))
+    return closure.closure(edges, "child", "parent", ["scope"])
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT p_partkey AS child, CASE WHEN p_partkey % 97 = 5 THEN p_partkey + 3 ELSE p_partkey - 1 - p_partkey % 4 END AS parent FROM part WHERE p_partkey % 40 > 3),
+         r AS (SELECT child, parent, 1 AS n FROM e UNION ALL SELECT r.child, e.parent, n + 1 FROM r JOIN e ON e.child = r.parent WHERE n < 60)
+    SELECT child, parent AS "end" FROM r WHERE parent NOT IN (SELECT child FROM e)""")
+def chain_ends(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    parts = table(spark, d, "part").filter(k % 40 > 3)
+    return closure.chain_ends(parts.select(k.alias("child"), F.when(k % 97 == 5, k + 3).otherwise(k - 1 - k % 4).alias("parent")), "child", "parent")
+
+
+@query("""
+    SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type""")
+def global_change_log(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of the type over the whole log, which is one group."""
+    return ranges.change_log(table(spark, d, "events").select("ts", "event_id", "event_type"), ["ts", "event_id"], "event_type").drop("ts")
+
+
+@query("""SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS number FROM events""")
+def global_rank(spark: SparkSession, d: str) -> DataFrame:
+    return ranges.row_numbers(table(spark, d, "events").select("value", "event_id"), ["value", "event_id"]).drop("value")
+
+
+@query("""
+    WITH c AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL),
+         r AS (SELECT price, row_number() OVER (ORDER BY price) AS k, count(*) OVER () AS m FROM c),
+         t AS (SELECT greatest(price, 3) AS threshold FROM r WHERE k = (m * 99 + 99) // 100)
+    SELECT l_orderkey, l_linenumber, price, threshold FROM c, t WHERE price >= threshold""")
+def hotspot_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("price"))
+    return ratchets.hotspot(lines, "price", 99, 3, many_values=True)
+
+
+@query("""
+    WITH l AS (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS p FROM events)
+    SELECT event_id, event_type, value, ts, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 0 ELSE 1 END::BIGINT AS batch FROM l WHERE p IS NULL OR p <> event_type""")
+def history_append(spark: SparkSession, d: str) -> DataFrame:
+    """A log appended in two batches that overlap, the second of them twice, and read again."""
+    folder = f"{tables.shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("event_id", "event_type", "value", "ts")
+    early, late = events.filter(F.expr("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'")), events.filter(F.expr("ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'"))
+    for batch, rows in ((0, early), (1, late), (1, late)):
+        history.append(rows, folder, batch, ["ts", "event_id"], "event_type")
+    return history.read(spark, folder, events.schema)
+
+
+@query("""
+    WITH n AS (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) AS a, upper(split_part(p_name, ' ', 2)) AS b FROM part)
+    SELECT p_partkey, array_to_string(CASE p_partkey % 10
+               WHEN 0 THEN [a] WHEN 1 THEN ['List', a] WHEN 2 THEN ['Dictionary', 'String', 'List', b, a] WHEN 3 THEN [b] WHEN 4 THEN [] WHEN 5 THEN ['ValueTuple', a, 'Int32', 'Func', b]
+               WHEN 6 THEN ['Span', b] WHEN 7 THEN ['Map', b] WHEN 8 THEN ['Inner', 'Int64', 'Boolean'] ELSE ['Task', 'ValueTuple', b, 'ValueTuple', a, 'Object'] END, ',') AS names FROM n""")
+def nominal_type_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names in type texts made of the parts' words."""
+    word = lambda i: F.upper(F.split_part("p_name", F.lit(" "), F.lit(i)))
+    shapes = ["N.{a}?[]", "System.List<{a}[,]>", "Dictionary<string, global::X.List<{b}?[]>, {a}>", "Outer<{a}, List<T>>.{b}", "{a}<int>*[]", "({a} first, int second, Func<T, {b}> third)",
+              "Span<{b}>", "Map<T, dynamic, {b}, {a}*>", "A.B<{a}>.C<{b}>.Inner<long, bool>", "Task<({b}, ({a} x, object y)[])>"]
+    text = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        text = F.when(F.col("p_partkey") % 10 == i, F.replace(F.replace(F.lit(shape), F.lit("{a}"), word(1)), F.lit("{b}"), word(2))).otherwise(text)
+    return table(spark, d, "part").select("p_partkey", F.array_join(nominal_names(text, F.array(F.lit("T"))), ",").alias("names"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 37 % 43200 AS BIGINT)) AS ts FROM orders),
+         e AS (SELECT user_id, ts, max({'event_type': event_type, 'value': value}) AS s FROM events GROUP BY 1, 2)
+    SELECT o_orderkey, o.user_id, o.ts, s.event_type AS event_type, s.value AS value FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.ts >= e.ts""")
+def state_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of a user at the time of each order."""
+    minutes = "make_dt_interval(0, 0, cast(o_orderkey * 37 % 43200 as int), 0)"
+    asked = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), F.expr(f"TIMESTAMP_NTZ '2024-01-01 00:00:00' + {minutes}").alias("ts"))
+    return as_of(asked, table(spark, d, "events").select("user_id", "ts", "event_type", "value"), ["user_id"], "ts", ["event_type", "value"])
 
 
 @query("""

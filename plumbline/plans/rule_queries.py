@@ -41,8 +41,24 @@ FACTS = {
                CASE p % 7 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'ItemId' WHEN 2 THEN 'Go' WHEN 3 THEN 'Total' WHEN 4 THEN 'Zed' WHEN 5 THEN 'x' ELSE 'Middle' END AS name,
                CAST(l AS INT) AS arity, CAST(l AS INT) AS ordinal, CAST(l * 10 AS INT) AS line,
                CASE p % 5 WHEN 0 THEN 'private' WHEN 1 THEN NULL ELSE 'public' END AS accessibility, p % 6 <> 0 AS has_body, q AS complexity,
-               q AS non_blank_lines, q AS body_lines, CAST(p % 50 AS STRING) AS body_hash, p % 8 = 0 AS imposed_externally
+               q AS non_blank_lines, q AS body_lines, CAST(p % 50 AS STRING) AS body_hash, p % 8 = 0 AS imposed_externally,
+               'm' || CAST(o AS STRING) || '.' || CAST(l AS STRING) AS member_id
         FROM (SELECT l_orderkey AS o, l_linenumber AS l, min(l_partkey) AS p, CAST(min(l_quantity) AS BIGINT) AS q FROM {lineitem} GROUP BY l_orderkey, l_linenumber)"""),
+    "overrides": (("lineitem",), """
+        SELECT 'P' || CAST(o % 7 AS STRING) AS project, 'm' || CAST(o AS STRING) || '.' || CAST(l AS STRING) AS member_id,
+               CASE WHEN o % 31 = 0 AND l = 2 THEN 'm' || CAST(o AS STRING) || '.3' WHEN l > 1 THEN 'm' || CAST(o AS STRING) || '.' || CAST(l - 1 AS STRING) ELSE 'x' || CAST(p % 9 AS STRING) END AS overridden
+        FROM (SELECT l_orderkey AS o, l_linenumber AS l, min(l_partkey) AS p FROM {lineitem} GROUP BY l_orderkey, l_linenumber) WHERE p % 4 <> 1"""),
+    "implements": (("lineitem",), """
+        SELECT 'P' || CAST(o % 7 AS STRING) AS project, 'm' || CAST(o AS STRING) || '.' || CAST(l AS STRING) AS member_id,
+               CASE WHEN p % 2 = 0 THEN 'x' ELSE 'm' END || CAST(o AS STRING) || '.1' AS interface_member
+        FROM (SELECT l_orderkey AS o, l_linenumber AS l, min(l_partkey) AS p FROM {lineitem} GROUP BY l_orderkey, l_linenumber) WHERE p % 3 = 0"""),
+    "supertype": (("part",), f"""
+        SELECT 'M' || CAST(p_partkey % 100 AS STRING) || 'Module' AS project, 'I' || w2 || 'Other' AS name,
+               CASE WHEN p_partkey % 3 = 0 THEN 'I' || w1 || 'Provider' ELSE 'I' || w2 || 'Root' END AS parent
+        FROM (SELECT p_partkey, {_WORD.format(n=1)} AS w1, {_WORD.format(n=2)} AS w2 FROM {{part}}) WHERE p_partkey % 4 = 3
+        UNION ALL SELECT 'M' || CAST(p_partkey % 100 AS STRING) || 'Module', 'Base', 'IBaseProvider' FROM {{part}} WHERE p_partkey % 20 = 3
+        UNION ALL SELECT 'M' || CAST(p_partkey % 100 AS STRING) || 'Module', 'IBaseProvider', 'I' || {_WORD.format(n=1)} || 'Provider' FROM {{part}} WHERE p_partkey % 40 = 3
+        UNION ALL SELECT 'M' || CAST(p_partkey % 100 AS STRING) || 'Module', 'I' || {_WORD.format(n=1)} || 'Provider', 'IBaseProvider' FROM {{part}} WHERE p_partkey % 80 = 3"""),
     "head_member": (("lineitem",), """
         SELECT 'T' || CAST(o AS STRING) || CASE o % 3 WHEN 0 THEN 'DataModel' ELSE 'Thing' END AS type_name,
                CASE p % 7 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'ItemId' WHEN 2 THEN 'Go' WHEN 3 THEN 'Total' WHEN 4 THEN 'Zed' WHEN 5 THEN 'x' ELSE 'Middle' END AS name,
@@ -70,7 +86,8 @@ FACTS = {
         SELECT 'P' AS project, 'src/F.cs' AS path, CAST(l_orderkey AS INT) AS line, CASE l_suppkey % 3 WHEN 0 THEN 'OrderModule' WHEN 1 THEN 'ModuleBase' ELSE 'OrderService' END AS type_name,
                CASE WHEN l_suppkey % 5 = 0 THEN 'interface' ELSE 'class' END AS type_kind, 'Run' || CAST(l_linenumber AS STRING) AS method, 'x' AS name,
                array(CASE WHEN l_partkey % 2 = 0 THEN 'List' ELSE 'Order' END, CASE l_partkey % 5 WHEN 0 THEN 'OrderDataModel' WHEN 1 THEN 'ViewState' ELSE 'Int32' END) AS nominal_names,
-               l_partkey % 17 = 0 AS is_error FROM {lineitem}"""),
+               CASE l_partkey % 2 WHEN 0 THEN 'System.Collections.List<' ELSE 'global::Shop<Never>.Order<T, dynamic, ' END || CASE l_partkey % 5 WHEN 0 THEN 'OrderDataModel?[,]' WHEN 1 THEN 'Ui.ViewState[][]' ELSE 'int' END || '>?' AS type_text,
+               array('T') AS type_parameters, l_partkey % 17 = 0 AS is_error FROM {lineitem}"""),
     "operation": (("lineitem",), """
         SELECT 'P' AS project, 'F' || CAST(o AS STRING) || '.cs' AS path, CAST(l AS INT) AS line, CAST(l AS INT) AS op_id, CAST(l - 1 AS INT) AS parent_op_id,
                CASE p % 3 WHEN 0 THEN 'binary' WHEN 1 THEN 'compound_assignment' ELSE 'interpolation' END AS kind,
@@ -160,8 +177,13 @@ _rule("arch003_project_files", "ARCH003b", f"""
 _PROVIDERS = "p AS (SELECT DISTINCT project, name FROM type_decl WHERE kind = 'interface' AND project LIKE '%Module' AND regexp_matches(path, '(^|/)Models/Data/Providers/[^/]*$'))"
 _rule("arch003_module_provider", "ARCH003c", f""", {_PROVIDERS} {_row("ARCH003", "project", path="NULL::VARCHAR", line="NULL", expected="'an interface in Models/Data/Providers'")}
     FROM (SELECT DISTINCT project FROM type_decl WHERE project LIKE '%Module') WHERE project NOT IN (SELECT project FROM p)""", "type_decl", args="expected")
-_rule("arch004_provider_in_module", "ARCH004", f""", {_PROVIDERS} {_row("ARCH004", "t.name", path="t.path", line="t.start_line", project="t.project", interface="min(p.name)")}
-    FROM type_decl t JOIN p ON p.project = t.project AND list_contains(t.interfaces, p.name) WHERE t.kind <> 'interface' GROUP BY t.project, t.path, t.name, t.start_line""", "type_decl", args="interface")
+_rule("arch004_provider_in_module", "ARCH004", f""", {_PROVIDERS},
+      e AS (SELECT project, name, unnest(interfaces) AS parent FROM type_decl UNION SELECT project, name, base FROM type_decl UNION SELECT * FROM supertype),
+      r AS (SELECT e.project, e.name, e.parent FROM e JOIN p ON p.project = e.project AND p.name = e.parent WHERE e.name <> e.parent
+            UNION SELECT e.project, e.name, r.parent FROM r JOIN e ON e.project = r.project AND e.parent = r.name WHERE e.name <> r.parent)
+    {_row("ARCH004", "t.name", path="t.path", line="t.start_line", project="t.project", interface="min(r.parent)")}
+    FROM type_decl t JOIN r ON r.project = t.project AND r.name = t.name WHERE t.kind <> 'interface' AND t.project LIKE '%Module' GROUP BY t.project, t.path, t.name, t.start_line""",
+    "type_decl supertype", args="interface")
 _ORDERED = """, o AS (SELECT *, lag(name) OVER (PARTITION BY project, path, type_name ORDER BY ordinal) AS previous FROM member WHERE type_kind = 'class' AND kind = '{kind}' {more})
     {row} FROM o WHERE name < previous"""
 _rule("arch005_property_order", "ARCH005", _ORDERED.format(kind="property", more="AND type_name LIKE '%DataModel' AND NOT regexp_matches(name, '(Id|Ids|IDs)$')", row=_row("ARCH005", "name", previous="previous")), "member", args="previous")
@@ -182,10 +204,18 @@ _IS = "(upper({c}) = '{m}' OR upper({c}) LIKE '{m}.%' OR upper({c}) LIKE '%.{m}'
 _rule("arch012_module_barrier", "ARCH012", f"""{_row("ARCH012", "to_symbol", rule="CASE WHEN " + _IS.format(c="project", m="PORTAL") + " THEN 'Portal>Domain' ELSE 'Core>Domain' END")} FROM reference
     WHERE ({_IS.format(c="project", m="PORTAL")} OR {_IS.format(c="project", m="CORE")}) AND {_IS.format(c="to_assembly", m="DOMAIN")} AND path NOT IN ('src/F3.cs', 'src/F14.cs')""",
     "reference", {"module_reference_barrier": "Portal>Domain;Core>Domain", "module_reference_barrier_exceptions": "f3.cs;SRC/F14.cs"}, "rule")
-for _n, _id, _fact, _where, _at in (("arch013_variable_name", "ARCH013", "member", "kind = 'variable'", "line"), ("arch014_class_name", "ARCH014", "type_decl", "kind = 'class'", "start_line"),
-                                    ("arch015_method_name", "ARCH015", "member", "kind = 'method' AND NOT imposed_externally", "line")):
+for _n, _id, _fact, _where, _at in (("arch013_variable_name", "ARCH013", "member", "kind = 'variable'", "line"), ("arch014_class_name", "ARCH014", "type_decl", "kind = 'class'", "start_line")):
     _least = 14 if _fact == "type_decl" else 4
     _rule(_n, _id, f"{_row(_id, 'name', line=_at, min=str(_least))} FROM {_fact} WHERE {_where} AND length(name) < {_least}", _fact, {f"min_{_n.split('_')[1]}_name_length": str(_least)}, "min")
+_rule("arch015_method_name", "ARCH015", f"""
+    , c AS (SELECT project, member_id, overridden AS target, 1 AS steps FROM overrides
+            UNION ALL SELECT c.project, c.member_id, o.overridden, steps + 1 FROM c JOIN overrides o ON o.project = c.project AND o.member_id = c.target WHERE steps < 50),
+      n AS (SELECT project, member_id, target FROM c WHERE NOT EXISTS (SELECT 1 FROM overrides o WHERE o.project = c.project AND o.member_id = c.target)
+            UNION ALL SELECT project, member_id, interface_member FROM implements i WHERE NOT EXISTS (SELECT 1 FROM overrides o WHERE o.project = i.project AND o.member_id = i.member_id)),
+      x AS (SELECT project, member_id FROM n WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.project = n.project AND m.member_id = n.target))
+    {_row("ARCH015", "name", min="4")} FROM member m WHERE kind = 'method' AND length(name) < 4 AND NOT EXISTS (SELECT 1 FROM x WHERE x.project = m.project AND x.member_id = m.member_id)""",
+    "member overrides implements", {"min_method_name_length": "4"}, "min")
+_rule("arch015_flagged_names", "ARCH015", f"{_row('ARCH015', 'name', min='4')} FROM member WHERE kind = 'method' AND NOT imposed_externally AND length(name) < 4", "member", {"min_method_name_length": "4"}, "min")
 _FIRST = "CASE WHEN type_name LIKE '%Module' AND len(list_filter(nominal_names, lambda x: x LIKE '%DataModel')) > 0 THEN '*Module>*DataModel' WHEN type_name LIKE 'Module%' AND len(list_filter(nominal_names, lambda x: contains(x, 'iew'))) > 0 THEN 'Module*>*iew*' END"
 _rule("arch016_parameter_barrier", "ARCH016", f"""{_row("ARCH016", "type_name || '.' || method", rule="rule")} FROM (SELECT *, {_FIRST} AS rule FROM parameter WHERE type_kind = 'class' AND NOT is_error) WHERE rule IS NOT NULL""",
     "parameter", {"method_argument_type_barrier": "*Module>*DataModel;Module*>*iew*"}, "rule")

@@ -7,8 +7,12 @@ source_file  project, path, n_lines, is_generated, is_test
 type_decl    project, path, name, arity, namespace, kind, is_nested, is_sealed, is_static, accessibility, base,
              interfaces (array), start_line, non_blank_lines
 member       project, path, type_name, type_kind, kind, name, arity, ordinal, line, accessibility, has_body, complexity,
-             non_blank_lines, body_lines, body_hash, tokens (array of int), imposed_externally
-parameter    project, path, line, type_name, type_kind, method, name, nominal_names (array), is_error
+             non_blank_lines, body_lines, body_hash, tokens (array of int), imposed_externally, member_id
+supertype    project, name, parent: is-a edges besides those of type_decl, of types declared elsewhere (optional)
+overrides    project, member_id, overridden           implements  project, member_id, interface_member
+             (both optional: with them ARCH015 finds imposed names itself; without, ``imposed_externally`` tells)
+parameter    project, path, line, type_name, type_kind, method, name, nominal_names (array), or instead of it type_text
+             and type_parameters (array), is_error
 reference    project, path, line, to_symbol, to_assembly
 operation    project, path, line, op_id, parent_op_id, kind, operator, is_builtin, is_constant, result_type, n_holes
 assembly_type  assembly, metadata_name, accessibility
@@ -20,6 +24,8 @@ churn        path, n                                changed   path
 removed_text / added_text   lines of either side (see ``code.reappearing``)
 """
 
+from pyspark.sql import DataFrame
+
 from . import code, names, references, size, structure
 
 RULES = {**structure.RULES, **size.RULES, **references.RULES, **names.RULES, **code.RULES}
@@ -30,8 +36,15 @@ def written_by_hand(facts: dict) -> dict:
     files = facts.get("source_file")
     if files is None or "is_generated" not in files.columns:
         return facts
-    made = files.filter("is_generated").select("path").distinct()
-    return {n: df.join(made, "path", "left_anti") if "path" in df.columns and n not in ("numstat", "churn", "changed") else df for n, df in facts.items()}
+    made = files.filter("is_generated").select("project", "path").distinct()
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        if "path" not in df.columns or name in ("numstat", "churn", "changed"):
+            return df
+        # A generated file of one project says nothing of a file of that path in another.
+        return df.join(made, ["project", "path"], "left_anti") if "project" in df.columns else df.join(made.select("path").distinct(), "path", "left_anti")
+
+    return {n: kept(n, df) for n, df in facts.items()}
 
 
 def run(facts: dict, options: dict[str, str], only: list[str] | None = None):

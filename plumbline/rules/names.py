@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.closure import chain_ends
 from ..plans.diagnostics import report
 from ..sources.config import bounded_int
 
@@ -24,11 +25,31 @@ def classes(facts: dict, options: dict) -> DataFrame | None:
     return _short(facts["type_decl"].filter("kind = 'class'"), "ARCH014", least, "start_line") if least else None
 
 
+def imposed(facts: dict) -> DataFrame:
+    """project, member_id of members whose name comes from elsewhere.
+
+    An override has the name of the member that its chain of overrides ends at; another member that of the interface members
+    it implements.  A name comes from elsewhere if the project doesn't declare that member.  A chain that runs in a circle has
+    no end and imposes nothing.
+    """
+    declared = facts["member"].select("project", F.col("member_id").alias("end")).distinct()
+    overrides, implements = facts["overrides"], facts["implements"]
+    ends = chain_ends(overrides, "member_id", "overridden", ["project"])
+    direct = implements.join(overrides, ["project", "member_id"], "left_anti").select("project", "member_id", F.col("interface_member").alias("end"))
+    named = ends.select("project", "member_id", "end").unionByName(direct)
+    return named.join(declared, ["project", "end"], "left_anti").select("project", "member_id").distinct()
+
+
 def methods(facts: dict, options: dict) -> DataFrame | None:
-    """Names that an external base or interface imposes are nobody's choice."""
+    """Names that an external base or interface imposes are nobody's choice: by the members' edges, or else by their flag."""
     least = bounded_int(options, "min_method_name_length", 0, 1)
-    own = facts["member"].filter((F.col("kind") == "method") & ~F.coalesce("imposed_externally", F.lit(False)))
-    return _short(own, "ARCH015", least, "line") if least else None
+    if not least:
+        return None
+    own = facts["member"].filter(F.col("kind") == "method")
+    if "overrides" in facts and "implements" in facts:
+        short = own.filter(F.length("name") < least)
+        return _short(short.join(imposed(facts), ["project", "member_id"], "left_anti"), "ARCH015", least, "line")
+    return _short(own.filter(~F.coalesce("imposed_externally", F.lit(False))), "ARCH015", least, "line")
 
 
 RULES = {"ARCH013": (("member",), variables), "ARCH014": (("type_decl",), classes), "ARCH015": (("member",), methods)}

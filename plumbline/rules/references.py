@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import scope_match
+from ..functions.types import nominal_names
 from ..operators.gates import barrier, name_collision, pattern_barrier
 from ..plans.diagnostics import report
 from ..sources.config import items, pairs
@@ -27,6 +28,8 @@ def parameter_barrier(facts: dict, options: dict) -> DataFrame | None:
     if not rules:
         return None
     judged = facts["parameter"].filter((F.col("type_kind") == "class") & ~F.coalesce("is_error", F.lit(False)))
+    if "type_text" in judged.columns:
+        judged = judged.withColumn("nominal_names", nominal_names(F.col("type_text"), F.col("type_parameters")))
     found = pattern_barrier(judged, "type_name", "nominal_names", rules)
     subject = F.concat_ws(".", "type_name", "method")
     return report(found, "ARCH016", subject, F.col("path"), F.col("line"), F.col("project"), rule=F.col("rule"))

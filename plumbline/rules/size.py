@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import change_key, csv_line, usage_percent
 from ..operators.budgets import over_budget, ratio_gate, with_budget
-from ..operators.sequences import change_log_dedup
+from ..operators.ranges import change_log
 from ..plans.diagnostics import report
 from ..sources.config import bounded_int
 
@@ -77,7 +77,7 @@ def gauge(facts: dict, options: dict) -> DataFrame:
 def history(builds: DataFrame) -> DataFrame:
     """ts, line (CSV) of builds (ts, prompt, paths, production, tests, budget, usage, over) whose change is a new one."""
     keyed = builds.withColumn("key", change_key(F.col("prompt"), F.col("paths"), F.col("production"), F.col("tests")))
-    new = change_log_dedup(keyed.withColumn("_", F.lit(1)), ["_"], ["ts"], "key")
+    new = change_log(keyed, ["ts"], "key")
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     fields = [stamp, F.col("prompt"), F.size("paths"), F.col("production"), F.col("tests"), F.col("budget"), F.col("usage"), F.col("over")]
     return new.select("ts", csv_line(*fields).alias("line"))

@@ -11,6 +11,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators.gates import best_match
 from ..operators.sequences import order_violation
+from ..operators.closure import closure
 from ..plans.diagnostics import report
 from ..sources.config import assignments, pairs
 
@@ -90,12 +91,20 @@ def module_without_provider(facts: dict, options: dict) -> DataFrame:
     return report(bare, "ARCH003", F.col("project"), None, None, F.col("project"), expected=F.lit(f"an interface in {PROVIDERS}"))
 
 
+def supertypes(facts: dict) -> DataFrame:
+    """project, name, parent: the is-a edges that types declare, and those of ``supertype`` if that fact is there."""
+    types = facts["type_decl"]
+    own = types.select("project", "name", F.explode("interfaces").alias("parent")).unionByName(types.select("project", "name", F.col("base").alias("parent")))
+    return own.unionByName(facts["supertype"].select("project", "name", "parent")) if "supertype" in facts else own
+
+
 def provider_in_module(facts: dict, options: dict) -> DataFrame:
-    """A type that implements a provider interface of its own module; one row per type, the first interface by name."""
-    provided = _providers(facts).select("project", F.col("name").alias("interface")).distinct()
+    """A type that implements a provider interface of its own module, itself or over its bases; one row per type, the first interface by name."""
+    provided = _providers(facts).select("project", F.col("name").alias("parent")).distinct()
     types = facts["type_decl"].filter(F.endswith("project", F.lit(MODULE)) & (F.col("kind") != "interface"))
-    implemented = types.select("project", "path", "name", "start_line", F.explode("interfaces").alias("interface"))
-    hits = implemented.join(provided, ["project", "interface"]).groupBy("project", "path", "name", "start_line").agg(F.min("interface").alias("interface"))
+    edges = supertypes(facts).filter(F.endswith("project", F.lit(MODULE)))
+    implemented = closure(edges, "name", "parent", ["project"], provided).groupBy("project", "name").agg(F.min("parent").alias("interface"))
+    hits = types.select("project", "path", "name", "start_line").distinct().join(implemented, ["project", "name"])
     return report(hits, "ARCH004", F.col("name"), F.col("path"), F.col("start_line"), F.col("project"), interface=F.col("interface"))
 
 
