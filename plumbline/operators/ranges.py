@@ -72,3 +72,27 @@ def value_at(df: DataFrame, value: str, place: Column, parts: int | None = None)
             return inside.filter(F.col("_through") >= wanted).agg(F.min("value").alias("value"))
         wanted -= rows
     return counted.select("value").limit(0)
+
+
+_FOLDS = {"sum": (F.sum, lambda a, b: a + b), "max": (F.max, max), "min": (F.min, min)}
+
+
+def running(df: DataFrame, order: Sequence[str], value: Column, how: str, name: str, exclusive: bool = False, parts: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum, max or min (``how``) of ``value`` over all rows up to this one, or before it (``exclusive``).
+
+    Nulls don't count; where there is no value yet the result is null.
+    """
+    of, fold = _FOLDS[how]
+    dealt = range_parts(df.withColumn("_value", value), order, parts)
+    totals = {r["_part"]: r["total"] for r in dealt.groupBy("_part").agg(of("_value").alias("total")).collect()}
+    carried, so_far = [], None
+    for part in sorted(totals):
+        carried.append((part, so_far))
+        if totals[part] is not None:
+            so_far = totals[part] if so_far is None else fold(so_far, totals[part])
+    kind = dealt.select(of("_value").alias("v")).schema["v"].dataType.simpleString()
+    before = df.sparkSession.createDataFrame(carried, f"_part int, _before {kind}")
+    inside = of("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
+    joined = dealt.withColumn("_inside", inside).join(F.broadcast(before), "_part")
+    both = {"sum": F.col("_inside") + F.col("_before"), "max": F.greatest("_inside", "_before"), "min": F.least("_inside", "_before")}[how]
+    return joined.withColumn(name, F.coalesce(both, "_inside", "_before")).drop("_part", "_value", "_inside", "_before")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.types import nominal_names
-from ..operators import blocks, budgets, closure, conventions, duplicates, gates, ranges, ratchets, sequences
+from ..operators import blocks, budgets, closure, conventions, duplicates, gates, ranges, ratchets, sequences, trees
 from ..operators.asof import as_of
 from ..sources import history, overlay, tables
 from ..sources.tables import table
@@ -355,6 +355,26 @@ def state_as_of(spark: SparkSession, d: str) -> DataFrame:
     return as_of(asked, table(spark, d, "events").select("user_id", "ts", "event_type", "value"), ["user_id"], "ts", ["event_type", "value"])
 
 
+@query("""
+    WITH RECURSIVE n AS (SELECT p_partkey // 100 AS tree, p_partkey % 100 AS node, CASE WHEN p_partkey % 100 > 0 THEN (p_partkey % 100 - 1) // 2 END AS parent, p_name FROM part),
+         u AS (SELECT tree, node, parent AS above FROM n WHERE parent IS NOT NULL UNION ALL SELECT u.tree, u.node, n.parent FROM u JOIN n ON n.tree = u.tree AND n.node = u.above WHERE n.parent IS NOT NULL),
+         p AS (SELECT tree, node, row_number() OVER (ORDER BY tree, path) AS pre FROM (
+                   SELECT n.tree, n.node, coalesce(list_sort(list(u.above) FILTER (u.above IS NOT NULL)), []) || [n.node] AS path FROM n LEFT JOIN u ON u.tree = n.tree AND u.node = n.node GROUP BY 1, 2)),
+         s AS (SELECT tree, above AS node, count(*) AS below, count(*) FILTER (p_name LIKE '%ring') AS rings FROM u JOIN n USING (tree, node) GROUP BY 1, 2),
+         a AS (SELECT u.tree, u.node, count(*) FILTER (p_name LIKE 'red%') AS reds FROM u JOIN n ON n.tree = u.tree AND n.node = u.above GROUP BY 1, 2)
+    SELECT tree, node, pre, pre + coalesce(below, 0) AS "end", coalesce(reds, 0) > 0 AS under_red, coalesce(rings, 0) > 0 AS over_ring
+    FROM p LEFT JOIN s USING (tree, node) LEFT JOIN a USING (tree, node)""")
+def interval_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as nodes of binary trees: their intervals, whether a red part is above and whether a ring is below."""
+    k = F.col("p_partkey")
+    nodes = table(spark, d, "part").select(
+        F.expr("p_partkey div 100").alias("tree"), (k % 100).alias("node"), F.when(k % 100 > 0, F.expr("(p_partkey % 100 - 1) div 2")).alias("parent"), (k % 100).alias("ordinal"), "p_name"
+    )
+    labelled = tables.written(trees.labels(nodes, ["tree"]))
+    found = trees.encloses(trees.enclosed(labelled, F.startswith("p_name", F.lit("red")), "under_red"), F.endswith("p_name", F.lit("ring")), "over_ring")
+    return found.select("tree", "node", "pre", "end", "under_red", "over_ring")
+
+
 @query("""
     WITH h AS (SELECT conv_id, turn FROM conversations WHERE length(text) > 300)
     SELECT conv_id, turn FROM h WHERE NOT EXISTS (SELECT 1 FROM h p WHERE p.conv_id = h.conv_id AND p.turn = h.turn - 1)""")

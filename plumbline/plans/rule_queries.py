@@ -52,6 +52,14 @@ FACTS = {
         SELECT 'P' || CAST(o % 7 AS STRING) AS project, 'm' || CAST(o AS STRING) || '.' || CAST(l AS STRING) AS member_id,
                CASE WHEN p % 2 = 0 THEN 'x' ELSE 'm' END || CAST(o AS STRING) || '.1' AS interface_member
         FROM (SELECT l_orderkey AS o, l_linenumber AS l, min(l_partkey) AS p FROM {lineitem} GROUP BY l_orderkey, l_linenumber) WHERE p % 3 = 0"""),
+    "test_node": (("orders",), """
+        SELECT 'tests/T' || CAST(k AS STRING) || 'Tests.cs' AS path, 'Test' || CAST(k AS STRING) AS test, node,
+               CASE node WHEN 0 THEN NULL WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 6 THEN 5 WHEN 7 THEN 4 WHEN 8 THEN 3 WHEN 9 THEN 3 ELSE 0 END AS parent, node AS ordinal,
+               CASE WHEN node = 1 AND c % 3 > 0 THEN 'try' WHEN node = 5 AND c % 5 > 0 THEN 'nameof' WHEN node = 8 AND c % 4 <> 1 THEN 'throw' WHEN node = 2 THEN 'block' WHEN node = 3 THEN 'catch'
+                    WHEN node IN (4, 6, 8, 9) THEN 'call' WHEN node = 7 THEN 'new' ELSE 'other' END AS kind,
+               CASE WHEN node = 3 AND c % 6 = 2 THEN 'IOException' WHEN node = 3 AND c % 6 <> 4 THEN 'Exception' WHEN node = 4 THEN 'Total' WHEN node = 7 AND c % 2 = 0 THEN 'Alpha'
+                    WHEN node IN (6, 7) THEN 'Middle' WHEN node = 9 THEN 'Go' END AS name
+        FROM (SELECT o_orderkey AS k, o_custkey AS c, explode(sequence(0, 9)) AS node FROM {orders} WHERE o_orderkey % 5 > 0)"""),
     "supertype": (("part",), f"""
         SELECT 'M' || CAST(p_partkey % 100 AS STRING) || 'Module' AS project, 'I' || w2 || 'Other' AS name,
                CASE WHEN p_partkey % 3 = 0 THEN 'I' || w1 || 'Provider' ELSE 'I' || w2 || 'Root' END AS parent
@@ -133,7 +141,7 @@ def facts(spark: SparkSession, d: str, *names: str, **renamed: str) -> dict[str,
 
 def _ctes(*names: str) -> str:
     def portable(select: str) -> str:
-        for a, b in (("array(", "list_value("), ("transform(split(text, ' '), w ->", "list_transform(string_split(text, ' '), lambda w:"), ("split(coalesce", "string_split(coalesce"), ("'\n'", "chr(10)")):
+        for a, b in (("array(", "list_value("), ("transform(split(text, ' '), w ->", "list_transform(string_split(text, ' '), lambda w:"), ("split(coalesce", "string_split(coalesce"), ("'\n'", "chr(10)"), ("explode(sequence(", "unnest(generate_series(")):
             select = select.replace(a, b)
         return select.replace("{{", "\0").replace("}}", "\1").replace("{", "").replace("}", "").replace("\0", "{").replace("\1", "}")
 
@@ -267,6 +275,24 @@ _rule("arch025_tested_changes", "ARCH025", f"""
     {_row("ARCH025", "d.type_name || '.' || d.name", evidences="coalesce(evidences, 0)")} FROM d LEFT JOIN n USING (type_name)
     WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.type_name = d.type_name AND list_contains(e.invoked, d.called))""",
     "member head_member changed test_method", {"test_link_min_added_lines": "5", "test_link_exclude_paths": "t7"}, "evidences")
+_rule("arch025_counted_calls", "ARCH025", f"""
+    , c AS (SELECT DISTINCT upper(path) AS key FROM changed), h AS (SELECT type_name, name, arity, arg_max(body_hash, body_lines) AS hash, max(body_lines) AS lines FROM head_member GROUP BY ALL),
+      d AS (SELECT m.*, CASE WHEN m.kind = 'ctor' THEN type_name ELSE m.name END AS called FROM member m LEFT JOIN h USING (type_name, name, arity)
+            WHERE kind IN ('method', 'ctor') AND has_body AND accessibility <> 'private' AND NOT regexp_matches(lower('/' || path), '/tests/|\\.tests/|tests\\.cs|test\\.cs|spec\\.cs')
+              AND upper(path) IN (FROM c) AND CASE WHEN hash IS NULL THEN m.body_lines >= 5 ELSE hash <> m.body_hash AND m.body_lines - lines >= 5 END),
+      u AS (SELECT path, test, node, parent AS above FROM test_node WHERE parent IS NOT NULL
+            UNION SELECT u.path, u.test, u.node, n.parent FROM u JOIN test_node n ON n.path = u.path AND n.test = u.test AND n.node = u.above WHERE n.parent IS NOT NULL),
+      s AS (SELECT c.path, c.test, c.parent FROM test_node c WHERE c.kind = 'catch' AND coalesce(c.name, 'Exception') = 'Exception'
+              AND NOT EXISTS (SELECT 1 FROM u JOIN test_node t USING (path, test, node) WHERE u.path = c.path AND u.test = c.test AND u.above = c.node AND t.kind = 'throw')),
+      q AS (SELECT path, test, node FROM test_node n WHERE kind IN ('nameof', 'typeof') OR (kind = 'block' AND EXISTS (SELECT 1 FROM s WHERE s.path = n.path AND s.test = n.test AND s.parent = n.parent))),
+      i AS (SELECT path, test, list(DISTINCT name) AS invoked FROM test_node n WHERE kind IN ('call', 'new') AND name IS NOT NULL
+              AND NOT EXISTS (SELECT 1 FROM u JOIN q ON q.path = u.path AND q.test = u.test AND q.node = u.above WHERE u.path = n.path AND u.test = n.test AND u.node = n.node) GROUP BY 1, 2),
+      e AS (SELECT path, test, unnest(type_refs) AS type_name, i.invoked FROM test_method JOIN i USING (path, test) WHERE upper(path) IN (FROM c) AND attributes[1].name LIKE '%Fact'
+            AND NOT list_contains(attributes[1].named_args, 'Skip') AND (head_hash IS NULL OR head_hash <> body_hash) AND has_assertion),
+      n AS (SELECT type_name, count(*) AS evidences FROM e GROUP BY 1)
+    {_row("ARCH025", "d.type_name || '.' || d.name", evidences="coalesce(evidences, 0)")} FROM d LEFT JOIN n USING (type_name)
+    WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.type_name = d.type_name AND list_contains(e.invoked, d.called))""",
+    "member head_member changed test_method test_node", {"test_link_min_added_lines": "5"}, "evidences")
 _WINDOWS = """SELECT * EXCLUDE (ls), w[1] AS i, array_to_string(ls[w[1]:w[1] + 2], chr(10)) AS win FROM (
         SELECT * EXCLUDE (lines), list_transform(lines, lambda x: trim(regexp_replace(x, '[ \\t\\r\\n\\f\\v]+', ' ', 'g'))) AS ls FROM {t}), unnest(list_transform(generate_series(1, len(ls) - 2), lambda i: [i])) g(w)
     WHERE NOT regexp_full_match(ls[w[1]], '[{{}}();,]*') AND NOT regexp_full_match(ls[w[1] + 1], '[{{}}();,]*') AND NOT regexp_full_match(ls[w[1] + 2], '[{{}}();,]*')"""

@@ -19,6 +19,8 @@ assembly_type  assembly, metadata_name, accessibility
 head_member  type_name, name, arity, complexity, body_hash, body_lines
 test_method  path, test, attributes (array of struct name, named_args), has_assertion, body_hash, head_hash, type_refs
              (array), invoked (array)
+test_node    path, test, node, parent, ordinal, kind, name: the tree of a test's body (optional; with it ``invoked`` is found
+             from the calls that count)
 numstat      project, path, added, is_test          baseline  project, lines
 churn        path, n                                changed   path
 removed_text / added_text   lines of either side (see ``code.reappearing``)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import blocks, conventions, duplicates, gates, ratchets, sequences
+from ..operators.trees import enclosed, encloses, labels
 from ..plans.diagnostics import report
 from ..sources.config import bounded_int, items, pairs
+from ..sources.tables import written
 
 #: Attributes that mark tests, attributes that switch them off, and beginnings of assertions.
 TEST_ATTRIBUTES = ("Fact", "Theory", "Test", "TestCase", "TestCaseSource", "TestMethod", "DataTestMethod")
@@ -119,6 +121,24 @@ def inferred_conventions(facts: dict, options: dict) -> DataFrame:
     return report(found, "ARCH024", F.col("name"), F.col("path"), F.col("start_line"), F.col("project"), suffix=F.col("group"), **args)
 
 
+def counted_calls(nodes: DataFrame) -> DataFrame:
+    """path, test, invoked: the names that the tests' bodies call or create.
+
+    nodes: path, test, node, parent, ordinal, kind, name, a row per node of a body.  What stands in ``nameof`` or ``typeof`` is
+    mentioned, not called; what stands in the block of a ``try`` that catches everything and throws nothing on can't fail the test.
+    A ``catch`` catches everything if it names no type or Exception; its ``throw`` may stand anywhere below it.
+    """
+    tree = ["path", "test"]
+    labelled = written(labels(nodes, tree))
+    catches = encloses(labelled, F.col("kind") == "throw").filter("kind = 'catch' AND NOT encloses AND (name IS NULL OR name = 'Exception')")
+    silent = catches.select(*tree, "parent", F.lit(True).alias("silent")).distinct()
+    # A try's block is silent if one of its catches is, and so is all that stands below it.
+    marked = labelled.join(silent, [*tree, "parent"], "left").withColumn("silent", (F.col("kind") == "block") & F.coalesce("silent", F.lit(False)))
+    found = enclosed(marked, F.col("silent") | F.col("kind").isin("nameof", "typeof"))
+    calls = found.filter(F.col("kind").isin("call", "new") & ~F.col("enclosed") & F.col("name").isNotNull())
+    return calls.groupBy(*tree).agg(F.collect_set("name").alias("invoked"))
+
+
 def evidence(tests: DataFrame, options: dict) -> DataFrame:
     """type_name, test, called of tests that changed, run, assert and call something; a row per type the file refers to."""
     names = items(options.get("test_attribute_names")) or list(TEST_ATTRIBUTES)
@@ -145,6 +165,8 @@ def tested_changes(facts: dict, options: dict) -> DataFrame | None:
     members = members.withColumn("called_name", F.when(F.col("kind") == "ctor", F.col("type_name")).otherwise(F.col("name")))
     due = gates.accountable_members(members, facts["head_member"], ["type_name", "name", "arity"], floor)
     tests = facts["test_method"].withColumn("key", F.upper("path")).join(changed, "key", "left_semi")
+    if "test_node" in facts:
+        tests = tests.drop("invoked").join(counted_calls(facts["test_node"].withColumn("key", F.upper("path")).join(changed, "key", "left_semi")), ["path", "test"])
     found = gates.link_gate(due, evidence(tests, options), "type_name", "called_name", "called", "test")
     subject = X.display_name(F.col("type_name"), F.col("name"))
     return report(found, "ARCH025", subject, F.col("path"), F.col("line"), F.col("project"), evidences=F.col("evidences"))
