@@ -5,8 +5,8 @@ distribution over the languages; a document's probabilities are the mean over al
 of ``WINDOW`` bytes, each with up to ``CONTEXT`` bytes of what precedes and follows it, so that every position sees at least
 so far (or to the end of the text) both ways; windows of many texts are read side by side, and a long text isn't one long
 chain.  The network is trained here, in numpy, by backpropagation through time on a bounded sample of labelled rows: of
-each language ``TRAIN_DOCS`` documents, those with the smallest hash of doc_id, and of each of these ``TRAIN_PIECES`` pieces
-of ``PIECE`` characters spread over the text.  The weights (tens of KB) go to the tasks.
+each language ``TRAIN_DOCS`` documents with their whole texts, those with the smallest hash of doc_id; a training step reads
+spans of up to ``SPAN`` bytes, longer than a window, from random places of random ones.  The weights (tens of KB) go to the tasks.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled row every text is
 ``und``; equal texts give equal predictions (probabilities are rounded to six digits), ties go to the smaller language; a
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-TRAIN_DOCS, TRAIN_PIECES, PIECE = 150, 12, 96
+TRAIN_DOCS = 150
 WINDOW, CONTEXT = 256, 32
 HIDDEN = 8
-STEPS, BATCH, SPAN = 260, 192, 48
+STEPS, BATCH, SPAN = 260, 64, 288
 UNKNOWN = "und"
 #: Windows that are read side by side.
 ABREAST = 1024
@@ -191,18 +191,17 @@ def _read(net: BiGRU, windows: list[tuple], total: np.ndarray) -> None:
 
 
 def training_rows(df: DataFrame, per_language: int) -> DataFrame:
-    """lang, doc_id and pieces of ``per_language`` rows of each language of ``df`` (doc_id, text, lang), by smallest hash.
+    """lang, doc_id and text of ``per_language`` rows of each language of ``df`` (doc_id, text, lang), by smallest hash.
 
-    The ids are chosen on doc_id and lang alone, with a group limit on the map side; only then are their texts read, and
-    ``TRAIN_PIECES`` pieces of ``PIECE`` characters taken at even distances.
+    The ids are chosen on doc_id and lang alone, once each, with a group limit on the map side; only then are their texts read,
+    and of the rows that share an id and a language one is taken, partly on the map side.
     """
     known = df.filter("lang IS NOT NULL AND text IS NOT NULL")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
-    rows = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
-    step = F.greatest(F.length("text") - PIECE, F.lit(0)) / (TRAIN_PIECES - 1)
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PIECES - 1)), lambda i: F.substring("text", (i * step).cast("int") + 1, F.lit(PIECE)))
-    return rows.select("lang", "doc_id", F.array_distinct(pieces).alias("pieces"))
+    ids = known.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
+    chosen = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
+    rows = known.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    return rows.groupBy("lang", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def identify(df: DataFrame, net: BiGRU, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,6 +226,5 @@ def identify(df: DataFrame, net: BiGRU, doc_id: str = "doc_id", text: str = "tex
 
 def fit(df: DataFrame, per_language: int = TRAIN_DOCS) -> BiGRU:
     """A network trained on a bounded sample of the labelled rows of ``df`` (doc_id, text, lang)."""
-    sample = sorted((r.lang, r.doc_id if r.doc_id is not None else -1, r.pieces) for r in training_rows(df, per_language).collect())
-    pieces = [(p, lang) for lang, _, some in sample for p in some]
-    return train([p for p, _ in pieces], [lang for _, lang in pieces])
+    sample = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.text) for r in training_rows(df, per_language).collect())
+    return train([text for *_, text in sample], [lang for lang, *_ in sample])

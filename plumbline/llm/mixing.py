@@ -4,11 +4,13 @@ A text's size is its number of words.  Sources, sorted by code point with null l
 the budget (all sizes); a target stops at ``MAX_EPOCHS`` times its source's size and the excess goes to the others by
 weight until none is above.  A source whose target is e whole passes and a rest takes every text e times and, for the
 rest, the texts whose hash lies below a threshold.  The threshold comes from histograms: words by source and hash bucket,
-the boundary bucket of each source alone split again on the next hash bits, and so on for ``LEVELS`` levels, where the
-cut nearest to the rest is taken.  No row is sorted.  Reruns agree, because the hash depends on doc_id and text only.
+the boundary bucket of each source alone split again on the next hash bits, and so on for ``LEVELS`` levels.  What is left
+then is one hash: a row, or rows equal in doc_id and text.  These are numbered, partition by partition, and as many are taken
+as come nearest to the rest.  No row is sorted.  Reruns agree, because the hash depends on doc_id and text only.
 
-Defined cases: a null text has no words; a source of size 0 has target 0; equal rows go together, and so
-do null ids with one text; an empty table gives an empty result; a very long text is counted where it is read; other
+Defined cases: a null text has no words; a source of size 0 has target 0; rows equal in doc_id and text, null ids too, are alike:
+where the cut falls among them it is their number that is taken, and of those that differ in other columns any may be the
+ones; an empty table gives an empty result; a very long text is counted where it is read; other
 columns are not looked at.
 """
 
@@ -72,7 +74,10 @@ def _digit(level: int) -> Column:
 
 
 def thresholds(slim: DataFrame) -> DataFrame:
-    """source, source_size, target, epochs, upto (hashes below it are taken once more) from rows (source, size, h)."""
+    """source, source_size, target, epochs, upto and more from rows (source, size, h).
+
+    Hashes below ``upto`` are taken once more, and ``more`` rows of the hash ``upto`` itself.
+    """
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
     epochs = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
     state = cut(
@@ -87,27 +92,42 @@ def thresholds(slim: DataFrame) -> DataFrame:
             inside = _with_source(slim, state.select("source", "upto")).filter(
                 F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("upto", shift + LEVEL_BITS)
             )
-        histogram = inside.groupBy("source", _digit(level).alias("digit")).agg(F.sum("size").alias("words"))
+        histogram = inside.groupBy("source", _digit(level).alias("digit")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
         running = Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         sums = histogram.withColumn("through", F.sum("words").over(running)).withColumnRenamed("source", "_source")
         joined = state.join(sums, state["source"].eqNullSafe(sums["_source"]), "left")
         # The buckets that fit whole, and the first one that doesn't: the boundary.
         before = F.coalesce(F.max(F.when(F.col("through") <= F.col("rest"), F.col("through"))), F.lit(0))
-        boundary = F.min(F.when(F.col("through") > F.col("rest"), F.struct("digit", "words")))
+        boundary = F.min(F.when(F.col("through") > F.col("rest"), F.struct("digit", "words", "rows")))
         found = joined.groupBy("source", "source_size", "target", "epochs", "rest", "upto").agg(
             before.alias("before"), boundary.alias("b"), (F.max("digit") + 1).alias("last")
         )
         digit = F.coalesce(F.col("b.digit"), F.col("last"), F.lit(0)).cast("long")
         rest = F.col("rest") - F.col("before")
-        if level == LEVELS - 1:  # take or leave the boundary, whichever is nearer
-            digit = digit + F.when(F.coalesce(F.col("b.words"), F.lit(0)) < 2 * rest, 1).otherwise(0)
         upto = F.col("upto") + F.shiftleft(digit, shift)
-        state = cut(found.select("source", "source_size", "target", "epochs", rest.alias("rest"), upto.alias("upto")))
+        each = F.col("b.words") / F.col("b.rows")  # at the last level the boundary's rows are alike
+        whole = F.floor(rest / each)
+        more = F.coalesce(whole + F.when(each < 2 * (rest - whole * each), 1).otherwise(0), F.lit(0)).cast("long")
+        state = cut(found.select("source", "source_size", "target", "epochs", rest.alias("rest"), upto.alias("upto"), more.alias("more")))
     return state.drop("rest")
 
 
-def _copies() -> Column:
-    return F.col("epochs") + F.when((F.col("h") < F.col("upto")) & (F.col("epochs") < MAX_EPOCHS), 1).otherwise(0)
+def _taken(rows: DataFrame, state: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, source_size, target, epochs and times (how often it is taken) of every row (source, h, …)."""
+    met = _with_source(rows, state)
+    last = (F.col("h") == F.col("upto")) & (F.col("more") > 0) & (F.col("epochs") < MAX_EPOCHS)
+    wanted = [*columns, "source_size", "target"]
+    once = F.when((F.col("h") < F.col("upto")) & (F.col("epochs") < MAX_EPOCHS), 1).otherwise(0)
+    most = met.filter(~last).select(*wanted, (F.col("epochs") + once).alias("times"))
+    # Rows of the last hash are numbered within each partition, after those of the partitions before.
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    edge = cut(met.filter(last).select(*wanted, "epochs", "more", name.alias("_name"), F.spark_partition_id().alias("_part")))
+    counts = edge.groupBy("_name", "_part").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = edge.withColumn("_id", F.monotonically_increasing_id()).join(counts.withColumn("_before", before), ["_name", "_part"])
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_name", "_part").orderBy("_id"))
+    numbered = placed.withColumn("_number", number)
+    return most.unionByName(numbered.select(*wanted, (F.col("epochs") + F.when(F.col("_number") <= F.col("more"), 1).otherwise(0)).alias("times")))
 
 
 def _sized(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
@@ -125,8 +145,8 @@ def _hash(doc_id: str, text: str) -> Column:
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``df``."""
     slim = cut(_sized(df, doc_id, source, text))
-    taken = (_copies() * F.col("size")).cast("long").alias("taken")
-    return _with_source(slim, thresholds(slim)).select("doc_id", "size", "source_size", "target", taken)
+    taken = (F.col("times") * F.col("size")).cast("long").alias("taken")
+    return _taken(slim, thresholds(slim), "doc_id", "size").select("doc_id", "size", "source_size", "target", taken)
 
 
 def mixed_rows(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -136,9 +156,5 @@ def mixed_rows(df: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     """
     state = thresholds(cut(_sized(df, doc_id, source, text)))
     rows = df.select(F.struct("*").alias("_row"), F.col(source).alias("source"), _hash(doc_id, text).alias("h"))
-    return (
-        _with_source(rows, state)
-        .filter(_copies() > 0)
-        .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), _copies())))
-        .select("_row.*")
-    )
+    found = _taken(rows, state, "_row").filter(F.col("times") > 0)
+    return found.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select("_row.*")

@@ -159,14 +159,16 @@ ORACLES = {
                    FROM l),
              e AS (SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS epochs,
                           target - floor(target / greatest(source_size, 1)) * source_size AS rest FROM t),
-             c AS (SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS through
+             c AS (SELECT source, h, sum(size) AS words, count(*) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS through
                    FROM d GROUP BY source, h),
-             x AS (SELECT c.source, h, epochs < 3 AND (through <= rest
-                          OR (through - words <= rest AND words < 2 * (rest - (through - words)))) AS more
-                   FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source)
-        SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken
-        FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
-             JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h""",
+             y AS (SELECT c.source, h, epochs, n, rest - (through - words) AS left_, words / n AS each, through <= rest AS whole
+                   FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source),
+             x AS (SELECT source, h, CASE WHEN epochs >= 3 THEN 0 WHEN whole THEN n WHEN left_ < 0 THEN 0
+                          ELSE floor(left_ / each) + CASE WHEN each < 2 * (left_ - floor(left_ / each) * each) THEN 1 ELSE 0 END END AS more FROM y),
+             k AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS number FROM d)
+        SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN number <= more THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+             JOIN x ON k.source IS NOT DISTINCT FROM x.source AND k.h = x.h""",
     "op7_exact_groups": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
                    FROM documents),

@@ -245,13 +245,15 @@ def fit_characters(df: DataFrame, text: str = "text") -> CharModel:
 
 
 def sample_labelled(df: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text, toxic of ``rows`` labelled rows of either label, by smallest hash of doc_id."""
+    """doc_id, text, toxic of ``rows`` labelled rows of either label, by smallest hash of doc_id; of the rows of a doc_id one."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [
         known.filter((F.col("toxic") == 1) == is_toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         for is_toxic in (True, False)
     ]
-    return df.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))  # partly on the map side, so an id of very many rows is no burden
+    return df.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), one.alias("text"))
 
 
 def _choose_stems(found: list, n_toxic: int, n_clean: int) -> list[str]:

@@ -75,7 +75,9 @@ def test_training_rows_are_bounded_and_labelled(docs, spark):
     df = docs([text("aa", i) for i in range(30)], lang="aa").unionByName(docs([None, "x"], lang=None))
     rows = L.training_rows(df, 5).collect()
     assert [r.lang for r in rows] == ["aa"] * 5
-    assert all(len(r.pieces) <= L.TRAIN_PIECES and max(map(len, r.pieces)) <= L.PIECE for r in rows)
+    assert all(r.text in {text("aa", i) for i in range(30)} for r in rows)
+    hot = docs([(7, f"{text('aa', i)} {i}") for i in range(10_000)] + [(None, "x y"), (None, "z w")], lang="aa")
+    assert sorted((r.doc_id is None, r.doc_id) for r in L.training_rows(hot, 5).collect()) == [(False, 7), (True, None)]
     empty = L.fit(df.filter("lang = 'none'"))
     assert {r.lang_pred for r in L.identify(df, empty).collect()} == {"und"}
     assert L.identify(df.limit(0), empty).collect() == []

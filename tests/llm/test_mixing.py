@@ -63,3 +63,27 @@ def test_empty_and_wordless_tables(spark):
     df = spark.createDataFrame([(1, "a", ""), (2, None, None)], "doc_id long, source string, text string")
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in mixing.mix(df).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
     assert mixing.mix(df.limit(0)).collect() == [] == mixing.mixed_rows(df.limit(0)).collect()
+
+
+def test_equal_rows_are_cut_near_the_target(spark):
+    """Sources of copies of one row, and of one id with several rows: what is taken misses the target by half a row at most."""
+    rows = [(1, "a", "five words in this row")] * 100 + [(2, "b", "x y z")] * 700 + [(None, "c", "one two")] * 50 + [(i, "d", "w " * (i % 7)) for i in range(300)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, source string, text string, _name int").repartition(5)
+    got = mixing.mix(df).collect()
+    size = {"a": 5, "b": 3, "c": 2}
+    words = {s: sum(len(t.split()) for _, x, t in rows if x == s) for s in "abcd"}
+    want = targets(words)
+    for s, each in size.items():
+        taken = sum(r.taken for r in got if r.source_size == words[s])
+        assert abs(taken - want[s]) <= each / 2 and len({r.taken for r in got if r.source_size == words[s]}) <= 2
+    assert len(got) == len(rows)
+    kept = mixing.mixed_rows(df)
+    assert kept.columns == df.columns and {r.source: r.n for r in kept.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}["b"] == sum(r.taken for r in got if r.source_size == words["b"])
+
+
+def test_very_many_equal_rows(spark):
+    """100,000 copies of one row in several partitions, numbered without a window over them all."""
+    df = spark.range(0, 100_000, 1, 8).select(F.lit(1).alias("doc_id"), F.lit("a").alias("source"), F.lit("x y").alias("text"))
+    df = df.unionByName(spark.range(30_000).select(F.col("id").cast("int").alias("doc_id"), F.lit("b").alias("source"), F.lit("z").alias("text")))
+    found = mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect()
+    assert len(found) == 2 and all(abs(r.n - r.target) <= 1 for r in found)

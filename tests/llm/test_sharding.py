@@ -41,3 +41,17 @@ def test_repeated_rows_null_keys_and_empty_tables(docs):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
     assert sharding.shard_table(df.limit(0), [1.0] * 4).collect() == []
+
+
+def test_very_many_equal_rows_are_dealt_in_chunks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import sharding
+
+    df = spark.range(0, 100_000, 1, 8).select(F.when(F.col("id") < 70_000, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    monkeypatch.setattr(sharding, "CHUNK", 1000)
+    rows = sharding.shard_table(df, [1.0] * 4, [1.0] * 5)
+    per = rows.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("lo"), F.max("slot").alias("hi")).collect()
+    assert sum(r.n for r in per) == 100_000 and all(r.d == r.n and (r.lo, r.hi) == (0, r.n - 1) for r in per)
+    hot = rows.filter("doc_id = 5").agg(F.count("*").alias("n"), (F.max("slot") - F.min("slot")).alias("span")).first()
+    assert (hot.n, hot.span) == (70_000, 69_999)

@@ -112,3 +112,12 @@ def _grams(text):
     codes = [sum(v * T.SYMBOLS ** (3 - k) for k, v in enumerate(s[i : i + 4])) for i in range(len(s) - 3)]
     values, counts = np.unique(codes, return_counts=True)
     return values, counts.astype(float)
+
+
+def test_the_sample_is_bounded_in_rows(docs, spark):
+    """An id of very many rows gives one, the same in every order."""
+    rows = [(7, f"text {i}") for i in range(10_000)] + [(8, "other"), (9, None)]
+    labels = spark.createDataFrame([(7, 1), (8, 0), (8, 1), (9, 0), (None, 1)], "doc_id long, toxic int")
+    first = sorted(map(tuple, T.sample_labelled(docs(rows), labels, 1500).collect()))
+    assert [(d, t) for d, t, _ in first] == [(7, 1), (8, 1), (9, 0)]
+    assert sorted(map(tuple, T.sample_labelled(docs(rows[::-1]).repartition(5), labels, 1500).collect())) == first
