@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import cut, slices, text_or_empty
 
 TRAIN_ROWS = 1500
-MAX_STEMS = 64
 STEM_LENGTHS = range(4, 11)
 ORDER = 4
 THRESHOLD = 0.3
@@ -267,7 +266,7 @@ def _choose_stems(found: list, n_toxic: int, n_clean: int) -> list[str]:
         gain = len(docs - covered)
         return gain * math.log((gain / n_toxic + 1e-3) / (clean / max(n_clean, 1) + 1e-3)), len(docs), -len(stem), stem
 
-    while rows and len(chosen) < MAX_STEMS:
+    while rows:
         rows = [r for r in rows if len(r[1] - covered) >= least and not any(r[0].startswith(s) for s in chosen)]
         if not rows:
             break
