@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import text as X
 from ..functions.types import nominal_names
 from ..operators import blocks, budgets, closure, conventions, duplicates, gates, ranges, ratchets, sequences, trees
 from ..operators.asof import as_of
-from ..sources import history, overlay, tables
+from ..sources import churn, diffs, history, overlay, tables
 from ..sources.tables import table
 from .registry import query
 
@@ -328,6 +329,16 @@ def history_append(spark: SparkSession, d: str) -> DataFrame:
     return history.read(spark, folder, events.schema)
 
 
+@query("""SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-19' AND ts < TIMESTAMP '2024-01-29' GROUP BY 1, 2""")
+def churn_advanced(spark: SparkSession, d: str) -> DataFrame:
+    """Changes in a window of ten days, kept over three advances of the day, one of them twice."""
+    folder = f"{tables.shared_folder(spark)}/churn-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("user_id", "event_type", "ts")
+    for day in (18, 23, 23, 28):
+        churn.advance(events, folder, date(2024, 1, day), 10, ["user_id", "event_type"], "ts")
+    return churn.current(spark, folder, date(2024, 1, 28), events.select("user_id", "event_type").schema)
+
+
 @query("""
     WITH n AS (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) AS a, upper(split_part(p_name, ' ', 2)) AS b FROM part)
     SELECT p_partkey, array_to_string(CASE p_partkey % 10
@@ -615,26 +626,74 @@ def history_csv(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", X.csv_line(who, F.col("n"), F.col("last")).alias("line"))
 
 
-@query("""
-    WITH n AS (SELECT * FROM (VALUES ('XMLReader'), ('AMeter'), ('iPhoneModel'), ('GetXY'), ('CustomerOrderProvider'), ('Single'), ('lower')) v(name)),
-         c AS (SELECT name, i, name[i] AS ch, name[i - 1] AS before, name[i + 1] AS after FROM n, unnest(generate_series(1, length(name))) g(i)),
-         f AS (SELECT *, i = 1 OR (regexp_full_match(ch, '\\p{Lu}') AND (NOT regexp_full_match(before, '\\p{Lu}') OR regexp_full_match(after, '\\p{Ll}'))) AS cut FROM c),
-         g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY name ORDER BY i) AS w FROM f),
-         p AS (SELECT name, w, string_agg(ch, '' ORDER BY i) AS word FROM g GROUP BY 1, 2),
-         l AS (SELECT name, list(word ORDER BY w) AS ws FROM p WHERE regexp_matches(word, '^\\p{Lu}') GROUP BY 1)
-    SELECT name, suffix FROM l, unnest(CASE WHEN len(ws) >= 3 THEN [ws[-2] || ws[-1], ws[-1]] WHEN len(ws) = 2 THEN [ws[-1]] ELSE [] END) u(suffix)""".replace("\\\\", "\\"))
+_NAMES = "CASE p_partkey % 5 WHEN 0 THEN 'XML' || a || b WHEN 1 THEN 'i' || a || 'Model' WHEN 2 THEN a WHEN 3 THEN a || 'To' || upper(b) || 'Text' ELSE lower(a) || b || 'A' || a || '2' END"
+
+
+@query(f"""
+    WITH n AS (SELECT p_partkey, {_NAMES} AS name FROM (SELECT p_partkey, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS a, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS b FROM part)),
+         c AS (SELECT p_partkey, name, i, name[i] AS ch, name[i - 1] AS before, name[i + 1] AS after FROM n, unnest(generate_series(1, length(name))) g(i)),
+         f AS (SELECT *, i = 1 OR (regexp_full_match(ch, '\\p{{Lu}}') AND (NOT regexp_full_match(before, '\\p{{Lu}}') OR regexp_full_match(after, '\\p{{Ll}}'))) AS cut FROM c),
+         g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY p_partkey ORDER BY i) AS w FROM f),
+         p AS (SELECT p_partkey, w, string_agg(ch, '' ORDER BY i) AS word FROM g GROUP BY 1, 2),
+         l AS (SELECT p_partkey, list(word ORDER BY w) AS ws FROM p WHERE regexp_matches(word, '^\\p{{Lu}}') GROUP BY 1)
+    SELECT p_partkey, suffix FROM l, unnest(CASE WHEN len(ws) >= 3 THEN [ws[-2] || ws[-1], ws[-1]] WHEN len(ws) = 2 THEN [ws[-1]] ELSE [] END) u(suffix)""")
 def camel_suffixes(spark: SparkSession, d: str) -> DataFrame:
-    names = ["XMLReader", "AMeter", "iPhoneModel", "GetXY", "CustomerOrderProvider", "Single", "lower"]
-    frame = spark.createDataFrame([(n,) for n in names], "name string")
-    return frame.select("name", F.explode(X.camel_suffixes(F.col("name"))).alias("suffix"))
+    """The suffixes of CamelCase names made of the parts' words."""
+    word = lambda i: F.initcap(F.split_part("p_name", F.lit(" "), F.lit(i)))
+    names = table(spark, d, "part").select("p_partkey", word(1).alias("a"), word(2).alias("b")).select("p_partkey", F.expr(_NAMES).alias("name"))
+    return names.select("p_partkey", F.explode(X.camel_suffixes(F.col("name"))).alias("suffix"))
+
 
+#: Every line of a document as a line of a patch: its number, its sign and its text.
+_PATCHED = """
+    l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+    p AS (SELECT doc_id, i, ['+', '-', ' '][(i + doc_id // 2) // 2 % 3 + 1] AS sign, ' ' || regexp_replace(x, '\\r$', '') AS text FROM l),
+    c AS (SELECT *, doc_id % 90 + 1 + count(*) FILTER (sign <> '-') OVER (PARTITION BY doc_id ORDER BY i) - CASE WHEN sign = '-' THEN 0 ELSE 1 END AS new_line FROM p)"""
 
-@query("""SELECT * FROM (VALUES ('C.cs', 20, '+', '++i;'), ('C.cs', 21, '-', 'var old = 1;'), ('C.cs', 21, '+', 'var first = Compute();'),
-                               ('C.cs', 22, '+', 'return second;'), ('C.cs', 41, '+', 'late();'), (NULL, 0, '-', 'gone();')) v(path, new_line, sign, text)""")
+
+def _patches(spark: SparkSession, d: str) -> DataFrame:
+    """A patch per document, as version control prints it."""
+    sign = lambda i: F.try_element_at(F.array(F.lit("+"), F.lit("-"), F.lit(" ")), (F.floor((i + 1 + F.expr("doc_id div 2")) / 2) % 3 + 1).cast("int"))
+    body = F.array_join(F.transform(X.lines_of(F.col("text")), lambda x, i: F.concat(sign(i), F.lit(" "), x)), "\n")
+    head = F.format_string("commit %07d subject %d\ndiff --git a/d.cs b/d.cs\n--- a/d%d.cs\n+++ b/d%d.cs\n@@ -1,9 +%d,9 @@ class D\n", "doc_id", "doc_id", "doc_id", "doc_id", F.col("doc_id") % 90 + 1)
+    docs = table(spark, d, "documents")
+    return diffs.diff_lines(docs.select(F.col("doc_id").alias("source"), F.concat(head, body).alias("text")), "source", "text")
+
+
+@query(f"""
+    WITH {_PATCHED} SELECT 'd' || doc_id || '.cs' AS path, new_line::INT AS new_line, sign, text FROM c WHERE sign <> ' '""")
 def diff_line_numbers(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.diffs import diff_lines
+    """Added and removed lines of patches made of the documents, with their place on the new side."""
+    return _patches(spark, d).select("path", "new_line", "sign", "text")
+
 
-    diff = ("diff --git a/C.cs b/C.cs\nindex 1..2\n--- a/C.cs\n+++ b/C.cs\n@@ -10,3 +20,4 @@\n+++i;\n-var old = 1;\n--- not a line\n+var first = Compute();\n"
-            "\\ No newline at end of file\n+return second;\n@@ -30 +40,2 @@\n context\n+late();\n--- a/D.cs\n+++ /dev/null\n@@ broken\n-gone();")
-    lines = spark.createDataFrame([("d", diff)], "source string, text string")
-    return diff_lines(lines, "source", "text").select("path", "new_line", "sign", "text")
+@query(f"""
+    WITH {_PATCHED}, g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, sign ORDER BY i) AS run FROM c WHERE sign <> ' ')
+    SELECT doc_id, sign, min(new_line)::INT AS first_line, string_agg(text, chr(10) ORDER BY i) AS lines FROM g GROUP BY doc_id, sign, run""")
+def patch_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of added and of removed lines of the same patches."""
+    lines = _patches(spark, d)
+    added = diffs.added_runs(lines)
+    number = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("long").alias("doc_id")
+    plus = added.select(number("path"), F.lit("+").alias("sign"), "first_line", F.array_join("lines", "\n").alias("lines"))
+    minus = lines.filter("sign = '-'").groupBy("source", "run").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("r"), F.min("new_line").alias("first_line"))
+    return plus.unionByName(minus.select(F.col("source").alias("doc_id"), F.lit("-").alias("sign"), "first_line", F.array_join("r.text", "\n").alias("lines")))
+
+
+@query("""
+    WITH t AS (SELECT 'Src/F' || o_orderkey % 500 || '.cs' AS path, o_orderkey % 40 AS added FROM orders WHERE o_orderkey % 13 > 0 AND o_orderkey % 17 > 0),
+         u AS (SELECT 'src/f' || page_id || '.CS' AS path, CASE WHEN page_id % 10 = 0 OR html = '' THEN 0
+                   ELSE len(regexp_extract_all(html, chr(10))) + CASE WHEN html[-1] = chr(10) THEN 0 ELSE 1 END END AS added FROM pages),
+         m AS (SELECT DISTINCT 'P' || p_partkey % 7 AS project, upper('src/f' || p_partkey % 800 || '.cs') AS key FROM part)
+    SELECT project, count(*) AS files, sum(added)::BIGINT AS added FROM (FROM t UNION ALL FROM u) x JOIN m ON m.key = upper(x.path) GROUP BY 1""")
+def added_by_project(spark: SparkSession, d: str) -> DataFrame:
+    """Added lines of a numstat's files, binary and malformed ones skipped, and of untracked files, by the projects that list them."""
+    k = F.col("o_orderkey")
+    line = F.when(k % 13 == 0, F.format_string("-\t-\tSrc/F%d.cs", k % 500)).when(k % 17 == 0, F.lit("3\tno path")).otherwise(F.format_string("%d\t2\tSrc/F%d.cs", k % 40, k % 500))
+    tracked = diffs.numstat(table(spark, d, "orders").select(line.alias("value")))
+    pages = table(spark, d, "pages")
+    untracked = pages.select(F.format_string("src/f%d.CS", "page_id").alias("path"), F.when(F.col("page_id") % 10 > 0, F.col("html")).alias("text"))
+    p = F.col("p_partkey")
+    members = table(spark, d, "part").select(F.format_string("P%d", p % 7).alias("project"), F.format_string("SRC/f%d.cs", p % 800).alias("path"))
+    found = diffs.in_project(diffs.added_counts(tracked, untracked), members)
+    return found.groupBy("project").agg(F.count("*").alias("files"), F.sum("added").alias("added"))

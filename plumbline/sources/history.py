@@ -21,14 +21,15 @@ from ..operators.ranges import change_log
 CSV = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""', "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether the folder exists, in whatever store it is."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def _last_before(spark: SparkSession, folder: str, batch: int, kinds: str):
     """The ``last`` row of the newest batch before this one."""
-    if not _there(spark, f"{folder}/last"):
+    if not there(spark, f"{folder}/last"):
         return None
     before = spark.read.schema(f"order struct<{kinds}>, key string, batch long").parquet(f"{folder}/last").filter(F.col("batch") < batch)
     return before.orderBy(F.desc("batch")).first()
