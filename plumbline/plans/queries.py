@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexer
 from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.types import nominal_names
@@ -697,3 +698,34 @@ def added_by_project(spark: SparkSession, d: str) -> DataFrame:
     members = table(spark, d, "part").select(F.format_string("P%d", p % 7).alias("project"), F.format_string("SRC/f%d.cs", p % 800).alias("path"))
     found = diffs.in_project(diffs.added_counts(tracked, untracked), members)
     return found.groupBy("project").agg(F.count("*").alias("files"), F.sum("added").alias("added"))
+
+
+#: A document as source text: some letters and pairs of letters become quotes, escapes and the ends of comments.
+_CODE = r"translate(replace(replace(replace(coalesce(text, ''), 'ra', '/*'), 'to', '*/'), 'sl', '//'), 'qzxjk', concat('\"', chr(39), chr(92), '@#'))".replace(r"\"", '"')
+#: The rules of strings again, without back references and possessive loops, which other engines' patterns lack.
+_STRINGS = (
+    r'\$*"""+[\s\S]*?(?:"""+|\z)',
+    r'(?:\$@|@\$|@)"[^"]*(?:""[^"]*)*(?:"|\z)',
+    r'\$"(?:[^"\\{\r\n]|\\[^\r\n]|\{\{|\{[^{}"\r\n]*(?:"[^"\r\n]*"[^{}"\r\n]*)*\}|\{)*"?',
+    r'"[^"\\\r\n]*(?:\\[^\r\n][^"\\\r\n]*)*"?',
+)
+_LEXEMES = "|".join([*lexer.RULES[:5], *_STRINGS, *lexer.RULES[9:]]).replace("'", "''")
+
+
+@query(rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_CODE}, '{_LEXEMES}') AS l FROM documents),
+         e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d),
+         f AS (SELECT *, len(regexp_extract_all(x, '\r\n?|\n')) AS ends, sum(ends) OVER (PARTITION BY doc_id ORDER BY i) - ends AS line FROM e),
+         t AS (SELECT *, CASE WHEN list_contains({list(lexer.KEYWORDS)}, x) THEN x WHEN regexp_matches(x, '^@?[\p{{L}}\p{{Nl}}_]') THEN 'name' WHEN regexp_matches(x, '^\.?[0-9]') THEN 'number'
+                      WHEN regexp_matches(x, '^(\$+@?|@\$)"') THEN 'interpolated' WHEN regexp_matches(x, '^@?"') THEN 'string' WHEN x LIKE '''_%' THEN 'char' ELSE x END AS kind
+               FROM f WHERE NOT regexp_matches(x, '^([ \t\f\x0B\r\n]|//|/\*|#.)'))
+    SELECT doc_id, count(i) AS n_tokens, count(DISTINCT line) AS n_lines, count(*) FILTER (kind = 'string') AS n_strings, count(*) FILTER (kind = 'char') AS n_chars,
+           sha256(coalesce(string_agg(kind || chr(1) || ltrim(x, '@'), chr(2) ORDER BY i), '')) AS body_hash
+    FROM d LEFT JOIN t USING (doc_id) GROUP BY doc_id""")
+def lexed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens, their lines and the body's hash of documents that are read as source text."""
+    read = table(spark, d, "documents").select("doc_id", lexer.lexemes(F.expr(_CODE)).alias("x"))
+    read = read.select("doc_id", lexer.tokens(F.col("x")).alias("t"))
+    of = lambda k: F.size(F.filter("t", lambda t: t["kind"] == k)).cast("long").alias(f"n_{k}s")
+    found = (F.size("t").cast("long").alias("n_tokens"), lexer.token_lines(F.col("t")).alias("n_lines"), of("string"), of("char"))
+    return read.select("doc_id", *found, lexer.body_hash(F.col("t")).alias("body_hash"))

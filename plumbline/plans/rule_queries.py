@@ -118,6 +118,17 @@ FACTS = {
         SELECT 'd' || CAST(doc_id AS STRING) || '.cs' AS path, CAST(doc_id % 50 + 1 AS INT) AS first_line, split(coalesce(text, ''), '\n') AS lines FROM {documents} WHERE doc_id % 2 = 1"""),
 }
 FACTS["changed_types"] = (("part",), f"SELECT upper(path) AS path FROM ({FACTS['type_decl'][1]}) WHERE k % 3 = 0")
+#: Bodies as source text, with what a reader must not count in a string and in comments; ``k`` tells how many branches there are.
+_BODY = """'{ string s = "if (a && b) ? c : d"; // while (x)' || chr(10) || '/* case 1: ' || chr(10) || ' */' || CASE WHEN k % 3 = 0 THEN ' if (a && b || c) { }' ELSE '' END
+    || repeat(' while (x) { y(); }', CAST(k % 4 AS INT)) || CASE WHEN k % 5 = 0 THEN ' do { } while (z);' ELSE '' END || ' int? n = a?.b ?? c; var r = n switch {'
+    || repeat(' 1 => x => 2,', CAST(k % 6 AS INT)) || ' _ => 0 };' || CASE WHEN k % 7 = 0 THEN ' return p ? q : r;' ELSE ' goto case 3;' END || ' }'"""
+FACTS["member_source"] = (("lineitem",), f"""
+    SELECT 'P' || CAST(o % 7 AS STRING) AS project, 'src/T' || CAST(o AS STRING) || '.cs' AS path, 'T' || CAST(o AS STRING) AS type_name, 'Go' AS name, CAST(l AS INT) AS arity,
+           CAST(l * 10 AS INT) AS line, 'method' AS kind, k, CASE WHEN k % 11 > 0 THEN {_BODY.replace("{", "{{").replace("}", "}}")} END AS body
+    FROM (SELECT l_orderkey AS o, l_linenumber AS l, CAST(min(l_partkey) AS BIGINT) AS k FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber)""")
+FACTS["head_source"] = (("lineitem",), f"""
+    SELECT 'T' || CAST(o AS STRING) AS type_name, 'Go' AS name, CAST(l AS INT) AS arity, k, {_BODY.replace("{", "{{").replace("}", "}}")} AS body
+    FROM (SELECT l_orderkey AS o, l_linenumber AS l, CAST(min(l_suppkey) AS BIGINT) AS k FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) WHERE o % 4 > 0""")
 _TESTS = """
     SELECT 'tests/T' || CAST(o_orderkey AS STRING) || 'Tests.cs' AS path, 'Test' || CAST(o_orderkey AS STRING) AS test, {attributes} AS attributes, o_custkey % 9 <> 0 AS has_assertion,
            CAST(o_custkey AS STRING) AS body_hash, CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_custkey AS STRING) ELSE 'x' END AS head_hash,
@@ -251,6 +262,11 @@ _rule("arch022_complexity", "ARCH022", f"""
     SELECT CASE WHEN n IS NULL THEN 'ARCH022' ELSE 'ARCH023' END AS rule_id, CASE WHEN n IS NULL THEN 'warning' ELSE 'error' END AS severity, project, path, line, type_name || '.' || name AS subject,
            before::VARCHAR AS before, complexity::VARCHAR AS after, coalesce(n, 0)::BIGINT::VARCHAR AS churn
     FROM w LEFT JOIN (SELECT key, n FROM c, t WHERE n >= least) x ON x.key = upper(path)""", "member head_member churn", {"complexity_ratchet_allowed_increase": "1"}, "before after churn")
+_rule("arch022_from_source", "ARCH022", f"""
+    , m AS (SELECT *, CASE WHEN body IS NULL THEN 0 ELSE 3 + CASE WHEN k % 3 = 0 THEN 3 ELSE 0 END + k % 4 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + k % 6 + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END END AS c FROM member_source),
+      h AS (SELECT *, 3 + CASE WHEN k % 3 = 0 THEN 3 ELSE 0 END + k % 4 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + k % 6 + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS b FROM head_source)
+    {_row("ARCH022", "type_name || '.' || name", severity="warning", before="b", after="c")} FROM m JOIN h USING (type_name, name, arity) WHERE c > b + 2""",
+    "", {"complexity_ratchet_allowed_increase": "2"}, "before after", member="member_source", head_member="head_source")
 _rule("arch024_inferred_conventions", "ARCH024", f"""
     , y AS (SELECT *, regexp_extract_all(name, '[A-Z][a-z0-9]*') AS ws, string_split(path, '/')[:-2] AS dirs FROM type_decl WHERE NOT is_nested),
       s AS (SELECT k, project, path, name, start_line, unnest([{{'level': 0, 'grp': CASE WHEN len(ws) > 2 THEN ws[-2] || ws[-1] END}}, {{'level': 1, 'grp': ws[-1]}}], recursive := true),

@@ -7,7 +7,8 @@ source_file  project, path, n_lines, is_generated, is_test
 type_decl    project, path, name, arity, namespace, kind, is_nested, is_sealed, is_static, accessibility, base,
              interfaces (array), start_line, non_blank_lines
 member       project, path, type_name, type_kind, kind, name, arity, ordinal, line, accessibility, has_body, complexity,
-             non_blank_lines, body_lines, body_hash, tokens (array of int), imposed_externally, member_id
+             non_blank_lines, body_lines, body_hash, tokens (array of kinds), imposed_externally, member_id; instead of
+             complexity, body_lines, body_hash and tokens it may have body, the source text (so may head_member)
 supertype    project, name, parent: is-a edges besides those of type_decl, of types declared elsewhere (optional)
 overrides    project, member_id, overridden           implements  project, member_id, interface_member
              (both optional: with them ARCH015 finds imposed names itself; without, ``imposed_externally`` tells)
@@ -52,6 +53,9 @@ def written_by_hand(facts: dict) -> dict:
 def run(facts: dict, options: dict[str, str], only: list[str] | None = None):
     """The union of all rules' diagnostics; a rule whose options are unset, or whose facts are missing, stays silent."""
     facts = written_by_hand(facts)
+    for name in ("member", "head_member"):
+        if name in facts and "body" in facts[name].columns:
+            facts = {**facts, name: code.from_source(facts[name])}
     out = None
     for rule, (needs, f) in RULES.items():
         if (only is None or rule in only) and all(n in facts for n in needs):

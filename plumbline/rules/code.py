@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexer as L
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import blocks, conventions, duplicates, gates, ratchets, sequences
@@ -33,6 +34,20 @@ def interpolations(facts: dict, options: dict) -> DataFrame:
     return report(hits, "ARCH018", F.lit("$"), F.col("path"), F.col("line"), F.col("project"))
 
 
+def from_source(members: DataFrame) -> DataFrame:
+    """Members with what their ``body``, the source text, tells: complexity, body_hash, body_lines and tokens (its kinds).
+
+    Columns of these names that are there already give way; a member without a body has complexity 0 and nulls.
+    """
+    own = members.drop("complexity", "body_hash", "body_lines", "tokens")
+    read = own.withColumn("_tokens", L.tokens(L.lexemes(F.col("body"))))
+    found = F.col("_tokens")
+    return read.select(
+        *own.columns, X.cyclomatic(L.branches(found)).alias("complexity"), L.body_hash(found).alias("body_hash"),
+        F.when(found.isNotNull(), L.token_lines(found)).alias("body_lines"), found["kind"].alias("tokens"),
+    ).drop("body")
+
+
 def duplicate_bodies(facts: dict, options: dict) -> DataFrame:
     """A later body that repeats an earlier one: each is reported once, with the first pair in order of length and place."""
     least = bounded_int(options, "duplicate_code_min_tokens", 30, 1)
