@@ -60,23 +60,29 @@ def is_trivia(x: Column) -> Column:
 
 def kind(x: Column) -> Column:
     """A token's kind: a keyword or an operator is its own kind, names and literals are of one kind each."""
-    # A lone quote is no character, a lone @ or $ no string; no other token begins with these.
-    quoted = F.rlike(x, F.lit(r'^[$@]*"'))
-    return (
-        F.when(x.isin(*KEYWORDS), x)
-        .when(F.rlike(x, F.lit(r"^@?[\p{L}\p{Nl}_]")), F.lit("name"))
-        .when(F.rlike(x, F.lit(r"^\.?[0-9]")), F.lit("number"))
-        .when(quoted & F.startswith(x, F.lit("$")) | F.startswith(x, F.lit("@$")), F.lit("interpolated"))
-        .when(quoted, F.lit("string"))
-        .when(F.startswith(x, F.lit("'")) & (F.length(x) > 1), F.lit("char"))
+    first = F.substring(x, 1, 1)
+    # Most tokens are told by their first character; patterns are tried on the others.
+    rest = (
+        F.when(F.rlike(x, F.lit(r"^@?[\p{L}\p{Nl}_]")), F.lit("name"))
+        .when(F.rlike(x, F.lit(r"^\.[0-9]")), F.lit("number"))
+        .when(F.rlike(x, F.lit(r'^(\$+@?|@\$)"')), F.lit("interpolated"))
+        .when(F.rlike(x, F.lit(r'^@?"')), F.lit("string"))
+        .when((first == "'") & (F.length(x) > 1), F.lit("char"))
         .otherwise(x)
     )
+    return (
+        F.when(first.between("a", "z"), F.when(x.isin(*KEYWORDS), x).otherwise(F.lit("name")))
+        .when(first.isin(*"(){}[];,=+-*/%<>!&|?:"), x)
+        .when(first.between("A", "Z"), F.lit("name"))
+        .when(first.between("0", "9"), F.lit("number"))
+        .otherwise(rest)
+    )
 
 
 def tokens(found: Column) -> Column:
     """kind, text and line (from 1) of the tokens among lexemes, in order."""
     # A token leaves a mark on the line where it starts; what is left of the text besides are line ends.
-    ends = lambda x: F.regexp_replace(F.regexp_replace(x, r"\r\n?", "\n"), r"[^\n]+", "")
+    ends = lambda x: F.when(F.contains(x, F.lit("\n")) | F.contains(x, F.lit("\r")), F.regexp_replace(F.regexp_replace(x, r"\r\n?", "\n"), r"[^\n]+", "")).otherwise(F.lit(""))
     marks = F.array_join(F.transform(found, lambda x: F.concat(F.when(is_trivia(x), F.lit("")).otherwise(F.lit("*")), ends(x))), "")
     lines = F.flatten(F.transform(F.split(marks, "\n", -1), lambda m, i: F.array_repeat((i + 1).cast("int"), F.length(m))))
     return F.zip_with(
