@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from . import ranges
+
 
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Hashes of every ``k`` consecutive tokens, with repetitions."""
@@ -27,19 +30,8 @@ def exact_duplicates(df: DataFrame, id_: str, content: Column) -> DataFrame:
     return keyed.join(groups, "_key").select(id_, "first", "copies")
 
 
-def near_duplicate(
-    df: DataFrame, id_: str, tokens: Column, k: int = 5, similarity: int = 80, min_tokens: int = 0, length_window: bool = False,
-    within: str | None = None,
-) -> DataFrame:
-    """Pairs a < b of distinct contents whose shingle multisets overlap by ``similarity`` percent of the larger one.
-
-    Equal token sequences are one content, stood for by its smallest id (``exact_duplicates`` gives the members), so a
-    group of copies is never paired with itself.  Shingles that only one content has match nothing and go before anything
-    is gathered.  Candidates come from a prefix filter: with shingles ordered from rare to frequent, contents that overlap
-    enough share one among the first ``n - required + 1`` of either.  Frequent shingles are in hardly any prefix, so they
-    make no crowd, and nothing is lost.  Candidates are verified on the whole multisets.  With ``within``, a column, contents
-    are told apart and paired by its value only.
-    """
+def _bags(df: DataFrame, id_: str, tokens: Column, k: int, similarity: int, min_tokens: int, within: str | None) -> DataFrame:
+    """id, w, n, length, all (shingles that other contents have too, from rare to frequent, with counts) and prefix, by content."""
     scope = F.col(within) if within else F.lit(0)
     rows = df.select(F.col(id_).alias("id"), tokens.alias("tokens"), scope.alias("w")).filter(F.size("tokens") >= max(min_tokens, k))
     content = rows.groupBy("w", F.xxhash64("tokens").alias("_h"), F.sha2(F.array_join("tokens", "\x01"), 256).alias("_c")).agg(
@@ -56,8 +48,8 @@ def near_duplicate(
     frequency = counted.groupBy("shingle").agg(F.sum(F.least("c", F.lit(1))).alias("df")).filter("df > 1")
     entry = F.struct("df", "shingle", "c")
     bags = counted.join(frequency, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("all")).join(sizes, "id")
-    required = F.floor((F.col("n") * similarity + 99) / 100)
     alone = F.col("n") - F.aggregate("all", F.lit(0).cast("long"), lambda acc, e: acc + e["c"])  # occurrences before the shared ones
+    required = F.floor((F.col("n") * similarity + 99) / 100)
     start = F.struct(alone.cast("long").alias("before"), F.lit(0).alias("k"))
     ahead = F.aggregate(
         "all", start,
@@ -66,28 +58,86 @@ def near_duplicate(
             F.struct((acc["before"] + e["c"]).cast("long").alias("before"), (acc["k"] + 1).alias("k")),
         ).otherwise(acc),
     )["k"]
-    bags = bags.withColumn("prefix", F.slice("all", F.lit(1), ahead)).persist()
-    ends = bags.select("id", "w", "n", "length", F.explode("prefix.shingle").alias("shingle"))
-    keys = ["shingle", "w"] if within else ["shingle"]
-    left = ends.select(*keys, F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("length").alias("len_a"))
-    right = ends.select(*keys, F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("length").alias("len_b"))
-    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity)
-    if length_window:
-        fits = fits & (F.greatest("len_a", "len_b") * similarity <= F.least("len_a", "len_b") * 100)
-    pairs = left.join(right, keys).filter(fits).select("a", "b", "n_a", "n_b").distinct()
+    # Contents of which too little is shared have an empty prefix, and no use any more.
+    return written(bags.withColumn("prefix", F.slice("all", F.lit(1), ahead)).filter(F.size("prefix") > 0))
+
+
+def _fits(similarity: int, length_window: bool) -> Column:
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity
+    return fits & (F.greatest("len_a", "len_b") * similarity <= F.least("len_a", "len_b") * 100) if length_window else fits
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, similarity: int) -> DataFrame:
+    """a, b and similarity of the ``pairs`` that are similar, by their whole multisets."""
     # The k-th occurrence of a shingle as an item of its own: the overlap of multisets is that of sets of such items.
     bag = F.flatten(
         F.transform("all", lambda e: F.transform(F.sequence(F.lit(1), e["c"].cast("int")), lambda j: F.xxhash64(e["shingle"], j)))
     )
     items = bags.select("id", bag.alias("items"))
-    both = pairs.join(items.withColumnsRenamed({"id": "a", "items": "x"}), "a").join(
-        items.withColumnsRenamed({"id": "b", "items": "y"}), "b"
+    both = pairs.join(items.withColumnsRenamed({"id": "b", "items": "y"}), "b").join(
+        items.withColumnsRenamed({"id": "a", "items": "x"}), "a"
     )
     shared = F.size(F.array_intersect("x", "y"))
     percent = F.floor(shared * 100 / F.greatest("n_a", "n_b")).cast("long").alias("similarity")
     return both.select("a", "b", percent).filter(F.col("similarity") >= similarity)
 
 
+def near_duplicate(
+    df: DataFrame, id_: str, tokens: Column, k: int = 5, similarity: int = 80, min_tokens: int = 0, length_window: bool = False,
+    within: str | None = None,
+) -> DataFrame:
+    """Pairs a < b of distinct contents whose shingle multisets overlap by ``similarity`` percent of the larger one.
+
+    Equal token sequences are one content, stood for by its smallest id (``exact_duplicates`` gives the members), so a
+    group of copies is never paired with itself.  Shingles that only one content has match nothing and go before anything
+    is gathered.  Candidates come from a prefix filter: with shingles ordered from rare to frequent, contents that overlap
+    enough share one among the first ``n - required + 1`` of either.  Frequent shingles are in hardly any prefix, so they
+    make no crowd, and nothing is lost.  Candidates are verified on the whole multisets.  With ``within``, a column, contents
+    are told apart and paired by its value only.  All pairs of many variants are very many; ``first_near_duplicate`` makes few.
+    """
+    bags = _bags(df, id_, tokens, k, similarity, min_tokens, within)
+    ends = bags.select("id", "w", "n", "length", F.explode("prefix.shingle").alias("shingle"))
+    keys = ["shingle", "w"] if within else ["shingle"]
+    left = ends.select(*keys, F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("length").alias("len_a"))
+    right = ends.select(*keys, F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("length").alias("len_b"))
+    fits = (F.col("a") < F.col("b")) & _fits(similarity, length_window)
+    pairs = left.join(right, keys).filter(fits).select("a", "b", "n_a", "n_b").distinct()
+    return _verified(pairs, bags, similarity)
+
+
+def first_near_duplicate(
+    df: DataFrame, id_: str, tokens: Column, k: int = 5, similarity: int = 80, min_tokens: int = 0, length_window: bool = False,
+    within: str | None = None, ahead: int = 8,
+) -> DataFrame:
+    """The pairs of ``near_duplicate`` with the smallest ``a`` of each ``b``, without making all pairs first.
+
+    Holders of a prefix shingle are numbered by id.  Every content looks at the first holders of its shingles, then at those
+    ``ahead`` times further on, and so forth, until it has a partner and no shingle has a smaller id left to look at.  So
+    variants of one text cost a pair or a few each, however many they are; only a content whose candidates fail looks at more of
+    them.  There are as many rounds as it takes powers of ``ahead`` to reach the farthest holder that is looked at; each is a
+    written table.  A frequent ``a`` is left to the engine's splitting of skewed joins.
+    """
+    bags = _bags(df, id_, tokens, k, similarity, min_tokens, within)
+    spread = bags.filter("w IS NOT NULL").select("w", F.explode("prefix.shingle").alias("shingle"), "id", "n", "length")
+    holders = written(ranges.numbers_within(spread, ["w", "shingle"], ["id"], "at"))
+    held = holders.select("w", "shingle", "at", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("length").alias("len_a"))
+    looking = holders.filter("at > 1").select("w", "shingle", F.col("at").alias("own"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("length").alias("len_b"), F.lit(None).cast(holders.schema["id"].dataType).alias("best"))
+    found, since, step = None, 1, 1
+    while found is None or not looking.isEmpty():
+        upto = F.least(F.lit(since + step), F.col("own")) - 1
+        tries = looking.withColumn("at", F.explode(F.sequence(F.lit(since).cast("long"), upto.cast("long"))))
+        better = F.col("best").isNull() | (F.col("a") < F.col("best"))
+        pairs = tries.join(held, ["w", "shingle", "at"]).filter(better & _fits(similarity, length_window)).select("a", "b", "n_a", "n_b").distinct()
+        now = written(_verified(pairs, bags, similarity).groupBy("b").agg(F.min_by(F.struct("a", "similarity"), "a").alias("_p")).select("_p.a", "b", "_p.similarity"))
+        found = now if found is None else found.unionByName(now)
+        since, step = since + step, step * ahead
+        next_ = held.filter(F.col("at") == since).select("w", "shingle", F.col("a").alias("_next"))
+        left = looking.filter(F.col("own") > since).join(now.select("b", F.col("a").alias("_new")), "b", "left").join(next_, ["w", "shingle"])
+        best = F.coalesce(F.least("best", "_new"), "best", "_new")
+        looking = written(left.withColumn("best", best).filter("best IS NULL OR _next < best").drop("_new", "_next"))
+    return found.groupBy("b").agg(F.min_by(F.struct("a", "similarity"), "a").alias("_p")).select("_p.a", "b", "_p.similarity")
+
+
 def first_report(pairs: DataFrame, order: Sequence[Column]) -> DataFrame:
     """One row per later content ``b``: the pair that comes first in ``order``."""
     first = Window.partitionBy("b").orderBy(*order)

@@ -34,6 +34,22 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "number", parts
     return dealt.withColumn(name, inside).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
+def numbers_within(df: DataFrame, within: Sequence[str], order: Sequence[str], name: str = "number", parts: int | None = None) -> DataFrame:
+    """``df`` with the place of each row in the order of its group ``within``, from 1; nulls are a group.
+
+    A large group lies in many ranges and is numbered in each of them, so no task holds it whole.
+    """
+    dealt = range_parts(df.withColumn("_group", F.struct(*within)), [*within, *order], parts)
+    # Only the first group of a range can have begun before it, so what is carried is at most one row per range.
+    first = dealt.groupBy("_part").agg(F.min("_group").alias("_group"))
+    sizes = dealt.join(F.broadcast(first.select("_group").distinct()), "_group").groupBy("_group", "_part").agg(F.count("*").alias("_rows"))
+    earlier = F.sum("_rows").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("_group", "_part", earlier.alias("_before")).filter("_before IS NOT NULL")
+    inside = F.row_number().over(Window.partitionBy("_part", *within).orderBy(*order)).cast("long")
+    numbered = dealt.withColumn(name, inside).join(F.broadcast(before), ["_group", "_part"], "left")
+    return numbered.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_group", "_before")
+
+
 def change_log(df: DataFrame, order: Sequence[str], key: str, before: tuple | None = None, parts: int | None = None) -> DataFrame:
     """Rows whose ``key`` differs from that of the row just before in the whole table; nulls are equal to each other.
 

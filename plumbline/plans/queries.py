@@ -154,7 +154,7 @@ def near_duplicate_docs(spark: SparkSession, d: str) -> DataFrame:
 @query(_NEAR_SQL + """
     SELECT a, b, similarity FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY a) AS k FROM p) WHERE k = 1""")
 def near_duplicate_first(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.first_report(near_duplicate_docs(spark, d), [F.col("a")])
+    return duplicates.first_near_duplicate(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", _tokens())
 
 
 @query("""

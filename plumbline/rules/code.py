@@ -40,6 +40,9 @@ def from_source(members: DataFrame) -> DataFrame:
     Columns of these names that are there already give way; a member without a body has complexity 0 and nulls.
     """
     own = members.drop("complexity", "body_hash", "body_lines", "tokens")
+    # Reading costs far more than moving: members that come from few files or a small shuffle are dealt over all tasks first.
+    session = own.sparkSession
+    own = own.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
     read = own.withColumn("_tokens", L.tokens(L.lexemes(F.col("body"))))
     found = F.col("_tokens")
     return read.select(

@@ -149,3 +149,32 @@ def test_best_match(spark):
     rules = [{"s": "Model"}, {"s": "DataModel"}]
     got = gates.best_match(df, rules, lambda r: F.endswith("n", F.lit(r["s"])), lambda r: len(r["s"])).collect()
     assert [r.rule for r in got] == [1, 0, None]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.lists(st.integers(0, 11), max_size=3)), max_size=25))
+def test_first_partner_is_that_of_all_pairs(spark, variants):
+    """Variants of three texts, some words replaced: the first partner found without all pairs is the first of all pairs."""
+    rows = []
+    for i, (base, places) in enumerate(variants):
+        words = [f"t{base}w{j}" for j in range(30)]
+        for j in places:
+            words[j] = f"x{i}"
+        rows.append((i, i % 2, " ".join(words)))
+    df = spark.createDataFrame(rows, "id int, p int, t string")
+    for within in (None, "p"):
+        pairs = duplicates.near_duplicate(df, "id", F.split("t", " "), similarity=60, within=within)
+        expected = {(r.a, r.b, r.similarity) for r in duplicates.first_report(pairs, [F.col("a")]).collect()}
+        first = duplicates.first_near_duplicate(df, "id", F.split("t", " "), similarity=60, within=within, ahead=2)
+        assert {(r.a, r.b, r.similarity) for r in first.collect()} == expected
+
+
+def test_partner_behind_candidates_that_fail(spark):
+    """Many share the head of a text and no more; the one that is similar comes after them."""
+    head = [f"h{j}" for j in range(20)]
+    rows = [(i, " ".join(head + [f"r{i}x{j}" for j in range(8)])) for i in range(12)]
+    rows += [(20, " ".join(head + [f"s{j}" for j in range(8)])), (21, " ".join([*head, *(f"s{j}" for j in range(7)), "end"]))]
+    df = spark.createDataFrame(rows, "id int, t string")
+    found = duplicates.first_near_duplicate(df, "id", F.split("t", " "), similarity=90)
+    assert [(r.a, r.b) for r in found.collect()] == [(20, 21)]
+    assert duplicates.first_near_duplicate(df.limit(0), "id", F.split("t", " ")).count() == 0

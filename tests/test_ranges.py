@@ -80,3 +80,16 @@ def test_as_of_equals_brute_force(spark, parts):
     assert got == want
     assert as_of(a, b.limit(0), ["k"], "t", ["n", "v"], parts).filter("n IS NULL").count() == len(left)
     assert as_of(a.limit(0), b, ["k"], "t", ["n"], parts).collect() == []
+
+
+def test_numbers_within_groups_over_many_ranges(spark):
+    rows = [("hot" if i % 3 else None if i % 2 else f"g{i % 5}", i * 7919 % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    for parts in (None, 1, 7):
+        groups = {}
+        for g, v in sorted(rows, key=lambda r: r[1]):
+            groups.setdefault(g, []).append(v)
+        expected = sorted(((g or "", v, i) for g, vs in groups.items() for i, v in enumerate(vs, 1)))
+        found = ranges.numbers_within(df, ["g"], ["v"], parts=parts).collect()
+        assert sorted((r.g or "", r.v, r.number) for r in found) == expected
+    assert ranges.numbers_within(df.limit(0), ["g"], ["v"]).count() == 0
