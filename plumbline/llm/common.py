@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,21 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="plumbline-")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python in Arrow batches of at most ``BATCH_BYTES``, a longer row alone.
+
+    The engine's own bound (64 MB, or 10,000 rows) is held several times over by a task: as rows, as Arrow and as strings.  It
+    has no bearing on results.  A lower bound of the session's own stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([a-z]?)[a-z]*", spark.conf.get(name).strip().lower()).groups()
+    if int(number) << 10 * "bkmgtp".index(unit or "b") > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def slices(pdf: pd.DataFrame, text: str = "text", size: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """``pdf`` in runs of rows whose texts have about ``size`` characters together (a longer text is a run of its own)."""
     upto = np.cumsum([len(t) if t is not None else 0 for t in pdf[text]], dtype=np.int64)

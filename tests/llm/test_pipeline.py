@@ -4,7 +4,7 @@ import hashlib
 import re
 
 import corpus_pipeline
-from plumbline.llm import queries, toxicity
+from plumbline.llm import common, queries, toxicity
 from plumbline.llm.queries import byte_bpe_codec
 
 
@@ -82,3 +82,15 @@ def test_run_equals_brute_force(spark, prose, tmp_path):
         s, n = words[r.doc_id, r.decoded_sha256]
         taken[s] += n
     assert all(abs(taken[s] - target[s]) <= 42 for s in sizes), (taken, target)
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for own, expected in [("64m", str(common.BATCH_BYTES)), ("67108864b", str(common.BATCH_BYTES)), ("100k", "100k"), ("2MB", "2MB")]:
+            spark.conf.set(name, own)
+            common.bound_batches(spark)
+            assert spark.conf.get(name) == expected
+    finally:
+        spark.conf.set(name, before)
