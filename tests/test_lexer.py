@@ -146,3 +146,19 @@ def test_rules_read_bodies(spark):
     facts = {"member": spark.createDataFrame(members, cols), "head_member": spark.createDataFrame(head, "type_name string, name string, arity int, body string")}
     found = rules.run(facts, {}, ["ARCH019", "ARCH022"]).select("rule_id", "subject").collect()
     assert sorted(map(tuple, found)) == [("ARCH019", "B.Go"), ("ARCH022", "D.Go")]
+
+
+def test_equal_bodies_are_read_once(spark, monkeypatch):
+    """Members have what their own text tells, on either way of joining; texts are read once, members without one never."""
+    from plumbline.rules import code
+
+    rows = [(f"M{i}", [None, "", "{ if (a) b(); }", "{ while (a)\n b(); return c ? d : e; }"][i % 4]) for i in range(80)]
+    df = spark.createDataFrame(rows, "name string, body string").repartition(4)
+    for sent in (code.READINGS_SENT, 0):
+        read = []
+        monkeypatch.setattr(code, "written", lambda t: read.append(t) or t)
+        monkeypatch.setattr(code, "READINGS_SENT", sent)
+        found = {r["name"]: (r["complexity"], r["body_lines"], r["tokens"] and len(r["tokens"])) for r in code.from_source(df).collect()}
+        want = [(0, None, None), (1, 0, []), (2, 1, 10), (3, 2, 17)]
+        assert found == {n: (want[i % 4][0], want[i % 4][1], want[i % 4][2]) for i, (n, _) in enumerate(rows)}
+        assert [t.count() for t in read] == [3]
