@@ -75,3 +75,55 @@ def test_calls_that_count(spark):
     nodes = spark.createDataFrame(rows, "path string, test string, node int, parent int, ordinal int, kind string, name string")
     got = {x.test: set(x.invoked) for x in counted_calls(nodes).collect()}
     assert got == {test: names for test, (_, names) in BODIES.items() if names}
+
+
+def test_trees_in_rows_are_not_labelled(spark, monkeypatch):
+    """Small trees take one shuffle of their nodes and no sweep; large ones are swept; nodes that no root leads to count for neither."""
+    from plumbline.rules import code
+
+    rows = [(f"{c}.cs", test, n, p, n, kind, name) for c in "ab" for test, (nodes, _) in BODIES.items() for n, p, kind, name in nodes]
+    rows += [("a.cs", "lost", 0, None, 0, "body", None), ("a.cs", "lost", 1, 0, 1, "call", "Run"), ("a.cs", "lost", 5, 4, 0, "call", "No"), ("a.cs", "lost", 6, 7, 0, "new", "No"), ("a.cs", "lost", 7, 6, 0, "call", "No")]
+    nodes = spark.createDataFrame(rows, "path string, test string, node int, parent int, ordinal int, kind string, name string")
+    want = {(f"{c}.cs", test): names for c in "ab" for test, (_, names) in BODIES.items() if names} | {("a.cs", "lost"): {"Run"}}
+    swept = []
+    sweep = code._swept_calls
+    monkeypatch.setattr(code, "_swept_calls", lambda df: swept.append(df) or sweep(df))
+    for bound, n in ((1 << 17, 0), (6, 1), (0, 1)):
+        monkeypatch.setattr(trees, "TREE_NODES", bound)
+        swept.clear()
+        assert {(x.path, x.test): set(x.invoked) for x in counted_calls(nodes).collect()} == want and len(swept) == n
+    of = nodes.filter("path = 'b.cs'").select("path", "test")
+    assert {(x.path, x.test): set(x.invoked) for x in counted_calls(nodes, of).collect()} == {k: v for k, v in want.items() if k[0] == "b.cs"}
+
+
+def test_forest_equals_walking_up():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    tree, node, parent, mark = [], [], [], []
+    for t in range(60):
+        size = rng.choice([1, 2, 7, 40])
+        names = rng.sample(range(1000), size)
+        for i, name in enumerate(names):
+            far = rng.choice([None, None, 5000, rng.choice(names)]) if rng.random() < 0.2 else names[i - 1 if t % 2 else rng.randrange(i)] if i else None
+            tree.append(t), node.append(name), parent.append(far), mark.append(rng.random() < 0.1)
+    up = {(t, n): p for t, n, p in zip(tree, node, parent)}
+    marked = {(t, n) for t, n, m in zip(tree, node, mark) if m}
+    above, below, placed = [], {k: False for k in up}, []
+    for t, n in zip(tree, node):
+        way, p = [], up[t, n]
+        while p is not None and (t, p) in up and p not in way:
+            way.append(p)
+            p = up[t, p]
+        placed.append(p is None)
+        above.append(any((t, w) in marked for w in way))
+        for w in way:
+            below[t, w] |= (t, n) in marked
+    forest = trees.Forest(np.array(tree), pa.array(node), pa.array(parent))
+    there = np.array(placed)
+    assert (forest.placed == there).all()
+    assert (forest.enclosed(np.array(mark)) == np.array(above))[there].all()
+    assert (forest.encloses(np.array(mark)) == np.array([below[t, n] for t, n in zip(tree, node)]))[there].all()
