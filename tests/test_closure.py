@@ -43,6 +43,17 @@ def test_a_long_chain_and_circles(spark):
     assert closure.chain_ends(df.limit(0), "c", "p").collect() == []
 
 
+def test_cycles_take_no_rounds_of_their_own(spark, monkeypatch):
+    """As many tables as the longest chain needs, whatever the number of rows; nodes at their end aren't written again; no broadcast."""
+    rows = [(10 * i + j, 10 * i + j + 1) for i in range(300) for j in range(5)] + [(10 * i + j, 10 * i + 6 + (j + 1) % 3) for i in range(300) for j in (6, 7, 8)]
+    tables, plans, write = [], [], closure.written
+    monkeypatch.setattr(closure, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), tables.append(write(df)))[1] or tables[-1])
+    found = closure.chain_ends(spark.createDataFrame(rows, "c long, p long"), "c", "p").collect()
+    assert {(x.c, x.end) for x in found} == {(10 * i + j, 10 * i + 5) for i in range(300) for j in range(5)}
+    assert [t.count() for t in tables] == [2400, 2400, 2100, 1800, 1200, 900][: len(tables)] and len(tables) <= 6
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
 TYPES = "project string, path string, name string, kind string, interfaces array<string>, base string, start_line int"
 
 
