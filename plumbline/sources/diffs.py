@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIFF_LINE = "sha string, subject string, ago int, path string, run int, new_line int, sign string, text string, seq int"
+DIFF_RUN = "sha string, subject string, ago int, path string, run int, first_line int, sign string, lines array<string>"
+#: Rows and characters of a batch that a parser returns.
+BATCH_ROWS, BATCH_CHARS = 1 << 13, 1 << 22
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
 
 
 def numstat(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -45,15 +50,52 @@ def diff_lines(texts: DataFrame, source: str = "source", text: str = "text") ->
     on the new side.  Commits are announced by ``commit <sha> <subject>`` lines or by records of the log (a record separator,
     the hash, a unit separator, the subject), newest first, and count ``ago`` from 1.
     """
+    return _parsed(texts, source, text, _numbered, DIFF_LINE)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s, t in zip(pdf[source], pdf[text]):
-                rows = [(s, *r, i) for i, r in enumerate(_tagged(t or ""))]
-                yield pd.DataFrame(rows, columns=[source, *[f.split()[0] for f in DIFF_LINE.split(", ")]])
+
+def diff_runs(texts: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+    """A row per run of ``diff_lines`` with its lines as an array, in ``DIFF_RUN``'s columns after ``source``.
+
+    ``first_line`` is the place of its first line.  A run lies in one text, so nothing is shuffled to bring it together.
+    """
+    return _parsed(texts, source, text, _gathered, DIFF_RUN)
+
+
+def _parsed(texts: DataFrame, source: str, text: str, rows: Callable[[str], Iterator[tuple[int, tuple]]], schema: str) -> DataFrame:
+    """``source`` and the ``rows`` (each after its number of characters) of every text."""
+    fields = [f.split() for f in schema.split(", ")]
+
+    def batch(sources: pa.Array, at: list[int], found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(zip(*found), fields)]
+        return pa.RecordBatch.from_arrays([sources.take(pa.array(at)), *columns], [source, *[name for name, _ in fields]])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for read in batches:
+            # Making a batch costs far more than a row, so short texts share one and a long one takes several.
+            at, found, size = [], [], 0
+            for n, t in enumerate(read.column(1)):
+                for chars, row in rows(t.as_py() or ""):
+                    at.append(n), found.append(row)
+                    size += chars
+                    if len(found) >= BATCH_ROWS or size >= BATCH_CHARS:
+                        yield batch(read.column(0), at, found)
+                        at, found, size = [], [], 0
+            if found:
+                yield batch(read.column(0), at, found)
 
     kind = texts.schema[source].dataType.simpleString()
-    return texts.select(source, text).mapInPandas(parse, f"{source} {kind}, {DIFF_LINE}")
+    return texts.select(source, text).mapInArrow(parse, f"{source} {kind}, {schema}")
+
+
+def _numbered(patch: str) -> Iterator[tuple[int, tuple]]:
+    for i, r in enumerate(_tagged(patch)):
+        yield len(r[-1]), (*r, i)
+
+
+def _gathered(patch: str) -> Iterator[tuple[int, tuple]]:
+    for _, of in groupby(_tagged(patch), key=lambda r: r[4]):
+        run = list(of)
+        yield sum(len(r[-1]) for r in run), (*run[0][:-1], [r[-1] for r in run])
 
 
 _NEW_START = re.compile(r"@@[^+]*\+(\d+)")

@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 from plumbline import rules
 from plumbline.sources import config, diffs
 
@@ -56,3 +58,22 @@ def test_runs_and_files_that_are_not_tracked(spark):
     assert sorted(map(tuple, counts.collect())) == [("A.cs", 3), ("E.cs", 4), ("F.cs", 0), ("G.cs", 0)]
     mine = diffs.in_project(counts, spark.createDataFrame([("P", "a.CS"), ("P", "a.cs"), ("Q", "x.cs")], "project string, path string"))
     assert [(r.path, r.project) for r in mine.collect()] == [("A.cs", "P")]
+
+
+def test_patches_share_batches(spark, monkeypatch):
+    """Rows of many short texts come in one batch and those of a long one in several; runs are those of the lines."""
+    taken = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, f, schema: taken.append(f) or df)
+    head = "commit 1234567 s\n+++ b/a.cs\n@@ -1 +4 @@\n"
+    texts = [head + "+x\n+y\n-z\n q\n-w"] * 50 + [None, "", head + "+v\n" * 900]
+    df = spark.createDataFrame([(None if i == 3 else 2**60 + i, t) for i, t in enumerate(texts)], "source long, text string")
+    diffs.diff_lines(df), diffs.diff_runs(df)
+    monkeypatch.setattr(diffs, "BATCH_ROWS", 250)
+    read = pa.RecordBatch.from_pylist([r.asDict() for r in df.collect()], pa.schema([("source", pa.int64()), ("text", pa.string())]))
+    lines, runs = (list(f(iter([read]))) for f in taken)
+    assert [len(b) for b in lines] == [250, 250, 250, 250, 100] and [len(b) for b in runs] == [151]
+    rows = [r for b in lines for r in b.to_pylist()]
+    assert {r["source"] for r in rows} == {None if i == 3 else 2**60 + i for i in range(53) if i not in (50, 51)}
+    first = [(r["sign"], r["first_line"], r["lines"]) for r in runs[0].to_pylist()[:3]]
+    assert first == [("+", 4, ["x", "y"]), ("-", 6, ["z"]), ("-", 7, ["w"])] and len(runs[0].to_pylist()[-1]["lines"]) == 900
+    assert [(r["sign"], r["new_line"], r["text"], r["seq"]) for r in rows[:4]] == [("+", 4, "x", 0), ("+", 5, "y", 1), ("-", 6, "z", 2), ("-", 7, "w", 3)]
