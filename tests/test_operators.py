@@ -178,3 +178,15 @@ def test_partner_behind_candidates_that_fail(spark):
     found = duplicates.first_near_duplicate(df, "id", F.split("t", " "), similarity=90)
     assert [(r.a, r.b) for r in found.collect()] == [(20, 21)]
     assert duplicates.first_near_duplicate(df.limit(0), "id", F.split("t", " ")).count() == 0
+
+
+def test_a_frequent_ending_stays_in_all_tasks(spark):
+    """Who is judged is settled before rows are spread, and conventions are sent to the rows, so no task gathers an ending's rows."""
+    df = spark.range(2000).select(F.col("id"), F.lit("Model").alias("suffix"), F.when(F.col("id") % 100 == 0, "odd").otherwise("same").alias("folder"), F.lit("x").alias("base"))
+    changed = df.filter("id % 50 = 0")
+    found = conventions.modal_convention(df, ["id"], ["suffix"], ["folder", "base"], 5, 90, changed=changed)
+    assert sorted((r.id, r.trait, r.expected, r.matching, r.total) for r in found.collect()) == [(i, "folder", "same", 1980, 2000) for i in range(0, 2000, 100)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "Join Inner" in joins[0] and "strategy=broadcast" in joins[0] and "Join LeftSemi" in joins[1]
+    assert plan.index("Join LeftSemi") > plan.index("Generate explode")
