@@ -190,3 +190,18 @@ def test_a_frequent_ending_stays_in_all_tasks(spark):
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert "Join Inner" in joins[0] and "strategy=broadcast" in joins[0] and "Join LeftSemi" in joins[1]
     assert plan.index("Join LeftSemi") > plan.index("Generate explode")
+
+
+def test_shingles_are_counted_in_their_row_and_shuffled_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, [3, 1, 3, 3, 2]), (1, []), (2, None), (3, [7])], "id int, x array<bigint>")
+    found = {r.id: r.b and [(e["shingle"], e["c"]) for e in r.b] for r in rows.select("id", duplicates.bag(F.col("x")).alias("b")).collect()}
+    assert found == {0: [(1, 1), (2, 1), (3, 3)], 1: None, 2: None, 3: [(7, 1)]}
+    plans = []
+    monkeypatch.setattr(duplicates, "written", lambda df: plans.append(df) or df)
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i % 3} " * 3) for i in range(9)], "id long, text string")
+    duplicates._bags(docs, "id", F.split("text", " "), 5, 80, 0, None)
+    plans[0].collect()
+    final = plans[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # What all occurrences go through: one shuffle by shingle, read twice.
+    assert "hashpartitioning(id" in final and sum("Exchange hashpartitioning(shingle" in x and "Reused" not in x for x in final.splitlines()) == 1
+    assert "ReusedExchange" in final
