@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_or_empty
+from .common import cut, release, slices, text_or_empty
 
 TRAIN_ROWS = 1500
 STEM_LENGTHS = range(4, 11)
@@ -231,6 +231,7 @@ def character_counts(df: DataFrame) -> DataFrame:
                     code *= SYMBOLS
                     code += x[k : len(x) - ORDER + 1 + k]
                 total += np.bincount(code, minlength=SYMBOLS**ORDER)
+            release()
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"gram": seen, "n": total[seen]})
 
@@ -409,5 +410,6 @@ def clean_rows(df: DataFrame, model: CharModel, classifier: Classifier, text: st
         one = find()
         for series in texts:
             yield pd.Series([one(t)[0] >= THRESHOLD for t in series], dtype=bool)
+            release()
 
     return df.filter(~toxic(text_or_empty(text)))
