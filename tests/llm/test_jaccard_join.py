@@ -172,3 +172,40 @@ def test_of_equal_rows_the_same_one_stays(spark):
     rows = [(1, "a b c d e f", {"k": i}, i) for i in range(6)] + [(2, "A b c d e f", {}, 0)]
     kept = {J.drop_similar(spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(3)).first()["rank"] for k in range(3)}
     assert len(kept) == 1
+
+
+def test_packed_signatures_come_back_in_few_bytes():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 2, 700, 5000):
+        values, places = np.sort(r.integers(0, 1 << 48, n)).astype(J.U), r.integers(0, 1 << 24, n)
+        back = J.unpacked(J.packed(values, places), n)
+        assert (back[0] == values).all() and (back[1] == places).all()
+
+
+def test_signatures_are_shuffled_in_few_bytes_and_meet(docs, prose, monkeypatch):
+    """A row of two longs for each signature was over 12 bytes.  Sets meet as their signatures say, in groups of all sizes."""
+    monkeypatch.setattr(J, "SMALL_GROUP", 3)
+    monkeypatch.setattr(J, "PACKED", 5000)
+    monkeypatch.setattr(J, "BUCKET", 3000)
+    base = prose(5, 80)
+    texts = [edited(base, i, i % 7) for i in range(30)] + [prose(100 + i, 90) for i in range(150)] + [base, "one two", ""]
+    d = J._documents(docs(list(enumerate(texts))), "doc_id", "text")
+    classes = d.sparkSession.createDataFrame(J._profiles(d, 0).filter("n > 0").groupBy("cid").agg({"key": "min"}).collect(), "cid long, key long")
+    total = sum(len(s) for s in J.shingle_sets(texts))
+    signed = J._signature_rows(d, classes, np.zeros(0, dtype=J.U), 0, total)
+    size, count = signed.filter("bucket >= 0").selectExpr("sum(length(data))", "sum(count)").first()
+    assert size < 9 * count and signed.filter("bucket >= 0").selectExpr("count(distinct bucket)", "count(*)").first()[0] > 1
+    met = J._met(signed).collect()
+    cid = {r.a: r.b for r in met if r.size < 0}
+    bands = J.band_list()
+    lows, holders = np.array([b.low for b in bands]), defaultdict(set)
+    for s in J.shingle_sets(texts):
+        for x in J.signatures(s, np.zeros(0, dtype=J.U), bands, lows).tolist():
+            holders[x].add(J._class_number(s, 0))
+    small = {frozenset((a, b)) for h in holders.values() if 1 < len(h) <= 3 for a in h for b in h if a != b}
+    assert small <= {frozenset((cid[r.a], cid[r.b])) for r in met if r.size == 0}
+    large = defaultdict(set)
+    for r in met:
+        if r.size > 0:
+            large[r.sig].add(cid[r.b])
+    assert {frozenset(h) for h in holders.values() if len(h) > 3} <= {frozenset(h) for h in large.values()} and large
