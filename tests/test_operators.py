@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -205,3 +209,34 @@ def test_shingles_are_counted_in_their_row_and_shuffled_once(spark, monkeypatch)
     # What all occurrences go through: one shuffle by shingle, read twice.
     assert "hashpartitioning(id" in final and sum("Exchange hashpartitioning(shingle" in x and "Reused" not in x for x in final.splitlines()) == 1
     assert "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("slots", [1 << 24, 16])
+def test_only_prefixes_leave_their_row(spark, monkeypatch, slots):
+    """Of a content only its rarest shingles are shuffled, and no pair is lost, even if all shingles share a few slots."""
+    monkeypatch.setattr(duplicates, "SLOTS", slots)
+    monkeypatch.setattr(duplicates, "PAGE", min(slots, 1 << 16) // 2)
+    r = random.Random(2)
+    rows = []
+    for i in range(40):  # few different words, so that strangers share shingles, too
+        words = [r.choice("abc") for _ in range(60)] if i % 4 == 0 else rows[-1][2].split()
+        for _ in range(r.randint(0, 2)):
+            words = [*words]
+            words[r.randrange(len(words))] = r.choice("abcd")
+        rows.append((i, "p" if i < 30 else None if i > 36 else "q", " ".join(words)))
+    df = spark.createDataFrame([*rows, (None, "p", rows[0][2])], "id int, p string, t string")
+    for within in (None, "p"):
+        first, want = {}, set()
+        for i, p, t in rows:
+            first.setdefault((p if within else 0, t), i)
+        bags = {i: (w, Counter(zip(*[t.split()[j:] for j in range(5)]))) for (w, t), i in first.items()}
+        for a, (w, x) in bags.items():
+            for b, (v, y) in bags.items():
+                percent = (x & y).total() * 100 // max(x.total(), y.total())
+                if a < b and w == v and w is not None and percent >= 80:
+                    want.add((a, b, percent))
+        got = {tuple(p) for p in duplicates.near_duplicate(df, "id", F.split("t", " "), within=within).collect()}
+        assert got == want and want
+    contents = duplicates._contents(df, "id", F.split("t", " "), 5, 0, None)
+    kept, n = duplicates._prefixes(contents, 5, 80).selectExpr("sum(size(prefix))", "sum(n)").first()
+    assert kept <= n * 0.25
