@@ -54,6 +54,29 @@ def test_cycles_take_no_rounds_of_their_own(spark, monkeypatch):
     assert not any("BroadcastHashJoin" in p for p in plans)
 
 
+def test_a_round_reads_the_table_of_the_last_one_only(spark, monkeypatch):
+    """What ended in earlier rounds isn't read again; ends that many chains go over, in several scopes, are found all the same."""
+    r = random.Random(3)
+    edges = {(s, i): i - 1 if i % 40 else i + 5000 for s in "ab" for i in range(1, 400)}
+    edges |= {(s, i): r.choice([7, 7, 7, r.randrange(1, 400), r.randrange(500, i + 1), i + 1]) for s in "abc" for i in range(500, 900)}
+
+    def end(s, n):
+        seen = set()
+        while edges.get((s, n), n) != n and n not in seen:  # an edge to itself is none
+            seen.add(n)
+            n = edges[s, n]
+        return None if n in seen else n
+
+    want = {(s, n): end(s, n) for (s, n), p in edges.items() if p != n and end(s, n) is not None}
+    rows = [(*k, v) for k, v in edges.items()] + [(*k, v + 9000) for k, v in edges.items() if k[1] % 3 == 0 and v != k[1]] + [("a", None, 7), ("a", 950, None), (None, 3, 2), (None, 2, 1)]
+    read, write = [], closure.written
+    monkeypatch.setattr(closure, "written", lambda df: read.append({f.rsplit("/", 1)[0] for f in df.inputFiles()}) or write(df))
+    found = closure.chain_ends(spark.createDataFrame(rows, "s string, c long, p long"), "c", "p", ["s"]).collect()
+    assert sorted((x.s, x.c, x.end) for x in found if x.s) == sorted((*k, v) for k, v in want.items())
+    assert {(x.c, x.end) for x in found if x.s is None} == {(3, 2), (2, 1)}  # no scope is shared with another row's
+    assert len(read) > 6 and [len(x) for x in read] == [0, *[1] * (len(read) - 1)]
+
+
 TYPES = "project string, path string, name string, kind string, interfaces array<string>, base string, start_line int"
 
 
@@ -91,6 +114,22 @@ def test_names_imposed_by_roots_of_overrides(spark):
     assert sorted((r.project, r.path, r.line) for r in found) == [("P", "f.cs", 3), ("P", "f.cs", 4), ("P", "f.cs", 6), ("P", "f.cs", 7), ("P", "g.cs", 1), ("P", "g.cs", 2)]
 
 
+def test_what_is_declared_is_joined_once(spark):
+    """However many tables the ends of chains come from; null keys and rows that come twice are as they were."""
+    rows = [("P", f"m{i}", f"m{i + 1}") for i in range(20)] + [("P", "m20", "x"), ("P", "m20", "x"), ("P", "n", None), (None, "m1", "m2"), ("Q", "q", "r"), ("R", "s", "s")]
+    members = [("P", f"m{i}") for i in range(21)] * 2 + [("Q", "q"), ("Q", "r"), ("Q", None), (None, "m2"), ("R", "s"), ("R", "t")]
+    direct = [("P", "n", "y"), ("Q", "t", "y"), ("Q", "t", "z"), ("Q", "u", None), (None, "v", "m2"), ("R", "s", "y"), ("Q", "w", "r")]
+    facts = {
+        "member": spark.createDataFrame(members, "project string, member_id string"),
+        "overrides": spark.createDataFrame(rows, "project string, member_id string, overridden string"),
+        "implements": spark.createDataFrame(direct, "project string, member_id string, interface_member string"),
+    }
+    found = names.imposed(facts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and len(found.inputFiles()) > 3
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([*[("P", f"m{i}") for i in range(21)], (None, "m1"), ("Q", "t"), ("Q", "u"), (None, "v")], key=str)
+
+
 def test_generated_files_count_for_their_project(spark):
     rows = [("A", "M/T.cs", "T1", "class", [], None, 1), ("B", "M/T.cs", "T2", "class", [], None, 1)]
     files = spark.createDataFrame([("A", "M/T.cs", True), ("B", "M/T.cs", False)], "project string, path string, is_generated boolean")
