@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.types import nominal_names
+from plumbline.functions.patterns import is_named, name_pattern
+from plumbline.functions.types import may_name, nominal_names
+from plumbline.rules import run
 from plumbline.sources import overlay
 from plumbline.sources.config import parse_settings
 
@@ -69,3 +71,31 @@ def test_names_inside_types(spark):
     assert df.select(nominal_names(df["t"])).filter("t = 'List<T>'").first()[0] == ["List", "T"]
     deep = "A<" * 60 + "Order" + ">" * 60
     assert spark.createDataFrame([(deep,)], "t string").select(nominal_names(F.col("t"))).first()[0] == ["A"] * 60 + ["Order"]
+
+
+def test_only_texts_that_may_hold_a_forbidden_name_are_read(spark):
+    """A name may be spelled by a keyword or a tuple's bracket; a text without it is never one that uses the name."""
+    patterns = ["*Order", "Order", "Ord*", "*rde*", "Int32", "*Int32", "String", "Value*", "ValueTuple", "*T", "event", "*", "**", "dynamic", "nobody"]
+    df = spark.createDataFrame([(t, p) for t in [*TYPES, None, "Int32", "A.@", "@", "(a b)", "x (y)"] for p in [["T"], None, ["T", None]]], "t string, p array<string>")
+    used = lambda p: F.exists(nominal_names(df["t"], df["p"]), lambda n: name_pattern(n, p))
+    uses = [F.coalesce(used(p), F.lit(False)) for p in patterns]
+    rows = df.select("t", nominal_names(df["t"], df["p"]).alias("names"), F.array(*uses).alias("uses"), F.array(*[F.coalesce(may_name(df["t"], p), F.lit(False)) for p in patterns]).alias("may")).collect()
+    for row in rows:
+        assert row.uses == [any(is_named(n, p) for n in row.names or []) for p in patterns], row
+        assert all(may or not use for may, use in zip(row.may, row.uses, strict=True)), row
+    assert sum(use for row in rows for use in row.uses) < sum(may for row in rows for may in row.may) < sum(len(row.may) for row in rows) / 3
+
+
+def test_a_rule_sees_whether_a_text_may_matter_before_it_reads_names(spark):
+    rows = [(t, o, k, e) for t in [*TYPES, None, ""] for o in ["AModule", "ModuleB", "Other", "", None] for k, e in [("class", None), ("class", True), ("interface", False), (None, False)]]
+    facts = {"parameter": spark.createDataFrame([("P", "f.cs", 1, o, k, "Run", t, ["T"], e) for t, o, k, e in rows],
+             "project string, path string, line int, type_name string, type_kind string, method string, type_text string, type_parameters array<string>, is_error boolean")}
+    found = run(facts, {"method_argument_type_barrier": "*Module>*rder,Int32;Module*>Value*;X>*"}, ["ARCH016"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    (judged,) = [x for x in plan.splitlines() if "Filter" in x]
+    assert "Contains(" in judged.split("regexp_extract_all")[0]
+    want = []
+    for t, names in TYPES.items():
+        want += ["AModule.Run *Module>*rder"] * any(n.endswith("rder") for n in names) or ["AModule.Run *Module>Int32"] * ("Int32" in names)
+        want += ["ModuleB.Run Module*>Value*"] * any(n.startswith("Value") for n in names)
+    assert sorted(f"{r.subject} {r.args['rule']}" for r in found.collect()) == sorted(want) and len(set(want)) == 3
