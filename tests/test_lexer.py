@@ -116,6 +116,43 @@ def test_kinds_and_trivia(spark):
     assert moved[0].hash == moved[1].hash != moved[2].hash and moved[0].n == moved[1].n == 2
 
 
+def test_common_lexemes_are_tried_first_and_change_nothing(spark):
+    """Names, blanks and brackets aren't held against the rules of strings and comments; what the rules alone find is found all the same."""
+    r = random.Random(8)
+    bits = ["a", "Z9", "_x", "x_1", "é", "aé", "\u00ad", "\u0301", "漢", "𝒜", "\x85", "\u2028", " ", "  ", "\t", "\x0b", "\n", "\r\n", "\r", "#", "#if", "(", ")", "{", "}", "[", "]", ",", ";", '"', '$"', '@"', "@", "@a", "'", "/*", "*/", "//", "1", ".5", "0x", "\\"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 30))) for _ in range(3000)] + ["", None, " #x", " x", "\t\x0b# y", "  ", "a" * 100_000, "a" * 100_000 + "é", " " * 100_000 + "#"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(L.lexemes(F.col("text")).alias("x"), F.regexp_extract_all("text", F.lit("|".join(L.RULES)), F.lit(0)).alias("rules"))
+    assert df.filter("NOT x <=> rules").count() == 0 and df.filter("x IS NULL").count() == 1
+    tried = L.PATTERN.removesuffix("|" + "|".join(L.RULES))
+    assert all(re.fullmatch(tried, x) for x in ["if", "_a1", "Total", "(", ")", "{", "}", "[", "]", ",", ";"]) and re.match(tried, "a b")[0] == "a" and re.match(tried, "aé", re.ASCII) is None is re.match(tried, " #")
+
+
+def test_kinds_and_trivia_by_the_first_character(spark):
+    """Every character begins what it did; the kinds of most tokens are told without cutting the first character off."""
+    def trivia(x):
+        return x[0] in BLANKS or x[:2] in ("//", "/*") or (x[0] == "#" and len(x) > 1)
+
+    def told(x):
+        if re.match(r"@?[^\W\d]", x):
+            return x if x in L.KEYWORDS else "name"
+        if re.match(r"\.?[0-9]", x):
+            return "number"
+        if re.match(r'(\$+@?|@\$)"', x):
+            return "interpolated"
+        return "string" if re.match('@?"', x) else "char" if x[0] == "'" and len(x) > 1 else x
+
+    some = [chr(c) for c in [*range(1, 0x180), 0x6F22, 0x1D49C] if chr(c) not in "ªµº" and (c < 0x80 or chr(c).isalpha())]
+    texts = [c + more for c in some for more in ("", "a", "5", '"', "/", "*", "=")] + [*L.KEYWORDS, "@if", "ifs", "@$\"", "$@\"", "$$\"\"\"", "'a'"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", L.kind(F.col("x")).alias("kind"), L.is_trivia(F.col("x")).alias("trivia"))
+    for row in df.collect():
+        assert row.trivia == trivia(row.x), row
+        if not row.trivia:
+            assert row.kind == told(row.x), row
+    none = spark.createDataFrame([(None,)], "x string").select(L.is_trivia(F.col("x")), L.kind(F.col("x"))).first()
+    assert tuple(none) == (None, None)
+    assert df.select("kind")._jdf.queryExecution().optimizedPlan().toString().count("substring(") == 1
+
+
 @pytest.mark.parametrize(
     "code,n",
     [
